@@ -178,3 +178,107 @@ QUERIES = {
     "apply_patch": apply_patch_q,
     "heal_idempotent": heal_idempotent,
 }
+
+
+# ---------------------------------------------------------------- live flow
+
+from quadsync.operators.diff import effective_changes, fold_cancel, fold_last  # noqa: E402
+from quadsync.operators.live import (  # noqa: E402
+    KEYS, TypeLookup, dispatch, enrich, impacted_resources, rewrite_deletes, rewrite_inserts,
+)
+from quadsync.plans.live import live_flow  # noqa: E402
+from quadsync.sources.fixtures import (  # noqa: E402
+    LiveFixture, event_changes, link_fixture, live_spec, split_delete_fixture,
+)
+
+CHANGE_COLS = ["msg_id", "cs_no", "op", "pos", "event_id", "s", "p", "o", "o_kind"]
+
+
+def _live(spark, sf_dir):
+    fx = LiveFixture(spark, sf_dir)
+    tl = TypeLookup(fx.source_after, fx.pub_before, fx.batch, fx.spec, KEYS)
+    return fx, tl
+
+
+def explode_changes(spark, sf_dir):
+    return event_changes(spark, sf_dir).select(*CHANGE_COLS)
+
+
+def type_cache(spark, sf_dir):
+    fx, tl = _live(spark, sf_dir)
+    uris = (fx.batch.select(*KEYS, F.col("s").alias("uri"))
+            .unionByName(fx.batch.where(F.col("o_kind") == "uri").select(*KEYS, F.col("o").alias("uri"))))
+    return tl.rules(uris).select(*KEYS, "uri", "rule_no").distinct()
+
+
+def dispatch_streams(spark, sf_dir):
+    fx = LiveFixture(spark, sf_dir)
+    return dispatch(fx.changes, fx.source_after, {"base": base_spec(), "live": live_spec()})
+
+
+def rewrite_inserts_q(spark, sf_dir):
+    fx, tl = _live(spark, sf_dir)
+    ins, _ = rewrite_inserts(fx.batch, fx.source_after, tl, fx.spec)
+    return ins.select(*KEYS, *TRIPLE_COLS)
+
+
+def impacted_resources_q(spark, sf_dir):
+    fx, tl = _live(spark, sf_dir)
+    ins, _ = rewrite_inserts(fx.batch, fx.source_after, tl, fx.spec)
+    return impacted_resources(ins, tl, fx.spec)
+
+
+def enrich_closure(spark, sf_dir):
+    spec = base_spec()
+    after, pub, msg = link_fixture(spark, sf_dir)
+    tl = TypeLookup(after, pub, msg, spec, KEYS)
+    ins, processed = rewrite_inserts(msg, after, tl, spec)
+    return _triples(enrich(ins, processed, after, tl, spec)).distinct()
+
+
+def rewrite_deletes_q(spark, sf_dir):
+    fx, tl = _live(spark, sf_dir)
+    return rewrite_deletes(fx.batch, fx.source_after, fx.pub_before, tl, fx.spec, cascade=False).select(
+        *KEYS, *TRIPLE_COLS)
+
+
+def cascade_deletes(spark, sf_dir):
+    spec = base_spec()
+    after, pub, msg = split_delete_fixture(spark, sf_dir, spec)
+    tl = TypeLookup(after, pub, msg, spec, KEYS)
+    return _triples(rewrite_deletes(msg, after, pub, tl, spec)).distinct()
+
+
+def fold_cancel_q(spark, sf_dir):
+    return fold_cancel(event_changes(spark, sf_dir), keys=["msg_id"]).select("msg_id", "op", *TRIPLE_COLS)
+
+
+def fold_last_write(spark, sf_dir):
+    return fold_last(event_changes(spark, sf_dir)).select("op", *TRIPLE_COLS)
+
+
+def effective_changes_q(spark, sf_dir):
+    fx = LiveFixture(spark, sf_dir)
+    return effective_changes(fold_cancel(fx.batch, keys=[]), fx.pub_before).select("op", *TRIPLE_COLS)
+
+
+def live_flow_net(spark, sf_dir):
+    fx = LiveFixture(spark, sf_dir)
+    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec, message_keys=())
+    return net.select("op", *TRIPLE_COLS)
+
+
+QUERIES.update({
+    "explode_changes": explode_changes,
+    "type_cache": type_cache,
+    "dispatch_streams": dispatch_streams,
+    "rewrite_inserts": rewrite_inserts_q,
+    "impacted_resources": impacted_resources_q,
+    "enrich_closure": enrich_closure,
+    "rewrite_deletes": rewrite_deletes_q,
+    "cascade_deletes": cascade_deletes,
+    "fold_cancel": fold_cancel_q,
+    "fold_last_write": fold_last_write,
+    "effective_changes": effective_changes_q,
+    "live_flow_net": live_flow_net,
+})
