@@ -226,3 +226,227 @@ SQL["apply_patch"] = w(*HEAL, DIFF, PATCHED) + "SELECT * FROM after"
 SQL["heal_idempotent"] = w(*HEAL, DIFF, PATCHED, *current_ctes("after", "x_")) + (
     "SELECT (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM x_b)) AS n_inserts, "
     "(SELECT COUNT(*) FROM (SELECT * FROM x_b EXCEPT SELECT * FROM a)) AS n_deletes")
+
+
+# ------------------------------------------------------------------ live flow
+
+PROPS = {
+    0: ["urn:p:n_name"], 1: ["urn:p:c_name", "urn:p:c_mktsegment", "urn:p:c_nationkey"],
+    2: ["urn:p:o_orderstatus", "urn:p:o_totalprice", "urn:p:o_custkey"],
+    3: ["urn:p:l_quantity", "urn:p:l_orderkey", "urn:p:l_partkey"], 4: ["urn:p:p_name", "urn:p:p_brand"],
+    5: ["urn:p:lang", "urn:p:n_chars"], 6: ["urn:p:bought", "urn:p:lastViewed", "urn:p:c_name"], 7: ["urn:p:by"],
+}
+GRAPH_OK = {2: "{q}.g IN ('urn:g:orders/O', 'urn:g:orders/F')", 5: "regexp_matches({q}.g, 'documents/src1')"}
+
+
+def graph_ok(r: int, q: str = "q") -> str:
+    return GRAPH_OK.get(r, "{q}.g <> " + PUB).format(q=q)
+
+
+def configured(r: int, q: str = "q") -> str:
+    plist = ", ".join(f"'{p}'" for p in PROPS[r])
+    if r == 1:
+        return f"({q}.p IN ({plist}) OR ({q}.p = {RDF} AND {q}.o = 'urn:t:Customer'))"
+    return f"{q}.p IN ({plist}, {RDF})"
+
+
+def source_copy(rc: str, q: str = "q", rules=range(8)) -> str:
+    """Forward S3 condition for rule column ``rc`` on quad alias ``q``."""
+    return " OR ".join(f"({rc} = {r} AND {configured(r, q)} AND {graph_ok(r, q)})" for r in rules)
+
+
+def published_copy(rc: str, q: str = "q", rules=range(8)) -> str:
+    """Forward S4 property condition (no strict type)."""
+    return " OR ".join(
+        f"({rc} = {r} AND {q}.p IN ({', '.join(repr(p) for p in PROPS[r])}, {RDF}))" for r in rules)
+
+
+RULE_TYPES = ("rt(type, rule_no, first_step) AS (VALUES ('urn:t:Nation', 0, 'urn:p:n_regionkey'), "
+              "('urn:t:Customer', 1, 'urn:p:c_nationkey'), ('urn:t:Order', 2, 'urn:p:o_custkey'), "
+              "('urn:t:Line', 3, 'urn:p:l_orderkey'), ('urn:t:Part', 4, '^urn:p:l_partkey'), "
+              "('urn:t:Document', 5, NULL), ('urn:t:ActiveUser', 6, 'urn:p:c_nationkey'), "
+              "('urn:t:Click', 7, 'urn:p:by'))")
+CHILDREN = ("ch(parent_rule, child_rule, child_type, child_first_step) AS (VALUES "
+            "(0, 1, 'urn:t:Customer', 'urn:p:c_nationkey'), (0, 6, 'urn:t:ActiveUser', 'urn:p:c_nationkey'), "
+            "(1, 2, 'urn:t:Order', 'urn:p:o_custkey'), (6, 2, 'urn:t:Order', 'urn:p:o_custkey'), "
+            "(1, 7, 'urn:t:Click', 'urn:p:by'), (6, 7, 'urn:t:Click', 'urn:p:by'), "
+            "(2, 3, 'urn:t:Line', 'urn:p:l_orderkey'), (3, 4, 'urn:t:Part', '^urn:p:l_partkey'))")
+
+EV = ("ev AS (SELECT event_id, user_id, event_type, "
+      "CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS part FROM events)")
+
+
+def _chg(op: str, j: int, s: str, p: str, o: str, where: str) -> str:
+    return (f"SELECT event_id // 100 AS msg_id, CAST((event_id % 100) // 10 AS INTEGER) AS cs_no, '{op}' AS op, "
+            f"CAST((event_id % 10) * 2 + {j} AS INTEGER) AS pos, event_id, {s} AS s, {p} AS p, {o} AS o, "
+            f"'uri' AS o_kind FROM ev WHERE event_type = '{where}'")
+
+
+CUST = "'urn:r:customer/' || CAST(user_id AS VARCHAR)"
+EVT = "'urn:r:event/' || CAST(event_id AS VARCHAR)"
+PART = "'urn:r:part/' || CAST(part AS VARCHAR)"
+CHANGES = "changes AS (" + " UNION ALL ".join([
+    _chg("insert", 0, CUST, RDF, "'urn:t:ActiveUser'", "signup"),
+    _chg("insert", 0, EVT, RDF, "'urn:t:Click'", "click"),
+    _chg("insert", 1, EVT, "'urn:p:by'", CUST, "click"),
+    _chg("insert", 0, CUST, "'urn:p:bought'", PART, "purchase"),
+    _chg("delete", 0, CUST, "'urn:p:bought'", PART, "error"),
+    _chg("delete", 0, CUST, "'urn:p:lastViewed'", PART, "view"),
+    _chg("insert", 1, CUST, "'urn:p:lastViewed'", PART, "view"),
+]) + ")"
+
+
+def _state(name: str, where: str) -> str:
+    return (f"{name} AS (SELECT s, p, o, o_kind FROM (SELECT *, row_number() OVER (PARTITION BY s, p, o, o_kind "
+            f"ORDER BY event_id DESC, CASE WHEN op = 'delete' THEN 0 ELSE 1 END DESC) AS rn FROM changes "
+            f"WHERE {where}) WHERE rn = 1 AND op = 'insert')")
+
+
+LIVE_BASE = [
+    QUADS, EV, CHANGES,
+    "m0 AS (SELECT (MAX(msg_id) + 1) // 2 AS m FROM changes)",
+    _state("st_early", "msg_id < (SELECT m FROM m0)"),
+    _state("st_all", "TRUE"),
+    f"src_before AS (SELECT g, {T} FROM quads UNION ALL SELECT 'urn:g:events', s, p, o, o_kind, '', '' FROM st_early)",
+    f"src_after AS (SELECT g, {T} FROM quads UNION ALL SELECT 'urn:g:events', s, p, o, o_kind, '', '' FROM st_all)",
+    *expected_ctes("src_before", "pb_", rules=tuple(range(8)), live=True),
+    "batch AS (SELECT * FROM changes WHERE msg_id >= (SELECT m FROM m0))",
+    *reach_ctes("src_after", "sa_", live=True),
+    RULE_TYPES, CHILDREN,
+    f"stypes AS (SELECT DISTINCT s AS uri, o AS type FROM src_after WHERE p = {RDF} AND o_kind = 'uri' "
+    f"UNION SELECT s, o FROM pb_a WHERE p = {RDF} AND o_kind = 'uri')",
+    f"ctypes AS (SELECT DISTINCT msg_id, cs_no, s AS uri, o AS type FROM batch WHERE p = {RDF})",
+]
+
+
+def types_for(name: str, uris: str) -> str:
+    """(msg_id, cs_no, uri, type, rule_no, first_step) for a CTE of (msg_id, cs_no, uri)."""
+    return (f"{name} AS (SELECT DISTINCT t.msg_id, t.cs_no, t.uri, t.type, rt.rule_no, rt.first_step FROM ("
+            f"SELECT u.msg_id, u.cs_no, u.uri, s.type FROM {uris} u JOIN stypes s ON s.uri = u.uri "
+            f"UNION SELECT u.msg_id, u.cs_no, u.uri, c.type FROM {uris} u JOIN ctypes c "
+            f"ON c.msg_id = u.msg_id AND c.cs_no = u.cs_no AND c.uri = u.uri) t JOIN rt ON rt.type = t.type)")
+
+
+REACH_OF = {0: "sa_r_n", 1: "sa_r_c", 2: "sa_r_o", 3: "sa_r_l", 4: "sa_r_p", 6: "sa_r_c", 7: "sa_r_e"}
+
+
+def in_scope_cond(u: str, rc: str, src: str = "src_after", reach=REACH_OF) -> str:
+    path = " OR ".join(f"({rc} = {r} AND {u} IN (SELECT node FROM {n}))" for r, n in reach.items())
+    graph = " OR ".join(f"({rc} = {r} AND {graph_ok(r, 'q')})" for r in range(8))
+    return (f"(({path}) OR {rc} = 5) AND EXISTS (SELECT 1 FROM {src} q WHERE q.s = {u} AND ({graph})) "
+            f"AND ({rc} <> 5 OR {u} IN (SELECT s FROM {src} WHERE p = 'urn:p:quality' AND o = '1'))")
+
+
+R1 = [
+    "buris AS (SELECT DISTINCT msg_id, cs_no, s AS uri FROM batch UNION SELECT msg_id, cs_no, o FROM batch WHERE o_kind = 'uri')",
+    types_for("tc", "buris"),
+    "ins AS (SELECT DISTINCT msg_id, cs_no, s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM batch WHERE op = 'insert')",
+    "x AS (SELECT i.*, tc.rule_no FROM ins i JOIN tc ON tc.msg_id = i.msg_id AND tc.cs_no = i.cs_no AND tc.uri = i.s)",
+    "xs AS (SELECT * FROM x WHERE " + in_scope_cond("x.s", "x.rule_no") + ")",
+    "copied AS (SELECT DISTINCT msg_id, cs_no, s, p, o, o_kind, o_dt, o_lang FROM xs q WHERE "
+    + " OR ".join(f"(q.rule_no = {r} AND {configured(r)})" for r in range(8) if r != 5) + ")",
+    "rel AS (SELECT DISTINCT msg_id, cs_no, s, p, o FROM copied WHERE o_kind = 'uri')",
+    "relo AS (SELECT DISTINCT msg_id, cs_no, o AS uri FROM rel)",
+    "rels AS (SELECT DISTINCT msg_id, cs_no, s AS uri FROM rel)",
+    types_for("tco", "relo"), types_for("tcs", "rels"),
+    "imp AS (SELECT r.msg_id, r.cs_no, r.s AS uri, t.rule_no FROM rel r JOIN tcs t ON t.msg_id = r.msg_id "
+    "AND t.cs_no = r.cs_no AND t.uri = r.s WHERE t.first_step = r.p "
+    "UNION SELECT r.msg_id, r.cs_no, r.o, ch.child_rule FROM rel r JOIN tcs t ON t.msg_id = r.msg_id "
+    "AND t.cs_no = r.cs_no AND t.uri = r.s JOIN ch ON ch.parent_rule = t.rule_no "
+    "WHERE ch.child_first_step = '^' || r.p AND EXISTS (SELECT 1 FROM tco o WHERE o.msg_id = r.msg_id "
+    "AND o.cs_no = r.cs_no AND o.uri = r.o AND o.type = ch.child_type))",
+]
+
+SQL["explode_changes"] = w(EV, CHANGES) + "SELECT * FROM changes"
+SQL["type_cache"] = w(*LIVE_BASE, *R1[:2]) + "SELECT DISTINCT msg_id, cs_no, uri, rule_no FROM tc"
+SQL["dispatch_streams"] = w(*LIVE_BASE) + (
+    "SELECT DISTINCT t.msg_id, s.stream FROM (SELECT msg_id, o AS type FROM changes WHERE p = " + RDF +
+    " UNION SELECT u.msg_id, st.o FROM (SELECT msg_id, s AS uri FROM changes UNION SELECT msg_id, o FROM changes "
+    "WHERE o_kind = 'uri') u JOIN src_after st ON st.s = u.uri AND st.p = " + RDF + ") t "
+    "JOIN (SELECT 'base' AS stream, type FROM rt WHERE rule_no <= 5 UNION ALL SELECT 'live', type FROM rt) s "
+    "ON s.type = t.type")
+SQL["rewrite_inserts"] = w(*LIVE_BASE, *R1) + "SELECT * FROM copied"
+SQL["impacted_resources"] = w(*LIVE_BASE, *R1) + (
+    "SELECT msg_id, cs_no, uri, MIN(rule_no) AS rule_no FROM imp GROUP BY ALL" if False else
+    "SELECT DISTINCT * FROM imp")
+
+# R3 first level on the live batch
+R3 = [
+    "dsub AS (SELECT DISTINCT msg_id, cs_no, s AS uri FROM batch WHERE op = 'delete')",
+    types_for("dtc", "dsub"),
+    "s3 AS (SELECT d.msg_id, d.cs_no, d.uri, q.s, q.p, q.o, q.o_kind, q.o_dt, q.o_lang FROM dtc d "
+    "JOIN src_after q ON q.s = d.uri WHERE " + source_copy("d.rule_no") +
+    " UNION SELECT d.msg_id, d.cs_no, d.uri, q.s, q.p, q.o, q.o_kind, q.o_dt, q.o_lang FROM dtc d "
+    f"JOIN src_after q ON q.o = d.uri WHERE d.rule_no = 4 AND q.p = 'urn:p:l_partkey' AND q.o_kind = 'uri' AND q.g <> {PUB})",
+    "s4 AS (SELECT d.msg_id, d.cs_no, d.uri, q.s, q.p, q.o, q.o_kind, q.o_dt, q.o_lang FROM dtc d "
+    "JOIN pb_a q ON q.s = d.uri WHERE (" + published_copy("d.rule_no") + ") AND EXISTS (SELECT 1 FROM pb_a t "
+    f"WHERE t.s = d.uri AND t.p = {RDF} AND t.o = d.type) "
+    "UNION SELECT d.msg_id, d.cs_no, d.uri, q.s, q.p, q.o, q.o_kind, q.o_dt, q.o_lang FROM dtc d "
+    "JOIN pb_a q ON q.o = d.uri WHERE d.rule_no = 4 AND q.p = 'urn:p:l_partkey' AND EXISTS (SELECT 1 FROM pb_a t "
+    f"WHERE t.s = d.uri AND t.p = {RDF} AND t.o = d.type))",
+    "removed AS (SELECT DISTINCT msg_id, cs_no, s, p, o, o_kind, o_dt, o_lang FROM "
+    "(SELECT * FROM s4 EXCEPT SELECT * FROM s3))",
+]
+SQL["rewrite_deletes"] = w(*LIVE_BASE, *R3) + "SELECT * FROM removed"
+
+# enrichment round: export of impacted resources in scope (rule 7 clicks on this data)
+ENRICH = [
+    "impr AS (SELECT msg_id, cs_no, uri, MIN(rule_no) AS rule_no FROM imp GROUP BY msg_id, cs_no, uri)",
+    "impok AS (SELECT * FROM impr WHERE " + in_scope_cond("impr.uri", "impr.rule_no") + ")",
+    "enr AS (SELECT i.msg_id, i.cs_no, q.s, q.p, q.o, q.o_kind, q.o_dt, q.o_lang FROM impok i "
+    "JOIN src_after q ON q.s = i.uri WHERE " + source_copy("i.rule_no") + ")",
+]
+FOLD_NET = [
+    "rw_i AS (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM (SELECT s, p, o, o_kind, o_dt, o_lang FROM copied "
+    "UNION ALL SELECT s, p, o, o_kind, o_dt, o_lang FROM enr))",
+    "rw_d AS (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM removed)",
+    "net AS (SELECT 'delete' AS op, * FROM (SELECT * FROM rw_d EXCEPT SELECT * FROM rw_i) "
+    "WHERE (s, p, o, o_kind, o_dt, o_lang) IN (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a) "
+    "UNION ALL SELECT 'insert' AS op, * FROM (SELECT * FROM rw_i EXCEPT SELECT * FROM rw_d "
+    "EXCEPT SELECT * FROM pb_a))",
+]
+SQL["live_flow_net"] = w(*LIVE_BASE, *R1, *R3, *ENRICH, *FOLD_NET) + "SELECT * FROM net"
+
+SQL["fold_cancel"] = w(EV, CHANGES) + (
+    "SELECT msg_id, 'delete' AS op, s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM "
+    "(SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'delete' EXCEPT "
+    "SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'insert') UNION ALL "
+    "SELECT msg_id, 'insert', s, p, o, o_kind, '', '' FROM (SELECT msg_id, s, p, o, o_kind FROM changes "
+    "WHERE op = 'insert' EXCEPT SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'delete')")
+SQL["fold_last_write"] = w(EV, CHANGES) + (
+    "SELECT op, s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM (SELECT *, row_number() OVER ("
+    "PARTITION BY s, p, o, o_kind ORDER BY msg_id DESC, cs_no DESC, pos DESC, "
+    "CASE WHEN op = 'delete' THEN 0 ELSE 1 END DESC) AS rn FROM changes) WHERE rn = 1")
+SQL["effective_changes"] = w(*LIVE_BASE) + (
+    "SELECT 'delete' AS op, * FROM (SELECT s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM batch WHERE op = 'delete' "
+    "EXCEPT SELECT s, p, o, o_kind, '', '' FROM batch WHERE op = 'insert') "
+    "WHERE (s, p, o, o_kind, o_dt, o_lang) IN (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a) "
+    "UNION ALL SELECT 'insert', * FROM (SELECT s, p, o, o_kind, '', '' FROM batch WHERE op = 'insert' "
+    "EXCEPT SELECT s, p, o, o_kind, '', '' FROM batch WHERE op = 'delete' EXCEPT SELECT * FROM pb_a)")
+
+# §5.2: completed links bring lines (J5) and their parts
+SQL["enrich_closure"] = w(QUADS, *reach_ctes("quads", ""),
+    f"msg AS (SELECT DISTINCT s, p, o, o_kind FROM quads WHERE p = 'urn:p:l_orderkey' AND {key('o')} % 17 = 2)",
+    f"eu AS (SELECT DISTINCT s FROM msg WHERE s IN (SELECT node FROM r_l) "
+    f"AND s IN (SELECT s FROM quads WHERE p = {RDF} AND o = 'urn:t:Line'))",
+    "copied AS (SELECT s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM msg WHERE s IN (SELECT s FROM eu))",
+    f"line_exp AS (SELECT {T} FROM quads q WHERE q.s IN (SELECT s FROM eu) AND {configured(3)} AND q.g <> {PUB})",
+    f"parts AS (SELECT DISTINCT o AS s FROM line_exp WHERE p = 'urn:p:l_partkey' AND o IN (SELECT node FROM r_p) "
+    f"AND o IN (SELECT s FROM quads WHERE p = {RDF} AND o = 'urn:t:Part'))",
+    f"part_exp AS (SELECT {T} FROM quads q WHERE q.s IN (SELECT s FROM parts) AND {configured(4)} AND q.g <> {PUB} "
+    f"UNION SELECT {T} FROM quads q WHERE q.o IN (SELECT s FROM parts) AND q.p = 'urn:p:l_partkey' "
+    f"AND q.o_kind = 'uri' AND q.g <> {PUB})",
+) + "SELECT * FROM copied UNION SELECT * FROM line_exp UNION SELECT * FROM part_exp"
+
+# §5.3: a split delete removes lines, cascades to their orders; parts and customers stay
+SQL["cascade_deletes"] = w(QUADS, *expected_ctes("quads", ""),
+    f"after AS (SELECT * FROM quads WHERE NOT ((s LIKE 'urn:r:line/%' OR s LIKE 'urn:r:order/%') AND {key()} % 17 = 2))",
+    f"dl AS (SELECT DISTINCT s FROM quads WHERE s LIKE 'urn:r:line/%' AND {key()} % 17 = 2)",
+    f"rm_lines AS (SELECT * FROM a WHERE s IN (SELECT s FROM dl) AND s IN (SELECT s FROM a WHERE p = {RDF} "
+    f"AND o = 'urn:t:Line') AND p IN ('urn:p:l_quantity', 'urn:p:l_orderkey', 'urn:p:l_partkey', {RDF}) "
+    f"EXCEPT SELECT {T} FROM after)",
+    "ords AS (SELECT DISTINCT o AS s FROM rm_lines WHERE p = 'urn:p:l_orderkey')",
+    f"rm_orders AS (SELECT * FROM a WHERE s IN (SELECT s FROM ords) AND s IN (SELECT s FROM a WHERE p = {RDF} "
+    f"AND o = 'urn:t:Order') AND p IN ('urn:p:o_orderstatus', 'urn:p:o_totalprice', 'urn:p:o_custkey', {RDF}) "
+    f"EXCEPT SELECT {T} FROM after q WHERE {configured(2)} AND {graph_ok(2)})",
+) + "SELECT * FROM rm_lines UNION SELECT * FROM rm_orders"
