@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from quadsync.sources.rules import ExportRule, ExportSpec
 from quadsync.vocab import RDF_TYPE
 
@@ -167,7 +169,44 @@ def scoped_subjects(quads: DataFrame, spec: ExportSpec, rule_types: DataFrame) -
     return pattern_scoped(path_scoped(typed, quads, spec), quads, spec)
 
 
-def in_scope(uris: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "uri") -> DataFrame:
+def path_scoped_forward(cands: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "s") -> DataFrame:
+    """J2 for a small batch: walk each rule's path forward from the candidate
+    URIs (one equi join on (node, predicate) per step, all rules at once), so
+    the cost follows the batch, not the whole reach set (SURVEY §4.3)."""
+    with_path = [r for r in spec.rules if r.path]
+    if not with_path:
+        return cands
+    rc = F.col("rule_no")
+    rel = (quads.where(F.col("p").isin(spec.path_predicates()) & (F.col("o_kind") == "uri"))
+           .select("s", "p", "o"))
+    frontier = (cands.select(F.col(uri_col).alias("uri"), "rule_no").distinct()
+                .where(rc.isin([r.rule_no for r in with_path])).withColumn("node", F.col("uri"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    arrived = []
+    for i in range(max(len(r.path) for r in with_path)):
+        step = per_rule_value(spec, rc, lambda r: r.path[i].lstrip("^") if len(r.path) > i else None)
+        inv = per_rule_value(spec, rc, lambda r: len(r.path) > i and r.path[i].startswith("^"))
+        f = frontier.withColumn("step", step).withColumn("inv", inv)
+        arrived.append(f.where(F.col("step").isNull()).select("uri", "rule_no", "node"))
+        act = f.where(F.col("step").isNotNull())
+        fwd = (act.where(~F.col("inv")).join(rel, (F.col("node") == F.col("s")) & (F.col("step") == F.col("p")))
+               .select("uri", "rule_no", F.col("o").alias("node")))
+        back = (act.where(F.col("inv")).join(rel, (F.col("node") == F.col("o")) & (F.col("step") == F.col("p")))
+                .select("uri", "rule_no", F.col("s").alias("node")))
+        # each level is cached (batch-sized): later plans read the cached
+        # relation, so the plan does not double with every step; a lost
+        # block is recomputed from the level before
+        frontier = fwd.unionByName(back).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    arrived.append(frontier)
+    ok = (reduce(DataFrame.unionByName, arrived).where(F.col("node") == spec.concept_scheme)
+          .select(F.col("uri").alias(uri_col), "rule_no").distinct())
+    has_path = rc.isin([r.rule_no for r in with_path])
+    return (cands.where(has_path).join(ok, [uri_col, "rule_no"], "left_semi")
+            .unionByName(cands.where(~has_path)))
+
+
+def in_scope(uris: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "uri",
+             forward: bool = True) -> DataFrame:
     """J3 for a batch of ``(uri, rule_no, ...)``: path AND a triple of the URI in
     an allowed graph (passing the expression filter) AND the pattern filter.
     No type test (the reference leaves it to the caller)."""
@@ -176,4 +215,5 @@ def in_scope(uris: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str =
           .where(allowed_graph(spec) & filter_expr_condition(spec))
           .select(uri_col, "rule_no").distinct())
     x = uris.join(ok, [uri_col, "rule_no"], "left_semi")
-    return pattern_scoped(path_scoped(x, quads, spec, uri_col), quads, spec, uri_col)
+    paths = path_scoped_forward if forward else path_scoped
+    return pattern_scoped(paths(x, quads, spec, uri_col), quads, spec, uri_col)

@@ -450,3 +450,95 @@ SQL["cascade_deletes"] = w(QUADS, *expected_ctes("quads", ""),
     f"AND o = 'urn:t:Order') AND p IN ('urn:p:o_orderstatus', 'urn:p:o_totalprice', 'urn:p:o_custkey', {RDF}) "
     f"EXCEPT SELECT {T} FROM after q WHERE {configured(2)} AND {graph_ok(2)})",
 ) + "SELECT * FROM rm_lines UNION SELECT * FROM rm_orders"
+
+
+# --------------------------------------------------- feed, terms, control
+
+FOLD_MSG = ("fc AS (SELECT msg_id, 'delete' AS op, s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM "
+            "(SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'delete' EXCEPT "
+            "SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'insert') UNION ALL "
+            "SELECT msg_id, 'insert', s, p, o, o_kind, '', '' FROM (SELECT msg_id, s, p, o, o_kind FROM changes "
+            "WHERE op = 'insert' EXCEPT SELECT msg_id, s, p, o, o_kind FROM changes WHERE op = 'delete'))")
+CHUNKS = [
+    EV, CHANGES, FOLD_MSG,
+    "side AS (SELECT msg_id, op, COUNT(*) AS n FROM fc GROUP BY msg_id, op)",
+    "sp AS (SELECT msg_id, MAX(n) > 100 AS split FROM side GROUP BY msg_id)",
+    "r AS (SELECT fc.*, (row_number() OVER (PARTITION BY msg_id, op ORDER BY s, p, o, o_kind, o_dt, o_lang) - 1) // 100 "
+    "AS chunk FROM fc)",
+    "nc AS (SELECT msg_id, op, MAX(chunk) + 1 AS nchunks FROM r GROUP BY msg_id, op)",
+    "goff AS (SELECT msg_id, op, COALESCE(SUM(nchunks) OVER (PARTITION BY msg_id ORDER BY "
+    "CASE WHEN op = 'delete' THEN 0 ELSE 1 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g_off FROM nc)",
+    "pc AS (SELECT n.msg_id, CASE WHEN sp.split THEN SUM(n.nchunks) ELSE 1 END AS n_out FROM nc n "
+    "JOIN sp ON sp.msg_id = n.msg_id GROUP BY n.msg_id, sp.split)",
+    "co AS (SELECT msg_id, COALESCE(SUM(n_out) OVER (ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS cs_off FROM pc)",
+    "outn AS (SELECT r.*, CAST(co.cs_off + CASE WHEN sp.split THEN goff.g_off + r.chunk ELSE 0 END AS BIGINT) AS out_no "
+    "FROM r JOIN sp ON sp.msg_id = r.msg_id JOIN goff ON goff.msg_id = r.msg_id AND goff.op = r.op "
+    "JOIN co ON co.msg_id = r.msg_id)",
+]
+SQL["delta_file_chunks"] = w(*CHUNKS) + (
+    "SELECT out_no // 10 AS file_no, CAST(out_no % 10 AS INTEGER) AS slot, op, COUNT(*) AS n_triples "
+    "FROM outn GROUP BY out_no // 10, out_no % 10, op")
+SQL["delta_file_feed"] = w(*CHUNKS, "base AS (SELECT MAX(ts) AS b FROM events)") + (
+    "SELECT DISTINCT 'delta-b0-' || CAST(out_no // 10 AS VARCHAR) || '.json' AS name, "
+    "(SELECT b FROM base) + to_milliseconds(out_no // 10) AS created FROM outn "
+    "WHERE (SELECT b FROM base) + to_milliseconds(out_no // 10) > (SELECT b FROM base) + INTERVAL 3 MILLISECOND "
+    "ORDER BY created, name LIMIT 1000")
+SQL["replay_feed"] = w(*LIVE_BASE, *R1, *R3, *ENRICH, *FOLD_NET) + (
+    "SELECT * FROM pb_a EXCEPT SELECT s, p, o, o_kind, o_dt, o_lang FROM net WHERE op = 'delete' "
+    "UNION SELECT s, p, o, o_kind, o_dt, o_lang FROM net WHERE op = 'insert'")
+SQL["page_triples"] = w(QUADS, *expected_ctes("quads", "")) + (
+    "SELECT * FROM a ORDER BY s, p, o, o_kind, o_dt, o_lang LIMIT 1000 OFFSET 3000")
+BS = "\\"
+ESC = (f"replace(replace(replace(replace(o, '{BS}', '{BS}{BS}'), '\"', '{BS}\"'), chr(10), '{BS}n'), "
+       f"chr(13), '{BS}r')")
+SQL["ntriples_export"] = w(QUADS) + (
+    "SELECT DISTINCT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'uri' THEN '<' || o || '>' ELSE "
+    "'\"' || " + ESC + " || '\"' || CASE WHEN o_dt <> '' THEN '^^<' || o_dt || '>' "
+    "WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || ' .' AS nt FROM quads "
+    "WHERE s LIKE 'urn:r:document/%' OR s LIKE 'urn:r:customer/%'")
+SQL["decode_literals"] = w(QUADS) + (
+    f"SELECT DISTINCT s, p, o, CASE WHEN o_dt = {INT_DT} THEN TRY_CAST(o AS BIGINT) END AS int_value, "
+    f"CASE WHEN o_dt = {TS_DT} THEN TRY_CAST(o AS TIMESTAMP) END AS ts_value FROM quads WHERE o_dt IN ({INT_DT}, {TS_DT})")
+SQL["logical_literal_equality"] = w(
+    QUADS,
+    f"pub AS (SELECT DISTINCT {T} FROM quads WHERE p IN ('urn:p:o_orderdate', 'urn:p:o_totalprice'))",
+    f"ch AS (SELECT CASE WHEN {key()} % 3 = 0 THEN 'delete' ELSE 'insert' END AS op, s, p, "
+    "CASE WHEN p = 'urn:p:o_orderdate' THEN o || '.000Z' ELSE '+0' || o || '0' END AS o, o_kind, o_dt, o_lang "
+    f"FROM pub WHERE {key()} % 3 < 2)",
+    "m AS (SELECT c.*, EXISTS (SELECT 1 FROM pub b WHERE b.s = c.s AND b.p = c.p AND (CASE WHEN c.p = 'urn:p:o_orderdate' "
+    "THEN TRY_CAST(replace(c.o, 'Z', '') AS TIMESTAMP) = TRY_CAST(b.o AS TIMESTAMP) "
+    "ELSE TRY_CAST(c.o AS DECIMAL(38,12)) = TRY_CAST(b.o AS DECIMAL(38,12)) END)) AS found FROM ch c)",
+) + "SELECT op, s, p, o FROM m WHERE (op = 'delete' AND found) OR (op = 'insert' AND NOT found)"
+JOBS = [
+    "rng AS (SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM events)",
+    "jobs AS (SELECT lo - INTERVAL 1 HOUR AS ts, 'job/initial' AS job_id, 'initialSync' AS job_operation, "
+    "'success' AS status FROM rng "
+    "UNION ALL SELECT make_timestamp(epoch_us(lo) + (epoch_us(hi) - epoch_us(lo)) // 3), 'job/heal', 'healing', "
+    "'scheduled' FROM rng "
+    "UNION ALL SELECT make_timestamp(epoch_us(lo) + (epoch_us(hi) - epoch_us(lo)) // 3) + INTERVAL 1 SECOND, "
+    "'job/heal', 'healing', 'busy' FROM rng "
+    "UNION ALL SELECT make_timestamp(epoch_us(lo) + (epoch_us(hi) - epoch_us(lo)) // 2), 'job/heal', 'healing', "
+    "'success' FROM rng)",
+    "iv AS (SELECT job_id, job_operation, status, ts AS st, LEAD(ts) OVER (PARTITION BY job_id ORDER BY ts) AS en FROM jobs)",
+    "span AS (SELECT event_id // 100 AS msg_id, MIN(ts) AS t0, MAX(ts) AS t1 FROM events GROUP BY event_id // 100)",
+]
+SQL["gate_messages"] = w(*JOBS) + (
+    "SELECT s.msg_id, CASE "
+    "WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.status = 'scheduled' AND j.ts BETWEEN s.t0 AND s.t1) THEN 'heal' "
+    "WHEN EXISTS (SELECT 1 FROM iv WHERE iv.status IN ('scheduled', 'busy') AND s.t0 >= iv.st "
+    "AND (iv.en IS NULL OR s.t0 < iv.en)) THEN 'blocked' "
+    "WHEN (SELECT MIN(ts) FROM jobs WHERE job_operation = 'initialSync' AND status = 'success') IS NULL "
+    "OR (SELECT MIN(ts) FROM jobs WHERE job_operation = 'initialSync' AND status = 'success') >= s.t0 THEN 'no_sync' "
+    "ELSE 'process' END AS decision FROM span s")
+SQL["error_debounce"] = w(
+    "e AS (SELECT event_id AS id, ts AS created, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error')",
+    "f AS (SELECT *, CASE WHEN LAG(created) OVER (PARTITION BY d ORDER BY created, id) IS NULL "
+    "OR created - LAG(created) OVER (PARTITION BY d ORDER BY created, id) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM e)",
+    "g AS (SELECT *, SUM(brk) OVER (PARTITION BY d ORDER BY created, id ROWS UNBOUNDED PRECEDING) AS isl FROM f)",
+) + ("SELECT 'default' AS stream, MIN(created) AS first_at, MAX(created) AS last_at, arg_max(id, created) AS last_id, "
+     "COUNT(*) AS n_errors FROM g GROUP BY d, isl")
+SQL["in_scope_batch"] = w(QUADS, *reach_ctes("quads", "")) + (
+    "SELECT DISTINCT 'urn:r:customer/' || CAST(user_id AS VARCHAR) AS uri, 1 AS rule_no FROM events "
+    "WHERE 'urn:r:customer/' || CAST(user_id AS VARCHAR) IN (SELECT node FROM r_c) AND EXISTS (SELECT 1 FROM quads q "
+    f"WHERE q.s = 'urn:r:customer/' || CAST(user_id AS VARCHAR) AND q.g <> {PUB})")

@@ -282,3 +282,130 @@ QUERIES.update({
     "effective_changes": effective_changes_q,
     "live_flow_net": live_flow_net,
 })
+
+
+# ------------------------------------------------------- feed, terms, control
+
+import datetime as _dt  # noqa: E402
+
+from quadsync.functions.terms import decode_literal, ntriple  # noqa: E402
+from quadsync.operators.feed import (  # noqa: E402
+    chunk_changes, delta_documents, explode_delta_documents, feed, manifest_rows, page, replay,
+)
+from quadsync.operators.gate import debounce_errors, gate  # noqa: E402
+from quadsync.operators.scope import in_scope  # noqa: E402
+from quadsync.sources.tables import read_table  # noqa: E402
+from quadsync.vocab import XSD_DATETIME, XSD_INTEGER  # noqa: E402
+
+
+def _message_chunks(spark, sf_dir):
+    folded = fold_cancel(event_changes(spark, sf_dir), keys=["msg_id"])
+    return chunk_changes(folded, cs_keys=["msg_id"])
+
+
+def delta_file_chunks(spark, sf_dir):
+    return _message_chunks(spark, sf_dir).groupBy("file_no", "slot", "op").agg(F.count(F.lit(1)).alias("n_triples"))
+
+
+def delta_file_feed(spark, sf_dir):
+    chunks = _message_chunks(spark, sf_dir)
+    base = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    start = F.lit(base).cast("timestamp_ntz")
+    named = (chunks.select("file_no").distinct()
+             .withColumn("created", start + F.make_interval(secs=(F.col("file_no") / F.lit(1000)).cast("decimal(18,6)")))
+             .withColumn("day", F.date_format("created", "yyyy-MM-dd"))
+             .withColumn("name", F.format_string("delta-b0-%d.json", F.col("file_no"))))
+    manifest = manifest_rows(named, "share/deltas", "b0", "urn:r:publisher/default")
+    since = F.lit(base + _dt.timedelta(milliseconds=3)).cast("timestamp_ntz")
+    return feed(manifest, since).select("name", "created")
+
+
+def replay_feed(spark, sf_dir):
+    fx = LiveFixture(spark, sf_dir)
+    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec, message_keys=())
+    chunks = chunk_changes(net.withColumn("cs_no", F.lit(0)))
+    docs = delta_documents(chunks, fx.spec.publication_graph)
+    files = explode_delta_documents(docs)
+    return replay(files, fx.pub_before)
+
+
+def page_triples(spark, sf_dir):
+    return page(_triples(expected(quad_store(spark, sf_dir), base_spec())), TRIPLE_COLS, 1000, 3)
+
+
+def _doc_and_customer_quads(spark, sf_dir):
+    q = quad_store(spark, sf_dir)
+    return q.where(F.col("s").startswith("urn:r:document/") | F.col("s").startswith("urn:r:customer/"))
+
+
+def ntriples_export(spark, sf_dir):
+    return _doc_and_customer_quads(spark, sf_dir).select(ntriple().alias("nt")).distinct()
+
+
+def decode_literals(spark, sf_dir):
+    q = quad_store(spark, sf_dir).where(F.col("o_dt").isin(XSD_INTEGER, XSD_DATETIME))
+    as_int, _ = decode_literal()
+    as_ts = F.when(F.col("o_dt") == XSD_DATETIME, F.col("o").try_cast("timestamp_ntz"))
+    return q.select("s", "p", "o", as_int.alias("int_value"), as_ts.alias("ts_value")).distinct()
+
+
+def logical_literal_equality(spark, sf_dir):
+    """J8 on logical equality: the same values in other spellings."""
+    from quadsync.functions.terms import canonical_object
+    from quadsync.sources.fixtures import resource_key
+
+    q = quad_store(spark, sf_dir).where(F.col("p").isin(P("o_orderdate"), P("o_totalprice")))
+    pub = q.select(*TRIPLE_COLS, "o_key").distinct()
+    alt = F.when(F.col("p") == P("o_orderdate"), F.concat("o", F.lit(".000Z"))).otherwise(
+        F.concat(F.lit("+0"), "o", F.lit("0")))
+    k = resource_key(F.col("s")) % 3
+    ch = (pub.where(k < 2).withColumn("o", alt)
+          .withColumn("op", F.when(k == 0, F.lit("delete")).otherwise(F.lit("insert")))
+          .withColumn("o_key", canonical_object("o", "o_kind", "o_dt")))
+    return effective_changes(ch.select("op", *TRIPLE_COLS, "o_key"), pub).select("op", "s", "p", "o")
+
+
+def job_events_fixture(spark, sf_dir):
+    """FIXTURES §5: initial sync before the first event; a healing job
+    scheduled at one third of the time range, busy, done at one half."""
+    lo, hi = read_table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    third, half = lo + (hi - lo) // 3, lo + (hi - lo) // 2
+    rows = [(lo - _dt.timedelta(hours=1), "job/initial", "initialSync", "success"),
+            (third, "job/heal", "healing", "scheduled"),
+            (third + _dt.timedelta(seconds=1), "job/heal", "healing", "busy"),
+            (half, "job/heal", "healing", "success")]
+    return spark.createDataFrame(rows, "ts timestamp_ntz, job_id string, job_operation string, status string")
+
+
+def gate_messages(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    msgs = (ev.groupBy((F.col("event_id") / 100).cast("bigint").alias("msg_id"))
+            .agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+    return gate(msgs, job_events_fixture(spark, sf_dir))
+
+
+def error_debounce(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    errors = ev.select(F.lit("default").alias("stream"), F.col("event_id").alias("id"), F.col("ts").alias("created"))
+    return debounce_errors(errors, gap="5 minutes")
+
+
+def in_scope_batch(spark, sf_dir):
+    spec = only(base_spec(), 1)
+    ev = read_table(spark, sf_dir, "events")
+    uris = ev.select(F.concat(F.lit("urn:r:customer/"), F.col("user_id").cast("string")).alias("uri")).distinct()
+    return in_scope(uris.withColumn("rule_no", F.lit(1)), quad_store(spark, sf_dir), spec)
+
+
+QUERIES.update({
+    "delta_file_chunks": delta_file_chunks,
+    "delta_file_feed": delta_file_feed,
+    "replay_feed": replay_feed,
+    "page_triples": page_triples,
+    "ntriples_export": ntriples_export,
+    "decode_literals": decode_literals,
+    "logical_literal_equality": logical_literal_equality,
+    "gate_messages": gate_messages,
+    "error_debounce": error_debounce,
+    "in_scope_batch": in_scope_batch,
+})
