@@ -542,3 +542,5 @@ SQL["in_scope_batch"] = w(QUADS, *reach_ctes("quads", "")) + (
     "SELECT DISTINCT 'urn:r:customer/' || CAST(user_id AS VARCHAR) AS uri, 1 AS rule_no FROM events "
     "WHERE 'urn:r:customer/' || CAST(user_id AS VARCHAR) IN (SELECT node FROM r_c) AND EXISTS (SELECT 1 FROM quads q "
     f"WHERE q.s = 'urn:r:customer/' || CAST(user_id AS VARCHAR) AND q.g <> {PUB})")
+
+SQL["stream_live_flow"] = SQL["live_flow_net"]

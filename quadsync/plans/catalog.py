@@ -409,3 +409,27 @@ QUERIES.update({
     "error_debounce": error_debounce,
     "in_scope_batch": in_scope_batch,
 })
+
+
+# ---------------------------------------------------------------- streaming
+
+def stream_live_flow(spark, sf_dir):
+    """The live batch as message files, one availableNow micro-batch."""
+    import uuid
+
+    from quadsync.session import ensure_checkpoint_dir
+    from quadsync.sources.messages import to_messages
+    from quadsync.streaming.live_stream import PublicationStore, batch_handler, start_live_stream
+
+    fx = LiveFixture(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    to_messages(fx.batch).coalesce(1).write.json(f"{root}/in")
+    fx.pub_before.write.parquet(f"{root}/pub/v=-1")
+    store = PublicationStore(spark, f"{root}/pub")
+    handler = batch_handler(fx.spec, lambda _b: fx.source_after, store, f"{root}/out")
+    q = start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("op", *TRIPLE_COLS)
+
+
+QUERIES["stream_live_flow"] = stream_live_flow
