@@ -316,13 +316,14 @@ def delta_file_chunks(spark, sf_dir):
 def delta_file_feed(spark, sf_dir):
     chunks = _message_chunks(spark, sf_dir)
     base = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    start = F.lit(base).cast("timestamp_ntz")
+    # literals from text: independent of the session and system time zones
+    start = F.lit(base.isoformat(sep=" ")).cast("timestamp_ntz")
     named = (chunks.select("file_no").distinct()
              .withColumn("created", start + F.make_interval(secs=(F.col("file_no") / F.lit(1000)).cast("decimal(18,6)")))
              .withColumn("day", F.date_format("created", "yyyy-MM-dd"))
              .withColumn("name", F.format_string("delta-b0-%d.json", F.col("file_no"))))
     manifest = manifest_rows(named, "share/deltas", "b0", "urn:r:publisher/default")
-    since = F.lit(base + _dt.timedelta(milliseconds=3)).cast("timestamp_ntz")
+    since = F.lit((base + _dt.timedelta(milliseconds=3)).isoformat(sep=" ")).cast("timestamp_ntz")
     return feed(manifest, since).select("name", "created")
 
 
