@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadsync.session import ensure_checkpoint_dir
+from quadsync.session import ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +22,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there,
     so lost executors cost no recomputation of what lies before."""
+    ship_package(df.sparkSession)
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
