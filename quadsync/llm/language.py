@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadsync.llm.mixing import hash_unit
 from quadsync.llm.shared import table
@@ -151,11 +152,12 @@ def score_batches(langs: list[str], model) -> Callable:
     return run
 
 
-def identify(docs: DataFrame, labelled: DataFrame, carry: Column, carry_type: str) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, carry: Column, carry_type: T.DataType) -> DataFrame:
     """docs with ``text`` -> (row, lang_pred, score); ``carry`` is what goes along as ``row``."""
     langs, logs = fit(labelled)
     model = docs.sparkSession.sparkContext.broadcast(logs)
-    return docs.select(carry.alias("row"), "text").mapInArrow(score_batches(langs, model), f"row {carry_type}, lang_pred string, score double")
+    schema = T.StructType([T.StructField("row", carry_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(carry.alias("row"), "text").mapInArrow(score_batches(langs, model), schema)
 
 
 def fold(doc_id: Column) -> Column:
@@ -164,5 +166,5 @@ def fold(doc_id: Column) -> Column:
 
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = identify(docs, docs.where(fold(F.col("doc_id")) != 1), F.col("doc_id").cast("long"), "long")
+    out = identify(docs, docs.where(fold(F.col("doc_id")) != 1), F.col("doc_id").cast("long"), T.LongType())
     return out.select(F.col("row").alias("doc_id"), (fold(F.col("row")) == 1).alias("held_out"), "lang_pred", "score")

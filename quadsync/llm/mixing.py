@@ -79,12 +79,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document's row repeated ``copies`` times."""
-    cols = [c for c in docs.columns]
-    m = mix_sources(docs, keep=tuple(f"`{c}`" for c in cols))
-    return (m.where("copies > 0")
-            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-            .select(*[F.col(f"row.`{c}`").alias(c) for c in cols], "copy"))
+    """The mix itself: every document's row comes as often as it is taken."""
+    m = mix_sources(docs, keep=tuple(f"`{c}`" for c in docs.columns))
+    rows = m.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir):
