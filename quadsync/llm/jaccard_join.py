@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadsync.llm.bloom import marked, passes
 from quadsync.llm.components import star_components
 from quadsync.llm.shared import store, table
 from quadsync.llm.text_arrays import mix, shingle_sets
@@ -167,14 +168,17 @@ def find_runs(t: pa.Table) -> pa.Table:
     return pa.concat_tables([docs, runs])
 
 
-def tokens_of(k: int) -> Callable:
+def tokens_of(k: int, wanted) -> Callable:
+    """The sets of documents whose ids are marked in ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.is_valid(b.column(0)))
+            b = b.filter(pa.array(passes(b.column(0).to_numpy(zero_copy_only=False), wanted.value)))
             blobs, f1 = [], []
             for _, s in shingle_sets(b.column(1), k):
                 blobs.append(s.tobytes())
                 f1.append(set_sums(s)[0])
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(f1, pa.int64()), pa.array(blobs, pa.binary())], names=["t_rep", "t_f1", "tokens"])
+            yield pa.record_batch([b.column(0), pa.array(f1, pa.int64()), pa.array(blobs, pa.binary())], names=["t_rep", "t_f1", "tokens"])
     return run
 
 
@@ -257,8 +261,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     askers = queries.join(count, "g").select("g", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
     work = store(members.unionByName(askers), "group-work")
 
-    wanted = work.select(F.col("rep").alias("doc_id")).distinct()
-    tokens = docs.join(wanted, "doc_id", "left_semi").mapInArrow(tokens_of(k), "t_rep long, t_f1 long, tokens binary")
+    # the texts stay where they are: marks of the ids that have work go to them
+    wanted = spark.sparkContext.broadcast(marked(sets.select("rep"), sets.count()))
+    tokens = docs.mapInArrow(tokens_of(k, wanted), "t_rep long, t_f1 long, tokens binary")
     known = sets.select("rep", "sid")
     tokens = tokens.join(known, (F.col("t_rep") == F.col("rep")) & (F.col("t_f1") == F.col("sid"))).select("rep", "tokens")
     links = work.join(tokens, "rep").groupBy("g", "part").applyInPandas(open_group(percent), "a long, b long")
