@@ -12,11 +12,12 @@ every document, exact for every link:
    too).  Sets with an equal part form a *run*.  A passage that many documents
    share makes no run, only a whole equal part does.
 3. Sets are partitioned into *groups*: by the smallest set of their runs, the
-   size band, and a hash, ``GROUP`` sets each.
+   size band, and a hash, about ``GROUP_TOKENS`` shingles each.
 4. Each set asks the groups in its runs.  A group's task holds its token union
    as a matrix (token -> members).  The query's overlap with the union bounds
    its overlap with every member; only a group whose bound reaches the
-   threshold is opened and its members are counted exactly.
+   threshold is opened and its members are counted exactly.  Members explore
+   their own group from set to set; those already reached leave the matrix.
 5. A task returns a spanning forest of the links it found, never all pairs;
    components follow by star contraction.
 
@@ -46,8 +47,8 @@ from quadsync.llm.text_arrays import mix, shingle_sets
 
 WORDS = 4
 PERCENT = 85
-GROUP = 256
-QUERIES_AT_ONCE = 1024
+GROUP_TOKENS = 1 << 18
+QUERY_TOKENS = 1 << 21
 
 
 @lru_cache(maxsize=8)
@@ -182,21 +183,43 @@ def tokens_of(k: int, wanted) -> Callable:
     return run
 
 
+class Matrix:
+    """Token union of some sets, with the sets that hold each token."""
+
+    def __init__(self, sets: list[np.ndarray], which: np.ndarray):
+        self.which = which
+        token = np.concatenate([sets[j] for j in which])
+        owner = np.repeat(np.arange(len(which)), [len(sets[j]) for j in which])
+        o = np.argsort(token, kind="stable")
+        token, self.owner = token[o], owner[o]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        self.union, self.at = token[first], np.append(first, len(token))
+        self.size = np.array([len(sets[j]) for j in which])
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that link with ``s``; the group is opened only if its union holds enough of ``s``."""
+        pos = np.searchsorted(self.union, s)
+        pos = np.minimum(pos, len(self.union) - 1)
+        pos = pos[self.union[pos] == s]
+        if 100 * len(pos) < percent * len(s):
+            return self.which[:0]
+        n = self.at[pos + 1] - self.at[pos]
+        hit = np.repeat(self.at[pos] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[hit], minlength=len(self.which))
+        return self.which[100 * both >= percent * (len(s) + self.size - both)]
+
+
 def open_group(percent: int) -> Callable:
     """A group's members and queries -> spanning forest (a, b) of the links found."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         reps = pdf["rep"].to_numpy()
         sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-        size = np.array([len(s) for s in sets])
-        members = np.flatnonzero(pdf["member"].to_numpy())
+        is_member = pdf["member"].to_numpy()
+        members, askers = np.flatnonzero(is_member), np.flatnonzero(~is_member)
+        edges: list[tuple[int, int]] = []
         if not len(members):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        token = np.concatenate([sets[j] for j in members])
-        owner = np.repeat(np.arange(len(members)), size[members])
-        o = np.argsort(token, kind="stable")
-        token, owner = token[o], owner[o]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        union, at = token[first], np.append(first, len(token))
+            return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+        matrix = Matrix(sets, members)
         parent = np.arange(len(reps))
 
         def root(x: int) -> int:
@@ -205,31 +228,34 @@ def open_group(percent: int) -> Callable:
                 x = parent[x]
             return x
 
-        edges = []
-        ask_all = bool((pdf["part"] == 0).iloc[0])
-        is_member = pdf["member"].to_numpy()
-        for q in range(len(reps)):
-            if is_member[q] and not ask_all:
-                continue
-            pos = np.searchsorted(union, sets[q])
-            pos = pos[pos < len(union)] if len(pos) and pos[-1] >= len(union) else pos
-            pos = pos[union[pos] == sets[q][: len(pos)]]
-            if 100 * len(pos) < percent * size[q]:
-                continue
-            n = at[pos + 1] - at[pos]
-            hit = np.repeat(at[pos] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            both = np.bincount(owner[hit], minlength=len(members))
-            for j in members[100 * both >= percent * (size[q] + size[members] - both)]:
-                x, y = root(q), root(int(j))
+        for q in askers:
+            for j in matrix.linked(sets[q], percent):
+                x, y = root(q), root(j)
                 if x != y:
                     parent[x] = y
-                    if reps[q] != reps[j]:
-                        edges.append((reps[q], reps[j]))
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+                    edges.append((reps[q], reps[j]))
+        if pdf["part"].iloc[0] == 0 and len(members) > 1:
+            left = np.zeros(len(reps), bool)
+            left[members] = True
+            for start in members:
+                todo = [start] if left[start] else []
+                left[start] = False
+                while todo:
+                    x = todo.pop()
+                    found = [j for j in matrix.linked(sets[x], percent) if left[j]]
+                    for j in found:
+                        left[j] = False
+                        edges.append((reps[x], reps[j]))
+                    todo += found
+                    if 2 * left.sum() < len(matrix.which):
+                        if not left.any():
+                            break
+                        matrix = Matrix(sets, np.flatnonzero(left))
+        return pd.DataFrame([e for e in edges if e[0] != e[1]], columns=["a", "b"]).astype("int64")
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, group: int = GROUP, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS, query_tokens: int = QUERY_TOKENS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), a row per row."""
     spark = docs.sparkSession
     p = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -243,19 +269,19 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     sets = (labels.join(classes, labels["sid"] == classes["f1"])
             .select("sid", "rep", "n", "label", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")))
     sets = store(sets, "candidates")
-    sizes = sets.groupBy("label", "band").agg(F.ceil(F.count("*") / group).alias("chunks"))
+    sizes = store(sets.groupBy("label", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks")), "group-chunks")
     sets = sets.join(sizes, ["label", "band"]).withColumn("g", F.xxhash64("label", "band", F.pmod(F.xxhash64("rep"), F.col("chunks")))).drop("label", "chunks")
     sets = store(sets, "groups")
 
-    asked = runs.select("run", "sid").join(sets, "sid").select("run", "rep", "band", "g")
+    asked = runs.select("run", "sid").join(sets, "sid").select("run", "rep", "n", "band", "g")
     there = asked.select("run", F.col("g").alias("to"), F.col("band").alias("to_band")).distinct()
     near = (F.col("band") == F.col("to_band") - 1) | ((F.col("band") == F.col("to_band")) & (F.col("g") < F.col("to")))
-    queries = store(asked.join(there, "run").where(near).select(F.col("to").alias("g"), "rep").distinct(), "queries")
+    queries = store(asked.join(there, "run").where(near).select(F.col("to").alias("g"), "rep", "n").distinct(), "queries")
 
     count = (sets.groupBy("g").agg(F.count("*").alias("own"))
-             .join(queries.groupBy("g").agg(F.count("*").alias("asking")), "g", "left")
+             .join(queries.groupBy("g").agg(F.sum("n").alias("asking")), "g", "left")
              .where("own > 1 OR asking > 0")
-             .select("g", F.greatest(F.lit(1), F.ceil(F.coalesce("asking", F.lit(0)) / at_once)).cast("int").alias("parts")))
+             .select("g", F.greatest(F.lit(1), F.ceil(F.coalesce("asking", F.lit(0)) / query_tokens)).cast("int").alias("parts")))
     count = store(count, "group-sizes")
     members = sets.join(count, "g").select("g", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
     askers = queries.join(count, "g").select("g", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
