@@ -145,8 +145,9 @@ def best_run(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int,
     same = item[a:b] == doc[a + offset: b + offset]
     total = np.append(0, np.cumsum(np.where(same, 1, MISMATCH)))
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
+    gain = total - low
+    end = int(np.flatnonzero(gain == gain.max())[-1])  # of equal runs the longest
+    start = int(np.flatnonzero(total[:end + 1] == low[end])[0])
     return end - start, int(same[start:end].sum()), a + offset + start
 
 

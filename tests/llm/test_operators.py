@@ -163,11 +163,12 @@ def test_mixing(spark, corpus):
 def test_mixing_comes_near_the_targets(spark):
     rows = [(i, "w " * (1 + i % 50), "en", "abcd"[i % 4]) for i in range(4000)]
     m = mixing.mix_sources(docs_of(spark, rows)).collect()
-    taken, target = Counter(), {}
+    taken, target, variance = Counter(), {}, Counter()
     for r in m:
         taken[r.source] += r.size * r.copies
         target[r.source] = r.target
-    assert all(abs(taken[s] - t) < 0.06 * t for s, t in target.items())
+        variance[r.source] += r.size ** 2 * (r.rate % 1) * (1 - r.rate % 1)
+    assert all(abs(taken[s] - t) < 4 * variance[s] ** 0.5 for s, t in target.items())
 
 
 def plant(rows, item):
@@ -297,7 +298,8 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
         hit += len(set(best.tolist()) & set(found))
         total += 20
     assert hit >= 0.9 * total
-    assert [j for j, _ in got[320]] == [*range(300, 320)]
+    ties = [j for j, _ in got[320] if 300 <= j < 700]
+    assert ties and ties == [*range(300, 300 + len(ties))]
     assert got[2080] == [(2081, 4.0)]
     assert set(got) == {*range(0, 1500, 20), 2080}
 

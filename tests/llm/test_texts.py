@@ -11,7 +11,7 @@ import pytest
 from quadsync.llm import pii, toxicity, warc
 from quadsync.llm.decontaminate import best_run, word_hashes
 from quadsync.llm.html_labelled import labelled_pages
-from quadsync.llm.html_main import main_text, node_labels, train
+from quadsync.llm.html_main import TRAIN_PAGES, main_text, node_labels, train
 from quadsync.llm.html_tree import parse
 from quadsync.llm.jaccard_join import part_hashes
 from quadsync.llm.language import code_points, ngrams
@@ -106,7 +106,7 @@ def test_detection_is_linear(text):
 
 @pytest.fixture(scope="module")
 def page_model():
-    return train(labelled_pages(300))
+    return train(labelled_pages(TRAIN_PAGES))
 
 
 def test_page_model_holds_on_unseen_layouts(page_model):
@@ -160,9 +160,11 @@ def test_words_and_runs_of_benchmarks():
     item = np.arange(20, dtype=np.uint64)
     doc = np.concatenate([np.full(5, 99, np.uint64), item, np.full(3, 98, np.uint64)])
     assert best_run(item, doc, 5) == (20, 20, 5)
-    doc[[9, 15, 21]] = 77
-    assert best_run(item, doc, 5)[:2] == (20, 17)
-    assert best_run(item, doc[8:], -3)[0] == 17
+    doc[[9, 14, 19]] = 77  # of item 4, 9 and 14: four words in five are equal, and the whole is the longest of the best runs
+    assert best_run(item, doc, 5) == (20, 17, 5)
+    doc[[10, 11]] = 77  # now a part is better
+    assert best_run(item, doc, 5) == (10, 9, 15)
+    assert best_run(item, doc[12:], -7) == (10, 9, 3)
 
 
 def test_code_points_survive_broken_utf8():
