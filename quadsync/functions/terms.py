@@ -55,30 +55,53 @@ def serialize_term(kind, value, dt, lang) -> Column:
 
 
 def ntriple(s="s", p="p", o="o", o_kind="o_kind", o_dt="o_dt", o_lang="o_lang") -> Column:
-    """H5: ``<s> <p> object .`` (subjects and predicates are URIs)."""
+    """H5: ``<s> <p> object.`` (subjects and predicates are URIs)."""
     return F.concat(
         F.lit("<"), _c(s), F.lit("> "), escape_predicate(p), F.lit(" "),
-        serialize_term(o_kind, o, o_dt, o_lang), F.lit(" ."),
+        serialize_term(o_kind, o, o_dt, o_lang), F.lit("."),
     )
 
 
+def utc_wall(instant) -> Column:
+    """An instant as UTC wall time (``timestamp_ntz``), whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(instant)), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def utc_timestamp(o) -> Column:
+    """Text of a dateTime -> UTC wall time; text without zone is UTC; null if it is none."""
+    o = _c(o)
+    full = F.when(o.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(o, F.lit("T00:00:00"))).otherwise(o)
+    zoned = F.when(full.rlike(r"(Z|[+-]\d\d:?\d\d)$") & full.contains(":"), full).otherwise(F.concat(full, F.lit("Z")))
+    return utc_wall(zoned.try_cast("timestamp"))
+
+
+def _canonical_number(o: Column, pattern: str) -> Column:
+    """Digits without superfluous zeros and sign, of any length; null if the text is no such number."""
+    whole = F.regexp_replace(F.regexp_extract(o, r"^[+-]?([0-9]*)", 1), "^0+", "")
+    part = F.regexp_replace(F.regexp_extract(o, r"\.([0-9]*)$", 1), "0+$", "")
+    digits = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
+    signed = F.when(o.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(o.rlike(pattern), signed)
+
+
 def canonical_object(o="o", o_kind="o_kind", o_dt="o_dt") -> Column:
     """Canonical text of an object for logical equality (``o_key``).
 
-    integer: no sign/leading zeros; decimal: no trailing zeros; dateTime:
-    UTC with microseconds; boolean: true/false; anything else: lexical.
+    integer and decimal: no plus sign, no superfluous zeros (text only, so any
+    length and precision is exact); dateTime: UTC with microseconds; boolean:
+    true/false; anything else, also text that is no such value: lexical.
     """
     o, kind, dt = _c(o), _c(o_kind), _c(o_dt)
-    as_int = o.try_cast("decimal(38,0)").cast("string")
-    as_dec = F.regexp_replace(o.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    as_dec = F.when(as_dec == "", F.lit("0")).otherwise(as_dec)
-    as_ts = F.date_format(o.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    t = utc_timestamp(o)
+    stamp = t.cast("string")
+    micros = F.rpad(F.regexp_extract(stamp, r"\.([0-9]+)$", 1), 6, "0")
+    as_ts = F.concat(F.substring(stamp, 1, 10), F.lit("T"), F.substring(stamp, 12, 8), F.lit("."), micros)
     low = F.lower(o)
     as_bool = F.when(low.isin("true", "1"), F.lit("true")).when(low.isin("false", "0"), F.lit("false"))
     return (
         F.when(kind == "uri", o)
-        .when(dt == XSD_INTEGER, F.coalesce(as_int, o))
-        .when(dt == XSD_DECIMAL, F.coalesce(as_dec, o))
+        .when(dt == XSD_INTEGER, F.coalesce(_canonical_number(o, r"^[+-]?[0-9]+$"), o))
+        .when(dt == XSD_DECIMAL, F.coalesce(_canonical_number(o, r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), o))
         .when(dt == XSD_DATETIME, F.coalesce(as_ts, o))
         .when(dt == XSD_BOOLEAN, F.coalesce(as_bool, o))
         .otherwise(o)
@@ -86,17 +109,17 @@ def canonical_object(o="o", o_kind="o_kind", o_dt="o_dt") -> Column:
 
 
 def decode_literal(o="o", o_dt="o_dt"):
-    """H7: typed decode of an object: (integer value, timestamp value)."""
+    """H7: typed decode of an object: (integer value, UTC wall time)."""
     o, dt = _c(o), _c(o_dt)
     return (
         F.when(dt == XSD_INTEGER, o.try_cast("bigint")),
-        F.when(dt == XSD_DATETIME, o.try_cast("timestamp")),
+        F.when(dt == XSD_DATETIME, utc_timestamp(o)),
     )
 
 
 def date_of_instant(ts) -> Column:
-    """H9: ``yyyy-MM-dd`` of an instant (session time zone, UTC by default)."""
-    return F.date_format(_c(ts), "yyyy-MM-dd")
+    """H9: ``yyyy-MM-dd`` of UTC wall time (``utc_wall`` of an instant)."""
+    return F.substring(_c(ts).cast("timestamp_ntz").cast("string"), 1, 10)
 
 
 def share_uri(path, share_root: str = "/share") -> Column:

@@ -223,6 +223,9 @@ SQL["publication_orphans"] = w(*HEAL) + "SELECT * FROM pub EXCEPT SELECT * FROM
 PATCHED = ("after AS (SELECT * FROM pub EXCEPT SELECT s, p, o, o_kind, o_dt, o_lang FROM diff WHERE op = 'delete' "
            "UNION SELECT s, p, o, o_kind, o_dt, o_lang FROM diff WHERE op = 'insert')")
 SQL["apply_patch"] = w(*HEAL, DIFF, PATCHED) + "SELECT * FROM after"
+SQL["heal_delta_files"] = w(*HEAL, DIFF, "n AS (SELECT COUNT(*) FILTER (op = 'delete') AS n_del FROM diff)") + (
+    "SELECT k // 10 AS file_no, CAST(k % 10 AS INTEGER) AS slot, op, COUNT(*) AS n_triples FROM (SELECT op, (row_number() OVER (PARTITION BY op ORDER BY s, p, o, o_kind, o_dt, o_lang) - 1) // 100 "
+    "+ CASE WHEN op = 'insert' THEN CAST(ceil((SELECT n_del FROM n) / 100.0) AS BIGINT) ELSE 0 END AS k FROM diff) GROUP BY k, op")
 SQL["heal_idempotent"] = w(*HEAL, DIFF, PATCHED, *current_ctes("after", "x_")) + (
     "SELECT (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM x_b)) AS n_inserts, "
     "(SELECT COUNT(*) FROM (SELECT * FROM x_b EXCEPT SELECT * FROM a)) AS n_deletes")
@@ -389,6 +392,17 @@ R3 = [
 ]
 SQL["rewrite_deletes"] = w(*LIVE_BASE, *R3) + "SELECT * FROM removed"
 
+# the same on a batch of messages: what earlier messages insert counts as published
+R3_BATCH = [
+    "ins_first AS (SELECT s, p, o, o_kind, o_dt, o_lang, MIN(msg_id) AS since FROM (SELECT msg_id, s, p, o, o_kind, o_dt, o_lang FROM copied "
+    "UNION ALL SELECT msg_id, s, p, o, o_kind, o_dt, o_lang FROM enr) GROUP BY ALL)",
+    "pub_all AS (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a UNION SELECT s, p, o, o_kind, o_dt, o_lang FROM ins_first)",
+    *R3[:3], R3[3].replace("pb_a", "pub_all"),
+    "removed AS (SELECT DISTINCT x.msg_id, x.cs_no, x.s, x.p, x.o, x.o_kind, x.o_dt, x.o_lang FROM "
+    "(SELECT * FROM s4 EXCEPT SELECT * FROM s3) x LEFT JOIN ins_first f USING (s, p, o, o_kind, o_dt, o_lang) "
+    "WHERE (x.s, x.p, x.o, x.o_kind, x.o_dt, x.o_lang) IN (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a) OR f.since < x.msg_id)",
+]
+
 # enrichment round: export of impacted resources in scope (rule 7 clicks on this data)
 ENRICH = [
     "impr AS (SELECT msg_id, cs_no, uri, MIN(rule_no) AS rule_no FROM imp GROUP BY msg_id, cs_no, uri)",
@@ -397,15 +411,17 @@ ENRICH = [
     "JOIN src_after q ON q.s = i.uri WHERE " + source_copy("i.rule_no") + ")",
 ]
 FOLD_NET = [
-    "rw_i AS (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM (SELECT s, p, o, o_kind, o_dt, o_lang FROM copied "
-    "UNION ALL SELECT s, p, o, o_kind, o_dt, o_lang FROM enr))",
-    "rw_d AS (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM removed)",
-    "net AS (SELECT 'delete' AS op, * FROM (SELECT * FROM rw_d EXCEPT SELECT * FROM rw_i) "
-    "WHERE (s, p, o, o_kind, o_dt, o_lang) IN (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a) "
-    "UNION ALL SELECT 'insert' AS op, * FROM (SELECT * FROM rw_i EXCEPT SELECT * FROM rw_d "
-    "EXCEPT SELECT * FROM pb_a))",
+    "rw_i AS (SELECT DISTINCT msg_id, s, p, o, o_kind, o_dt, o_lang FROM (SELECT msg_id, s, p, o, o_kind, o_dt, o_lang FROM copied "
+    "UNION ALL SELECT msg_id, s, p, o, o_kind, o_dt, o_lang FROM enr))",
+    "rw_d AS (SELECT DISTINCT msg_id, s, p, o, o_kind, o_dt, o_lang FROM removed)",
+    "folded AS (SELECT 'delete' AS op, * FROM (SELECT * FROM rw_d EXCEPT SELECT * FROM rw_i) "
+    "UNION ALL SELECT 'insert', * FROM (SELECT * FROM rw_i EXCEPT SELECT * FROM rw_d))",
+    "lastop AS (SELECT s, p, o, o_kind, o_dt, o_lang, arg_max(op, msg_id) AS op FROM folded GROUP BY ALL)",
+    "net AS (SELECT l.op, l.s, l.p, l.o, l.o_kind, l.o_dt, l.o_lang FROM lastop l "
+    "WHERE (l.op = 'delete') = ((l.s, l.p, l.o, l.o_kind, l.o_dt, l.o_lang) IN (SELECT s, p, o, o_kind, o_dt, o_lang FROM pb_a)))",
 ]
-SQL["live_flow_net"] = w(*LIVE_BASE, *R1, *R3, *ENRICH, *FOLD_NET) + "SELECT * FROM net"
+LIVE_NET = w(*LIVE_BASE, *R1, *ENRICH, *R3_BATCH, *FOLD_NET)
+SQL["live_flow_net"] = LIVE_NET + "SELECT * FROM net"
 
 SQL["fold_cancel"] = w(EV, CHANGES) + (
     "SELECT msg_id, 'delete' AS op, s, p, o, o_kind, '' AS o_dt, '' AS o_lang FROM "
@@ -484,7 +500,7 @@ SQL["delta_file_feed"] = w(*CHUNKS, "base AS (SELECT MAX(ts) AS b FROM events)")
     "(SELECT b FROM base) + to_milliseconds(out_no // 10) AS created FROM outn "
     "WHERE (SELECT b FROM base) + to_milliseconds(out_no // 10) > (SELECT b FROM base) + INTERVAL 3 MILLISECOND "
     "ORDER BY created, name LIMIT 1000")
-SQL["replay_feed"] = w(*LIVE_BASE, *R1, *R3, *ENRICH, *FOLD_NET) + (
+SQL["replay_feed"] = LIVE_NET + (
     "SELECT * FROM pb_a EXCEPT SELECT s, p, o, o_kind, o_dt, o_lang FROM net WHERE op = 'delete' "
     "UNION SELECT s, p, o, o_kind, o_dt, o_lang FROM net WHERE op = 'insert'")
 SQL["page_triples"] = w(QUADS, *expected_ctes("quads", "")) + (
@@ -495,21 +511,25 @@ ESC = (f"replace(replace(replace(replace(o, '{BS}', '{BS}{BS}'), '\"', '{BS}\"')
 SQL["ntriples_export"] = w(QUADS) + (
     "SELECT DISTINCT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'uri' THEN '<' || o || '>' ELSE "
     "'\"' || " + ESC + " || '\"' || CASE WHEN o_dt <> '' THEN '^^<' || o_dt || '>' "
-    "WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || ' .' AS nt FROM quads "
-    "WHERE s LIKE 'urn:r:document/%' OR s LIKE 'urn:r:customer/%'")
+    "WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || '.' AS nt FROM quads")
 SQL["decode_literals"] = w(QUADS) + (
     f"SELECT DISTINCT s, p, o, CASE WHEN o_dt = {INT_DT} THEN TRY_CAST(o AS BIGINT) END AS int_value, "
     f"CASE WHEN o_dt = {TS_DT} THEN TRY_CAST(o AS TIMESTAMP) END AS ts_value FROM quads WHERE o_dt IN ({INT_DT}, {TS_DT})")
-SQL["logical_literal_equality"] = w(
+VALUE = (f"COALESCE(CASE o_dt WHEN {INT_DT} THEN CAST(TRY_CAST(o AS HUGEINT) AS VARCHAR) "
+         f"WHEN {DEC_DT} THEN CAST(TRY_CAST(o AS DECIMAL(38,12)) AS VARCHAR) ELSE CAST(TRY_CAST(replace(o, 'Z', '') AS TIMESTAMP) AS VARCHAR) END, o)")
+RESPELLED = [
     QUADS,
-    f"pub AS (SELECT DISTINCT {T} FROM quads WHERE p IN ('urn:p:o_orderdate', 'urn:p:o_totalprice'))",
+    f"pub AS (SELECT DISTINCT {T} FROM quads WHERE o_dt IN ({INT_DT}, {DEC_DT}, {TS_DT}))",
     f"ch AS (SELECT CASE WHEN {key()} % 3 = 0 THEN 'delete' ELSE 'insert' END AS op, s, p, "
-    "CASE WHEN p = 'urn:p:o_orderdate' THEN o || '.000Z' ELSE '+0' || o || '0' END AS o, o_kind, o_dt, o_lang "
-    f"FROM pub WHERE {key()} % 3 < 2)",
-    "m AS (SELECT c.*, EXISTS (SELECT 1 FROM pub b WHERE b.s = c.s AND b.p = c.p AND (CASE WHEN c.p = 'urn:p:o_orderdate' "
-    "THEN TRY_CAST(replace(c.o, 'Z', '') AS TIMESTAMP) = TRY_CAST(b.o AS TIMESTAMP) "
-    "ELSE TRY_CAST(c.o AS DECIMAL(38,12)) = TRY_CAST(b.o AS DECIMAL(38,12)) END)) AS found FROM ch c)",
-) + "SELECT op, s, p, o FROM m WHERE (op = 'delete' AND found) OR (op = 'insert' AND NOT found)"
+    f"CASE o_dt WHEN {TS_DT} THEN o || '.000Z' WHEN {INT_DT} THEN '+0' || o ELSE '+0' || o || '0' END AS o, o_kind, o_dt, o_lang FROM pub)",
+    f"pv AS (SELECT *, {VALUE} AS v FROM pub)",
+    f"cv AS (SELECT *, {VALUE} AS v FROM ch)",
+]
+SQL["logical_literal_equality"] = w(*RESPELLED) + (
+    "SELECT op, s, p, o FROM cv c WHERE (op = 'delete') = EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v)")
+SQL["logical_delete_applied"] = w(*RESPELLED) + (
+    f"SELECT {T} FROM pv b WHERE NOT EXISTS (SELECT 1 FROM cv c WHERE c.op = 'delete' AND b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v) "
+    f"UNION SELECT {T} FROM cv c WHERE c.op = 'insert' AND NOT EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v)")
 JOBS = [
     "rng AS (SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM events)",
     "jobs AS (SELECT lo - INTERVAL 1 HOUR AS ts, 'job/initial' AS job_id, 'initialSync' AS job_operation, "
@@ -532,15 +552,23 @@ SQL["gate_messages"] = w(*JOBS) + (
     "OR (SELECT MIN(ts) FROM jobs WHERE job_operation = 'initialSync' AND status = 'success') >= s.t0 THEN 'no_sync' "
     "ELSE 'process' END AS decision FROM span s")
 SQL["error_debounce"] = w(
-    "e AS (SELECT event_id AS id, ts AS created, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error')",
-    "f AS (SELECT *, CASE WHEN LAG(created) OVER (PARTITION BY d ORDER BY created, id) IS NULL "
-    "OR created - LAG(created) OVER (PARTITION BY d ORDER BY created, id) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM e)",
-    "g AS (SELECT *, SUM(brk) OVER (PARTITION BY d ORDER BY created, id ROWS UNBOUNDED PRECEDING) AS isl FROM f)",
+    "e AS (SELECT event_id AS id, ts AS created FROM events WHERE event_type = 'error')",
+    "f AS (SELECT *, CASE WHEN created - LAG(created) OVER (ORDER BY created, id) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM e)",
+    "g AS (SELECT *, SUM(brk) OVER (ORDER BY created, id ROWS UNBOUNDED PRECEDING) AS isl FROM f)",
 ) + ("SELECT 'default' AS stream, MIN(created) AS first_at, MAX(created) AS last_at, arg_max(id, created) AS last_id, "
-     "COUNT(*) AS n_errors FROM g GROUP BY d, isl")
+     "COUNT(*) AS n_errors FROM g GROUP BY isl")
 SQL["in_scope_batch"] = w(QUADS, *reach_ctes("quads", "")) + (
     "SELECT DISTINCT 'urn:r:customer/' || CAST(user_id AS VARCHAR) AS uri, 1 AS rule_no FROM events "
     "WHERE 'urn:r:customer/' || CAST(user_id AS VARCHAR) IN (SELECT node FROM r_c) AND EXISTS (SELECT 1 FROM quads q "
     f"WHERE q.s = 'urn:r:customer/' || CAST(user_id AS VARCHAR) AND q.g <> {PUB})")
 
 SQL["stream_live_flow"] = SQL["live_flow_net"]
+SQL["stream_replay"] = SQL["live_flow_net"]
+SQL["stream_multi_message"] = SQL["replay_feed"]
+SQL["stream_bad_message"] = w(EV, CHANGES) + (
+    "SELECT msg_id, NULL AS error, 1 AS n_messages, COUNT(*) AS n_changes FROM changes WHERE msg_id % 10 <> 3 GROUP BY msg_id "
+    "UNION ALL SELECT NULL, 'not JSON of a message', COUNT(DISTINCT msg_id), NULL FROM changes WHERE msg_id % 10 = 3 HAVING COUNT(*) > 0")
+SQL["heal_report"] = w(*HEAL, DIFF) + (
+    "SELECT 'run-1' AS run_id, op, p, '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'uri' THEN '<' || o || '>' ELSE "
+    "'\"' || " + ESC + " || '\"' || CASE WHEN o_dt <> '' THEN '^^<' || o_dt || '>' "
+    "WHEN o_lang <> '' THEN '@' || o_lang ELSE '' END END || '.' AS nt FROM diff")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quadsync.operators.diff import apply_patch
 from quadsync.operators.export import current, expected, export_resources
 from quadsync.operators.scope import reach, scoped_subjects, type_quads
-from quadsync.plans.heal import heal, heal_diff, heal_diff_bag, publication_orphans, report_counts
+from quadsync.operators.feed import read_delta_files
+from quadsync.plans.heal import heal, heal_diff, heal_diff_bag, publication_orphans, report_counts, run_healing
 from quadsync.sources.fixtures import base_spec, drifted_publication
 from quadsync.sources.rules import ExportSpec, rule_types_frame
 from quadsync.sources.tables import quad_store, quads_from_tables
@@ -131,9 +132,7 @@ def heal_diff_q(spark, sf_dir):
 
 def heal_diff_bag_q(spark, sf_dir):
     spec, quads, a, pub = _heal_inputs(spark, sf_dir)
-    bag = expected(quads, spec, bag=True)
-    from quadsync.operators.diff import bag_diff
-    return bag_diff(bag, current(pub, spec)).select("op", *TRIPLE_COLS)
+    return heal_diff_bag(quads, pub, spec).select("op", *TRIPLE_COLS)
 
 
 def heal_report_counts(spark, sf_dir):
@@ -152,6 +151,33 @@ def apply_patch_q(spark, sf_dir):
     return _triples(after)
 
 
+def heal_report_q(spark, sf_dir):
+    """K6: the report as the job writes it, read back."""
+    spec, quads, a, pub = _heal_inputs(spark, sf_dir)
+    out = _scratch(spark, "heal")
+    run_healing(quads, pub, spec, out, "run-1", "2024-01-01 00:00:00", publish=False)
+    parts = [spark.read.parquet(f"{out}/report/run=run-1/{name}").select(F.lit("run-1").alias("run_id"), F.lit(op).alias("op"), "p", "nt")
+             for op, name in (("delete", "removed"), ("insert", "inserted"))]
+    return parts[0].unionByName(parts[1])
+
+
+def heal_delta_files(spark, sf_dir):
+    """K8: the delta files that healing wrote, read back."""
+    spec, quads, a, pub = _heal_inputs(spark, sf_dir)
+    out = _scratch(spark, "heal")
+    run_healing(quads, pub, spec, out, "run-1", "2024-01-01 00:00:00")
+    return (read_delta_files(spark, f"{out}/files").withColumn("file_no", F.regexp_extract("name", r"-(\d+)\.json$", 1).cast("bigint"))
+            .groupBy("file_no", "slot", "op").agg(F.count(F.lit(1)).alias("n_triples")))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from quadsync.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def heal_idempotent(spark, sf_dir):
     spec, quads, a, pub = _heal_inputs(spark, sf_dir)
     from quadsync.session import cut_lineage
@@ -183,6 +209,8 @@ QUERIES = {
     "publication_orphans": publication_orphans_q,
     "apply_patch": apply_patch_q,
     "heal_idempotent": heal_idempotent,
+    "heal_report": heal_report_q,
+    "heal_delta_files": heal_delta_files,
 }
 
 
@@ -192,7 +220,7 @@ from quadsync.operators.diff import effective_changes, fold_cancel, fold_last  #
 from quadsync.operators.live import (  # noqa: E402
     KEYS, TypeLookup, dispatch, enrich, impacted_resources, rewrite_deletes, rewrite_inserts,
 )
-from quadsync.plans.live import live_flow  # noqa: E402
+from quadsync.plans.live import live_flow, net_changes  # noqa: E402
 from quadsync.sources.fixtures import (  # noqa: E402
     LiveFixture, event_changes, link_fixture, live_spec, split_delete_fixture,
 )
@@ -270,7 +298,7 @@ def effective_changes_q(spark, sf_dir):
 
 def live_flow_net(spark, sf_dir):
     fx = LiveFixture(spark, sf_dir)
-    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec, message_keys=())
+    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec)
     return net.select("op", *TRIPLE_COLS)
 
 
@@ -296,12 +324,12 @@ import datetime as _dt  # noqa: E402
 
 from quadsync.functions.terms import decode_literal, ntriple  # noqa: E402
 from quadsync.operators.feed import (  # noqa: E402
-    chunk_changes, delta_documents, explode_delta_documents, feed, manifest_rows, page, replay,
+    chunk_changes, feed, manifest_rows, page, replay, write_delta_files,
 )
 from quadsync.operators.gate import debounce_errors, gate  # noqa: E402
 from quadsync.operators.scope import in_scope  # noqa: E402
 from quadsync.sources.tables import read_table  # noqa: E402
-from quadsync.vocab import XSD_DATETIME, XSD_INTEGER  # noqa: E402
+from quadsync.vocab import XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER  # noqa: E402
 
 
 def _message_chunks(spark, sf_dir):
@@ -328,11 +356,12 @@ def delta_file_feed(spark, sf_dir):
 
 
 def replay_feed(spark, sf_dir):
+    """Consumer replay of the delta files of the live batch, written and read back."""
     fx = LiveFixture(spark, sf_dir)
-    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec, message_keys=())
-    chunks = chunk_changes(net.withColumn("cs_no", F.lit(0)))
-    docs = delta_documents(chunks, fx.spec.publication_graph)
-    files = explode_delta_documents(docs)
+    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec)
+    out = _scratch(spark, "feed")
+    write_delta_files(chunk_changes(net.withColumn("cs_no", F.lit(0))), out, "b0", "2024-01-01 00:00:00", fx.spec.publication_graph)
+    files = read_delta_files(spark, out).withColumn("file_no", F.regexp_extract("name", r"-(\d+)\.json$", 1).cast("bigint"))
     return replay(files, fx.pub_before)
 
 
@@ -340,36 +369,42 @@ def page_triples(spark, sf_dir):
     return page(_triples(expected(quad_store(spark, sf_dir), base_spec())), TRIPLE_COLS, 1000, 3)
 
 
-def _doc_and_customer_quads(spark, sf_dir):
-    q = quad_store(spark, sf_dir)
-    return q.where(F.col("s").startswith("urn:r:document/") | F.col("s").startswith("urn:r:customer/"))
-
-
 def ntriples_export(spark, sf_dir):
-    return _doc_and_customer_quads(spark, sf_dir).select(ntriple().alias("nt")).distinct()
+    return quad_store(spark, sf_dir).select(ntriple().alias("nt")).distinct()
 
 
 def decode_literals(spark, sf_dir):
     q = quad_store(spark, sf_dir).where(F.col("o_dt").isin(XSD_INTEGER, XSD_DATETIME))
-    as_int, _ = decode_literal()
-    as_ts = F.when(F.col("o_dt") == XSD_DATETIME, F.col("o").try_cast("timestamp_ntz"))
+    as_int, as_ts = decode_literal()
     return q.select("s", "p", "o", as_int.alias("int_value"), as_ts.alias("ts_value")).distinct()
 
 
-def logical_literal_equality(spark, sf_dir):
-    """J8 on logical equality: the same values in other spellings."""
+def _respelled(spark, sf_dir):
+    """All numbers and times, and their respelled changes: a third deletes, the others inserts."""
     from quadsync.functions.terms import canonical_object
     from quadsync.sources.fixtures import resource_key
 
-    q = quad_store(spark, sf_dir).where(F.col("p").isin(P("o_orderdate"), P("o_totalprice")))
+    q = quad_store(spark, sf_dir).where(F.col("o_dt").isin(XSD_INTEGER, XSD_DECIMAL, XSD_DATETIME))
     pub = q.select(*TRIPLE_COLS, "o_key").distinct()
-    alt = F.when(F.col("p") == P("o_orderdate"), F.concat("o", F.lit(".000Z"))).otherwise(
-        F.concat(F.lit("+0"), "o", F.lit("0")))
-    k = resource_key(F.col("s")) % 3
-    ch = (pub.where(k < 2).withColumn("o", alt)
-          .withColumn("op", F.when(k == 0, F.lit("delete")).otherwise(F.lit("insert")))
+    alt = (F.when(F.col("o_dt") == XSD_DATETIME, F.concat("o", F.lit(".000Z")))
+           .when(F.col("o_dt") == XSD_INTEGER, F.concat(F.lit("+0"), "o"))
+           .otherwise(F.concat(F.lit("+0"), "o", F.lit("0"))))
+    ch = (pub.withColumn("o", alt)
+          .withColumn("op", F.when(resource_key(F.col("s")) % 3 == 0, F.lit("delete")).otherwise(F.lit("insert")))
           .withColumn("o_key", canonical_object("o", "o_kind", "o_dt")))
-    return effective_changes(ch.select("op", *TRIPLE_COLS, "o_key"), pub).select("op", "s", "p", "o")
+    return pub, ch.select("op", *TRIPLE_COLS, "o_key")
+
+
+def logical_literal_equality(spark, sf_dir):
+    """J8 on logical equality: the same values in other spellings."""
+    pub, ch = _respelled(spark, sf_dir)
+    return effective_changes(ch, pub).select("op", "s", "p", "o")
+
+
+def logical_delete_applied(spark, sf_dir):
+    """Deletes in another spelling remove the published triple."""
+    pub, ch = _respelled(spark, sf_dir)
+    return _triples(apply_patch(pub, net_changes(ch, pub)))
 
 
 def job_events_fixture(spark, sf_dir):
@@ -412,6 +447,7 @@ QUERIES.update({
     "ntriples_export": ntriples_export,
     "decode_literals": decode_literals,
     "logical_literal_equality": logical_literal_equality,
+    "logical_delete_applied": logical_delete_applied,
     "gate_messages": gate_messages,
     "error_debounce": error_debounce,
     "in_scope_batch": in_scope_batch,
@@ -420,23 +456,70 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- streaming
 
-def stream_live_flow(spark, sf_dir):
-    """The live batch as message files, one availableNow micro-batch."""
-    import uuid
-
-    from quadsync.session import ensure_checkpoint_dir
+def _stream_parts(spark, sf_dir, files: int):
+    """The live batch as ``files`` message files in order, one bad line in each."""
     from quadsync.sources.messages import to_messages
-    from quadsync.streaming.live_stream import PublicationStore, batch_handler, start_live_stream
+    from quadsync.streaming.live_stream import PublicationStore, batch_handler
 
     fx = LiveFixture(spark, sf_dir)
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    to_messages(fx.batch).coalesce(1).write.json(f"{root}/in")
-    fx.pub_before.write.parquet(f"{root}/pub/v=-1")
-    store = PublicationStore(spark, f"{root}/pub")
-    handler = batch_handler(fx.spec, lambda _b: fx.source_after, store, f"{root}/out")
-    q = start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler)
-    q.awaitTermination()
+    root = _scratch(spark, "stream")
+    lines = to_messages(fx.batch).select("msg_id", F.to_json(F.struct("msg_id", "changesets")).alias("value"))
+    hi = fx.batch.agg(F.max("msg_id")).first()[0]
+    step = -(-(hi + 1 - fx.m0) // files)
+    for i in range(files):
+        lo = fx.m0 + i * step
+        part = lines.where((F.col("msg_id") >= lo) & (F.col("msg_id") < lo + step)).select("value")
+        bad = spark.createDataFrame([('{"msg_id": 1, "changesets": [{"inserts": [',)], "value string")
+        part.unionByName(bad).coalesce(1).write.mode("append").text(f"{root}/in")
+    store = PublicationStore(spark, f"{root}/pub", compact_every=2)
+    store.start(fx.pub_before)
+    return fx, root, store, batch_handler(fx.spec, lambda _b: fx.source_after, store, f"{root}/out", f"{root}/files", f"{root}/errors")
+
+
+def stream_live_flow(spark, sf_dir):
+    """The live batch as one message file, one availableNow micro-batch."""
+    from quadsync.streaming.live_stream import start_live_stream
+
+    _, root, _, handler = _stream_parts(spark, sf_dir, 1)
+    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("op", *TRIPLE_COLS)
 
 
-QUERIES["stream_live_flow"] = stream_live_flow
+def stream_multi_message(spark, sf_dir):
+    """The same messages in two triggers leave the same publication."""
+    from quadsync.streaming.live_stream import start_live_stream
+
+    _, root, store, handler = _stream_parts(spark, sf_dir, 2)
+    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler, max_files_per_trigger=1).awaitTermination()
+    return _triples(store.current())
+
+
+def stream_replay(spark, sf_dir):
+    """A batch that is run again after its commit leaves its files as they were."""
+    fx, root, _, handler = _stream_parts(spark, sf_dir, 1)
+    lines = spark.read.text(f"{root}/in").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    handler(lines, 0)
+    handler(lines, 0)
+    files = read_delta_files(spark, f"{root}/files/files")
+    named = spark.read.parquet(f"{root}/files/manifest").where("kind = 'virtual'").select("name").distinct()
+    return files.join(named, "name", "left_semi").select("op", *TRIPLE_COLS)
+
+
+def stream_bad_message(spark, sf_dir):
+    """Every tenth message is cut off; it becomes an error, the others are read."""
+    from quadsync.sources.messages import parse_messages, to_messages
+
+    lines = to_messages(event_changes(spark, sf_dir)).select("msg_id", F.to_json(F.struct("msg_id", "changesets")).alias("value"))
+    cut = F.when(F.col("msg_id") % 10 == 3, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
+    parsed = parse_messages(lines.select(cut.alias("value"), F.lit("f").alias("file"), F.lit(0).cast("timestamp").alias("at")))
+    sizes = F.aggregate("changesets", F.lit(0), lambda n, c: n + F.size(F.coalesce(c["inserts"], F.array())) + F.size(F.coalesce(c["deletes"], F.array())))
+    return (parsed.select("msg_id", F.when(F.col("error").isNull(), sizes).alias("n"), "error")
+            .groupBy("msg_id", "error").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("n").alias("n_changes")))
+
+
+QUERIES.update({
+    "stream_live_flow": stream_live_flow,
+    "stream_multi_message": stream_multi_message,
+    "stream_replay": stream_replay,
+    "stream_bad_message": stream_bad_message,
+})

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadsync.functions.terms import ntriple
 from quadsync.operators.diff import apply_patch, bag_diff, snapshot_diff
 from quadsync.operators.export import current, expected
+from quadsync.operators.feed import chunk_changes, write_delta_files
+from quadsync.session import cut_lineage
 from quadsync.sources.rules import ExportSpec
 from quadsync.vocab import LEXICAL_KEY, TRIPLE_COLS
 
@@ -32,17 +35,44 @@ def heal_diff(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> Dat
 
 def heal_diff_bag(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> DataFrame:
     """Q14 file variant: bag difference on the full rows."""
-    a = expected(source_view(quads, publication, spec), spec)
+    a = expected(source_view(quads, publication, spec), spec, bag=True)
     b = current(publication, spec)
     return bag_diff(a, b)
 
 
 def heal(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
-    """(diff, publication after the patch)."""
-    diff = heal_diff(quads, publication, spec)
+    """(diff, publication after the patch); the diff is written once for all its uses."""
+    diff = cut_lineage(heal_diff(quads, publication, spec))
     return diff, apply_patch(publication, diff)
 
 
+def heal_changesets(diff: DataFrame) -> DataFrame:
+    """K8: the patch as delta file chunks: one changeset of all deletes, then one
+    of all inserts."""
+    cs = F.when(F.col("op") == "delete", F.lit(0)).otherwise(F.lit(1))
+    return chunk_changes(diff.select(cs.alias("cs_no"), "op", *TRIPLE_COLS))
+
+
+def heal_report(diff: DataFrame, run_id: str) -> DataFrame:
+    """K6: ``(run_id, op, p, nt)``, the removed and inserted triples as N-Triples."""
+    return diff.select(F.lit(run_id).alias("run_id"), "op", "p", ntriple().alias("nt"))
+
+
+def run_healing(quads: DataFrame, publication: DataFrame, spec: ExportSpec, out_dir: str, run_id: str, created, publish: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Heal, write the report (both folders, also when empty) and,
+    unless it is an initial sync (``publish=False``), the delta files. Returns
+    (publication after, manifest rows of the files)."""
+    diff, after = heal(quads, publication, spec)
+    report = heal_report(diff, run_id)
+    for op, name in (("delete", "removed"), ("insert", "inserted")):
+        report.where(F.col("op") == op).select("p", "nt").write.mode("overwrite").parquet(f"{out_dir}/report/run={run_id}/{name}")
+    manifest = None
+    if publish:
+        manifest = write_delta_files(heal_changesets(diff), f"{out_dir}/files", run_id, created, spec.publication_graph)
+        manifest.write.mode("overwrite").parquet(f"{out_dir}/manifest/run={run_id}")
+    return after, manifest
+
+
 def report_counts(diff: DataFrame) -> DataFrame:
     """K6 counts: triples removed/inserted per predicate."""
     return diff.groupBy("op", "p").agg(F.count(F.lit(1)).alias("n_triples"))

@@ -1,7 +1,6 @@
-from pyspark.sql import functions as F
-
 from quadsync.operators.export import current, expected
-from quadsync.plans.heal import heal, heal_diff, publication_orphans
+from quadsync.operators.feed import read_delta_files
+from quadsync.plans.heal import heal, heal_diff, heal_diff_bag, publication_orphans, run_healing
 from quadsync.sources.rules import ExportRule, ExportSpec
 from quadsync.vocab import RDF_TYPE, TRIPLE_COLS
 
@@ -99,4 +98,27 @@ def test_publication_in_store_q1(spark, mk):
     assert ("urn:r:p1", "urn:p:name", "Ann") in got
     assert ("urn:r:p1", "urn:p:name", "Ann") not in triples(expected(mk(rows), spec()))
     assert set(TRIPLE_COLS) <= set(expected(mk(rows), spec()).columns)
-    assert F is not None
+
+
+def test_healing_writes_report_and_delta_files(spark, mk, tmp_path):
+    q, s = mk(BASE), spec()
+    pub = mk([(PUBG, "urn:r:o2", T, "urn:t:Org"), (PUBG, "urn:r:o2", "urn:p:name", "Org 2")]).drop("g")
+    out = str(tmp_path)
+    after, manifest = run_healing(q, pub, s, out, "r1", "2024-01-01 00:00:00")
+    diff = {(r.op, r.s, r.p, r.o) for r in heal_diff(q, pub, s).collect()}
+    files = read_delta_files(spark, f"{out}/files").collect()
+    assert {(r.op, r.s, r.p, r.o) for r in files} == diff
+    assert max(r.slot for r in files if r.op == "delete") < min(r.slot for r in files if r.op == "insert")
+    assert {r.kind for r in manifest.collect()} == {"virtual", "physical"}
+    assert spark.read.parquet(f"{out}/report/run=r1/removed").count() == 2
+    assert all(r.nt.endswith(".") and not r.nt.endswith(" .") for r in spark.read.parquet(f"{out}/report/run=r1/inserted").collect())
+    # an initial sync publishes no files; without differences the report is there and empty
+    _, none = run_healing(q, after, s, out, "r2", "2024-01-01 00:00:00", publish=False)
+    assert none is None and spark.read.parquet(f"{out}/report/run=r2/removed").count() == 0
+
+
+def test_bag_diff_keeps_surplus_rows(spark, mk):
+    q = mk([*BASE, ("urn:g:c", "urn:r:o1", "urn:p:name", "Org 1")])
+    pub = mk([(PUBG, "urn:r:o1", T, "urn:t:Org"), (PUBG, "urn:r:o1", "urn:p:name", "Org 1")]).drop("g")
+    got = [(r.op, r.p) for r in heal_diff_bag(q, pub, spec()).where("s = 'urn:r:o1'").collect()]
+    assert got == [("insert", "urn:p:name")]
