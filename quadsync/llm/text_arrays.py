@@ -77,17 +77,26 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tup
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """P**i and P**-i for i below n, kept for the next piece."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = []
+        for base in (_P, _P_INV):
+            x = np.full(max(n, PIECE + 1), base, np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
+    return _powers[0], _powers[1]
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans."""
     n = len(buf)
-    power = np.full(n + 1, _P, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, back = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    back = np.full(n + 1, _P_INV, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
     return mix((total[end] - total[start]) * back[start])
 
 

@@ -157,21 +157,18 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
     """(row, token) of the tokens to restore; start, end, row: the words of letters."""
     out: list[tuple[int, str]] = []
     text = buf.tobytes()
-    # letters mixed with signs, signs at the end apart
+    # letters mixed with signs; signs at the end that are no digits are left out
     is_letter = LETTER[buf] > 0
     sign = IS_SIGN[buf]
-    inner = np.zeros(len(buf), bool)
-    if len(buf) > 2:
-        inner[1:-1] = sign[1:-1] & ((is_letter[:-2] & (is_letter[2:] | sign[2:])) | (sign[:-2] & is_letter[2:]))
-        inner[0] = sign[0] & is_letter[1]
-        inner[1:-1] |= sign[1:-1] & is_letter[2:] & ~is_letter[:-2]
-    if inner.any():
-        s, e, r = word_spans(buf, off, TOKEN)
-        has = np.add.reduceat(inner, s) if len(s) else np.zeros(0)
-        letters = np.add.reduceat(is_letter, s) if len(s) else np.zeros(0)
-        # reduceat runs to the next start; signs and letters only occur inside tokens
-        for j in np.flatnonzero((has > 0) & (letters > 1) & (e - s >= 3) & (e - s <= LONGEST)):
-            out.append((int(r[j]), text[s[j]:e[j]].decode("utf-8", "replace").rstrip("!*+|$(")))
+    s, e, r = word_spans(buf, off, TOKEN)
+    if sign.any() and len(s):
+        strong = is_letter | (buf == 64) | ((buf >= 48) & (buf <= 57))
+        last = np.maximum.reduceat(np.where(strong, np.arange(len(buf)), -1), s) + 1
+        n_sign, n_letter = np.append(0, np.cumsum(sign)), np.append(0, np.cumsum(is_letter))
+        last = np.minimum(np.maximum(last, s), e)
+        mixed = (n_sign[last] > n_sign[s]) & (n_letter[last] > n_letter[s] + 1) & (last - s >= 3) & (last - s <= LONGEST)
+        for j in np.flatnonzero(mixed):
+            out.append((int(r[j]), text[s[j]:last[j]].decode("utf-8", "replace")))
     # one letter repeated three times or more
     if len(buf) > 2:
         same = is_letter[2:] & (buf[2:] == buf[1:-1]) & (buf[2:] == buf[:-2])
@@ -180,7 +177,6 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
                 if 0 <= j and 3 <= end[j] - start[j] <= LONGEST:
                     out.append((int(row[j]), text[start[j]:end[j]].decode("utf-8", "replace")))
     # single letters or signs, one gap each
-    s, e, r = word_spans(buf, off, TOKEN)
     one = np.flatnonzero(e - s == 1)
     if len(one) > 3:
         j = one
@@ -204,12 +200,15 @@ def feature_buckets(words: list[str]) -> np.ndarray:
 
 def buckets_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature, number of the word) for words and their first letters."""
-    out, who = [span_hashes(buf, start, end) % np.uint64(BUCKETS)], [np.arange(len(start))]
+    starts, ends, who, salt = [start], [end], [np.arange(len(start))], [np.zeros(len(start), np.uint64)]
     for n in PREFIXES:
         long = np.flatnonzero(end - start > n)
-        out.append((span_hashes(buf, start[long], start[long] + n) + np.uint64(n)) % np.uint64(BUCKETS))
+        starts.append(start[long])
+        ends.append(start[long] + n)
         who.append(long)
-    return np.concatenate(out).astype(np.int64), np.concatenate(who)
+        salt.append(np.full(len(long), n, np.uint64))
+    h = span_hashes(buf, np.concatenate(starts), np.concatenate(ends)) + np.concatenate(salt)
+    return (h % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(who)
 
 
 def features(col, decoder: Decoder, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
