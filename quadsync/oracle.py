@@ -551,6 +551,7 @@ SQL["gate_messages"] = w(*JOBS) + (
     "WHEN (SELECT MIN(ts) FROM jobs WHERE job_operation = 'initialSync' AND status = 'success') IS NULL "
     "OR (SELECT MIN(ts) FROM jobs WHERE job_operation = 'initialSync' AND status = 'success') >= s.t0 THEN 'no_sync' "
     "ELSE 'process' END AS decision FROM span s")
+SQL["healing_signals"] = "SELECT DISTINCT event_id // 100 AS msg_id FROM events WHERE event_type = 'purchase' AND user_id % 5 IN (0, 1)"
 SQL["error_debounce"] = w(
     "e AS (SELECT event_id AS id, ts AS created FROM events WHERE event_type = 'error')",
     "f AS (SELECT *, CASE WHEN created - LAG(created) OVER (ORDER BY created, id) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM e)",

@@ -326,10 +326,10 @@ from quadsync.functions.terms import decode_literal, ntriple  # noqa: E402
 from quadsync.operators.feed import (  # noqa: E402
     chunk_changes, feed, manifest_rows, page, replay, write_delta_files,
 )
-from quadsync.operators.gate import debounce_errors, gate  # noqa: E402
+from quadsync.operators.gate import SCHEDULED, debounce_errors, gate, healing_signals  # noqa: E402
 from quadsync.operators.scope import in_scope  # noqa: E402
 from quadsync.sources.tables import read_table  # noqa: E402
-from quadsync.vocab import XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER  # noqa: E402
+from quadsync.vocab import ADMS_STATUS, XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER  # noqa: E402
 
 
 def _message_chunks(spark, sf_dir):
@@ -366,7 +366,9 @@ def replay_feed(spark, sf_dir):
 
 
 def page_triples(spark, sf_dir):
-    return page(_triples(expected(quad_store(spark, sf_dir), base_spec())), TRIPLE_COLS, 1000, 3)
+    from quadsync.session import cut_lineage
+
+    return page(cut_lineage(_triples(expected(quad_store(spark, sf_dir), base_spec()))), TRIPLE_COLS, 1000, 3)
 
 
 def ntriples_export(spark, sf_dir):
@@ -426,6 +428,20 @@ def gate_messages(spark, sf_dir):
     return gate(msgs, job_events_fixture(spark, sf_dir))
 
 
+def healing_signals_q(spark, sf_dir):
+    """Each event is a status change of its own task; a task belongs to the
+    job of its user's remainder by 5, jobs 0 and 1 heal."""
+    ev = read_table(spark, sf_dir, "events")
+    task = F.concat(F.lit("urn:r:task/"), F.col("event_id").cast("string"))
+    job = F.concat(F.lit("urn:r:job/"), (F.col("user_id") % 5).cast("string"))
+    status = F.when(F.col("event_type") == "purchase", F.lit(SCHEDULED)).otherwise(F.lit("urn:s:busy"))
+    changes = ev.select((F.col("event_id") / 100).cast("bigint").alias("msg_id"), F.when(F.col("event_type") == "view", F.lit("delete")).otherwise(F.lit("insert")).alias("op"),
+                        task.alias("s"), F.lit(ADMS_STATUS).alias("p"), status.alias("o"))
+    jobs = ev.select(job.alias("job"), (F.col("user_id") % 5).alias("k")).distinct().select(
+        "job", F.when(F.col("k") == 0, F.lit("healing")).when(F.col("k") == 1, F.lit("initialSync")).otherwise(F.lit("export")).alias("operation"))
+    return healing_signals(changes, ev.select(task.alias("task"), job.alias("job")), jobs)
+
+
 def error_debounce(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     errors = ev.select(F.lit("default").alias("stream"), F.col("event_id").alias("id"), F.col("ts").alias("created"))
@@ -449,6 +465,7 @@ QUERIES.update({
     "logical_literal_equality": logical_literal_equality,
     "logical_delete_applied": logical_delete_applied,
     "gate_messages": gate_messages,
+    "healing_signals": healing_signals_q,
     "error_debounce": error_debounce,
     "in_scope_batch": in_scope_batch,
 })

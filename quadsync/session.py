@@ -34,14 +34,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) pick a fresh folder of our own."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; where it is unset, a local
+    session gets a fresh folder of our own, and any other is refused (its
+    executors would each write to their own disk)."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quadsync-ckpt-", dir=os.environ.get("QUADSYNC_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

@@ -1,19 +1,15 @@
 """Relational tables -> quad table (FIXTURES §2).
 
-The quad view is a UNION ALL of one narrow projection per (table, column).
-Each branch carries its predicate as a literal, so a filter on ``p`` with
-literal values (``p = x`` / ``p IN (...)``) is folded per branch by
-Catalyst and whole branches are pruned: a scan for one predicate reads
-one table and only its key and value columns. The same holds for a quad
-store written partitioned by ``p`` (``write_quad_store``): the filter
-becomes partition pruning. Operators therefore always filter on
-literal predicate lists derived from the (driver-side, bounded) rules.
+One scan per table; every row becomes its quads (``inline``). With
+``predicates`` only the tables that have them are read, and of these only the
+key and value columns. The quad store is written partitioned by ``p``
+(``write_quad_store``), so a filter on literal predicates prunes partitions;
+operators therefore always filter on predicate lists derived from the rules.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,18 +105,24 @@ def _term(p: str, o: Column, kind: str, dt: str, lang: Column) -> Column:
                     F.lit(dt).alias("o_dt"), lang.alias("o_lang"))
 
 
-def table_quads(df: DataFrame, m: TableMap) -> DataFrame:
-    """One scan of the table; every row becomes its quads via ``inline``."""
+def table_quads(df: DataFrame, m: TableMap, predicates: frozenset[str] | None = None) -> DataFrame | None:
+    """One scan of the table; every row becomes its quads (of ``predicates``, if
+    given) via ``inline``; None if it has none of them."""
+    def wanted(p: str) -> bool:
+        return predicates is None or p in predicates
+
     terms = []
-    for tname, cond in m.types:
+    for tname, cond in m.types if wanted(RDF_TYPE) else ():
         o = F.lit(TYPE_NS + tname)
         terms.append(_term(RDF_TYPE, F.when(F.expr(cond), o) if cond else o, "uri", "", F.lit("")))
-    for column, target in m.links:
+    for column, target in [x for x in m.links if wanted(pred(x[0]))]:
         o = F.concat(F.lit(f"{RES_NS}{target}/"), F.col(column).cast("string"))
         terms.append(_term(pred(column), o, "uri", "", F.lit("")))
-    for column, kind in m.literals:
+    for column, kind in [x for x in m.literals if wanted(pred(x[0]))]:
         lang = F.col(m.lang_column).cast("string") if kind == LANG else F.lit("")
         terms.append(_term(pred(column), literal_text(column, kind), "literal", DATATYPE[kind], lang))
+    if not terms:
+        return None
     return (df.select(graph_col(m).alias("g"), subject_col(m).alias("s"), F.inline(F.array(*terms)))
             .where(F.col("o").isNotNull()))
 
@@ -130,42 +132,55 @@ def with_key(quads: DataFrame) -> DataFrame:
     return quads.withColumn("o_key", canonical_object("o", "o_kind", "o_dt"))
 
 
-def quads_from_tables(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES_USED) -> DataFrame:
-    """All quads of the driver tables as one DataFrame (a bag: lines repeat).
+def quads_from_tables(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES_USED,
+                      predicates: frozenset[str] | None = None) -> DataFrame:
+    """All quads of the driver tables (or those of ``predicates``) as one
+    DataFrame (a bag: lines repeat). One scan per table that has any.
 
-    One scan per table. Operators that run many predicate-filtered joins
-    should read ``quad_store`` instead (partition pruning on ``p``)."""
-    parts = [table_quads(read_table(spark, sf_dir, m.table), m) for m in TABLE_MAPS if m.table in tables]
+    Operators that run many predicate-filtered joins should read ``quad_store``
+    instead (partition pruning on ``p``)."""
+    parts = [table_quads(read_table(spark, sf_dir, m.table), m, predicates) for m in TABLE_MAPS if m.table in tables]
+    parts = [x for x in parts if x is not None]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in QUAD_COLS))
     out = parts[0]
     for b in parts[1:]:
         out = out.unionByName(b)
     return with_key(out).select(*QUAD_COLS)
 
 
-def _fingerprint(sf_dir: str, tables) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+STORE_FORMAT = "2"
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str, tables) -> str:
+    """Of the mapping and of all input files: path, length and time as their file system gives them."""
+    h = hashlib.sha1(f"{STORE_FORMAT}:{TABLE_MAPS}".encode())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for t in sorted(tables):
-        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(path)
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(t.encode())
+        root = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        files = root.getFileSystem(conf).listFiles(root, True)
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update(f"{t}:{sorted(found)}".encode())
     return h.hexdigest()[:16]
 
 
 def quad_store(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES_USED) -> DataFrame:
     """The quads of ``sf_dir`` as a parquet store partitioned by predicate.
 
-    Built once by Spark from the tables into the shared checkpoint folder
-    (``spark.checkpoint.dir``) and reused by later jobs on the same input;
-    a ``_SUCCESS`` marker makes a half-written store invisible, so a lost
-    job is simply rebuilt.
+    Built once by Spark from the tables, below ``spark.quadsync.store.dir`` or, if
+    that is unset, the shared ``spark.checkpoint.dir``, and reused by later jobs
+    and applications on the same files; a ``_SUCCESS`` marker makes a half-written
+    store invisible, so a lost job is simply rebuilt.
     """
     from quadsync.session import ensure_checkpoint_dir
 
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/quadstore-{_fingerprint(sf_dir, tables)}"
+    own = ensure_checkpoint_dir(spark)
+    conf = spark.sparkContext.getConf()
+    root = (conf.get("spark.quadsync.store.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
+    path = f"{root}/quadstore-{_fingerprint(spark, sf_dir, tables)}"
     if not _exists(spark, path + "/_SUCCESS"):
         write_quad_store(quads_from_tables(spark, sf_dir, tables), path)
     return read_quad_store(spark, path)
