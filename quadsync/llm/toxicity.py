@@ -8,8 +8,8 @@
    with their costs.  Viterbi decoding finds the likeliest letters under the
    trigram model; the restored words join the document's words.
 3. Words and their first letters are hashed features.  On a bounded sample of
-   the labelled rows of the learning folds (``TRAIN_ROWS``) those that speak for
-   label 1 beyond chance are weighted, and a logistic regression on a document's
+   the labelled rows of the learning folds (``TRAIN_ROWS``, one of near copies) those
+   that speak for label 1 beyond chance are weighted, and a logistic regression on a document's
    largest weight, sum of weights and number of hits gives the score.
 
 Labels, language, source and id are never inputs of a score; the id only selects
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from quadsync.llm.mixing import hash_unit
 from quadsync.llm.shared import store, table
-from quadsync.llm.text_arrays import buffers, pieces, span_hashes, word_spans
+from quadsync.llm.text_arrays import buffers, pieces, shingle_sets, span_hashes, word_spans
 
 TRAIN_ROWS = 10_000
 BUCKETS = 1 << 32
 FILTER = 1 << 20
 PREFIXES = (4, 5)
-MIN_Z = 4.0
+MIN_Z = 3.0
 MIN_DOCS = 5
 THRESHOLD = 0.3
 LONGEST = 32
@@ -232,6 +232,15 @@ def features(col, decoder: Decoder, some: np.ndarray | None = None) -> Iterator[
         yield a, key % BUCKETS, key // BUCKETS
 
 
+def with_least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, text) with ``near``, the least hash of the text's four-word shingles: near copies mostly share it."""
+    for b in batches:
+        near = np.zeros(b.num_rows, np.uint64)
+        for i, s in shingle_sets(b.column(2), 4):
+            near[i] = s[0] if len(s) else 0
+        yield pa.record_batch([*b.columns, pa.array(near.view(np.int64))], names=["doc_id", "toxic", "text", "near"])
+
+
 def count_features(cost) -> Callable:
     """(toxic, text) -> (feature, n0, n1) sums of one task; feature -1 counts the rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +329,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
         share = {v: min(1.0, train_rows / 2 / there[v]) for v in (0, 1)}
         chosen = hash_unit("toxicity-sample", F.col("of")) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
         sample = lab.where(chosen)  # about train_rows small rows at most, so they may be broadcast
-        train = store(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("toxic", "text"), "toxicity-sample")
+        # copies would make the rare words of one text look like evidence: one of them learns
+        rows = (docs.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("doc_id", "toxic", "text")
+                .mapInArrow(with_least_shingle, "doc_id long, toxic int, text string, near long"))
+        train = store(rows.groupBy("near").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("x")).select("x.toxic", "x.text"), "toxicity-sample")
         got = train.mapInArrow(count_features(cost), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"n1 >= {MIN_DOCS} OR feature < 0")
         got = got.toPandas()  # features of MIN_DOCS sampled rows at least
         all0, all1 = got.loc[got["feature"] < 0, ["n0", "n1"]].iloc[0]
