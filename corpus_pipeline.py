@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quadsync.llm import decontaminate as bench
 from quadsync.llm import jaccard_join, language, line_dedup, mixing
 from quadsync.llm.shared import store, table
+from quadsync.session import ship_package
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
@@ -40,6 +41,7 @@ def _flat(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     labelled = docs.select("doc_id", "text", "lang").where(language.fold(F.col("doc_id")) != 1)
     out = language.identify(docs, labelled, _row(docs), docs.schema)
     return _flat(out.where(F.col("lang_pred") != language.UND), docs)
