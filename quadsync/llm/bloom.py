@@ -19,10 +19,10 @@ def slots(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def marked(ids: DataFrame, count: int) -> np.ndarray:
-    """Marks of the ``count`` ids of a one-column table: eight bits an id or more, but
+    """Marks of the ``count`` ids of a one-column table: 32 bits an id or more, but
     ``MOST_BITS`` at most (16 MB); beyond that more other ids pass, and none is lost."""
     bits = 1 << 16
-    while bits < min(8 * count, MOST_BITS):
+    while bits < min(32 * count, MOST_BITS):
         bits *= 2
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,11 @@ every document, exact for every link:
 1. Equal sets are one class, known by a 128-bit sum of its hashes.
 2. Similar sets are brought together: a set of a size class is cut by hash
    range into more parts than two linked sets of these sizes can differ in, so
-   linked sets have an equal part (empty parts are left out, up to a reserve
-   that the number of parts contains; a set with more empty parts gives them
-   too).  Sets with an equal part form a *run*.  A passage that many documents
-   share makes no run, only a whole equal part does.
+   linked sets have equal parts.  Parts of two shingles or more are given; each set
+   knows how many of them it must share at least with a linked one (a set with too
+   many thin parts gives all).  Sets with an equal part form a *run*; a set that
+   shares fewer parts than it must is linked with nothing and is done.  A passage
+   that many documents share makes runs only where it fills whole parts.
 3. Sets are partitioned into *groups*: by the smallest set of their runs, the
    size band, and a hash, about ``GROUP_TOKENS`` shingles each.
 4. Each set asks the groups in its runs.  A group's task holds its token union
@@ -62,20 +63,20 @@ def class_starts(percent: int) -> np.ndarray:
 
 @lru_cache(maxsize=512)
 def cut_points(size_class: int, percent: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-    """(starts of the hash ranges, salts, reserve of empty parts) of a size class of smaller partners."""
+    """(starts of the hash ranges, salts, most parts in which linked sets differ) of a size class of smaller partners."""
     most = int(class_starts(percent)[size_class + 1]) - 1
     differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
     if differ == 0:
         return None
-    reserve = differ // 50 + 1
-    m = differ + 1 + reserve
+    m = differ + differ // 2 + 2
     starts = (np.arange(m, dtype=np.float64) * (2.0 ** 64 / m)).astype(np.uint64)
-    return starts, mix(np.arange(m, dtype=np.uint64) + np.uint64((size_class + 1) << 40)), reserve
+    return starts, mix(np.arange(m, dtype=np.uint64) + np.uint64((size_class + 1) << 40)), differ
 
 
-def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a sorted set, for its own size class and the one below."""
-    n, out = len(s), []
+def part_hashes(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the parts of a sorted set, for its own size class and the one below
+    (the last bit tells which: a class's parity), and how many of either a linked set shares at least."""
+    n, out, need = len(s), [], [0, 0]
     own = int(np.searchsorted(class_starts(percent), n, "right")) - 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(s), out=total[1:])
@@ -83,12 +84,15 @@ def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
         cuts = cut_points(c, percent) if c >= 0 else None
         if cuts is None:
             continue
-        starts, salts, reserve = cuts
+        starts, salts, differ = cuts
         at = np.append(np.searchsorted(s, starts), n)
-        h = mix(total[at[1:]] - total[at[:-1]] + salts)
-        some = at[1:] > at[:-1]
-        out.append(h if len(h) - int(some.sum()) > reserve else h[some])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        h = mix(total[at[1:]] - total[at[:-1]] + salts) & ~np.uint64(1) | np.uint64(c & 1)
+        thick = at[1:] - at[:-1] > 1
+        # of the m - differ equal parts at least, those that are thin are thin in this set
+        least = int(thick.sum()) - differ
+        out.append(h[thick] if least > 0 else h)
+        need[c & 1] = max(1, least)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
 def set_sums(s: np.ndarray) -> tuple[int, int]:
@@ -98,55 +102,57 @@ def set_sums(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-SCAN = "p int, doc_id long, n long, f1 long, f2 long, sids binary, parts binary"
+SCAN = "p int, doc_id long, n long, f1 long, f2 long, need0 long, need1 long, sids binary, parts binary"
 
 
 def scan_sets(k: int, percent: int, p: int) -> Callable:
     """Per document its class; per batch the part hashes of its new classes, dealt over ``p`` groups."""
+    names = [c.split()[0] for c in SCAN.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], list[int]] = {}
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
-            f = np.zeros((b.num_rows, 2), np.int64)
+            f = np.zeros((b.num_rows, 4), np.int64)
             sids, hashes = [], []
             for i, s in shingle_sets(b.column(1), k):
                 n[i] = len(s)
                 if not len(s):
                     continue
-                f[i] = key = set_sums(s)
+                key = set_sums(s)
                 if key not in seen:
-                    seen.add(key)
-                    h = part_hashes(s, percent)
+                    h, seen[key] = part_hashes(s, percent)
                     hashes.append(h)
                     sids.append(np.full(len(h), key[0], np.int64))
+                f[i] = (*key, *seen[key])
             empty = pa.nulls(b.num_rows, pa.binary())
-            yield pa.record_batch([pa.array((np.arange(b.num_rows) % p).astype(np.int32)), b.column(0).cast(pa.int64()), pa.array(n), pa.array(f[:, 0]),
-                                   pa.array(f[:, 1]), empty, empty], names=["p", "doc_id", "n", "f1", "f2", "sids", "parts"])
+            yield pa.record_batch([pa.array((np.arange(b.num_rows) % p).astype(np.int32)), b.column(0).cast(pa.int64()), pa.array(n),
+                                   *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(4)), empty, empty], names=names)
             if hashes:
                 h, sid = np.concatenate(hashes), np.concatenate(sids)
-                to = (h % np.uint64(p)).astype(np.int64)
+                to = ((h >> np.uint64(1)) % np.uint64(p)).astype(np.int64)
                 o = np.argsort(to, kind="stable")
                 h, sid = h[o], sid[o]
                 at = np.searchsorted(to[o], np.arange(p + 1))
                 full = np.flatnonzero(at[1:] > at[:-1])
                 none = pa.nulls(len(full), pa.int64())
-                yield pa.record_batch([pa.array(full.astype(np.int32)), none, none, none, none,
+                yield pa.record_batch([pa.array(full.astype(np.int32)), *[none] * 6,
                                        pa.array([sid[at[j]:at[j + 1]].tobytes() for j in full], pa.binary()),
-                                       pa.array([h[at[j]:at[j + 1]].tobytes() for j in full], pa.binary())],
-                                      names=["p", "doc_id", "n", "f1", "f2", "sids", "parts"])
+                                       pa.array([h[at[j]:at[j + 1]].tobytes() for j in full], pa.binary())], names=names)
     return run
 
 
-RUNS = "doc_id long, n long, f1 long, f2 long, run long, pivot long"
+RUNS = "doc_id long, n long, f1 long, f2 long, need0 long, need1 long, run long, pivot long, times long"
 
 
 def find_runs(t: pa.Table) -> pa.Table:
-    """The documents' classes as they came, and the runs: (run, f1, pivot) for
-    classes with an equal part; runs of the same classes are given once."""
+    """The documents' classes as they came, and the runs: (run, f1, pivot, times) for
+    classes with an equal part; runs of the same classes are given once, with their number."""
     is_doc = pc.is_null(t["sids"])
-    docs = t.filter(is_doc).select(["doc_id", "n", "f1", "f2"])
+    docs = t.filter(is_doc).select(["doc_id", "n", "f1", "f2", "need0", "need1"])
     none = pa.nulls(docs.num_rows, pa.int64())
-    docs = docs.append_column("run", none).append_column("pivot", none)
+    for c in ("run", "pivot", "times"):
+        docs = docs.append_column(c, none)
     parts = t.filter(pc.invert(is_doc))
     if not parts.num_rows:
         return docs
@@ -160,12 +166,15 @@ def find_runs(t: pa.Table) -> pa.Table:
     size = np.diff(np.append(first, len(h)))
     who = np.add.reduceat(mix(sid.view(np.uint64)), first)
     several = np.flatnonzero(size > 1)
-    _, once = np.unique(np.stack([who[several], size[several].astype(np.uint64)], 1), axis=0, return_index=True)
-    keep = np.zeros(len(first), bool)
-    keep[several[once]] = True
-    rows = np.repeat(keep, size)
+    same = np.stack([who[several], size[several].astype(np.uint64), h[first[several]] & np.uint64(1)], 1)
+    _, once, number = np.unique(same, axis=0, return_index=True, return_counts=True)
+    times = np.zeros(len(first), np.int64)
+    times[several[once]] = number
+    each = np.repeat(times, size)
+    rows = each > 0
     none = pa.nulls(int(rows.sum()), pa.int64())
-    runs = pa.table([none, none, pa.array(sid[rows]), none, pa.array(np.repeat(h[first], size)[rows].view(np.int64)), pa.array(np.repeat(sid[first], size)[rows])], names=docs.column_names)
+    runs = pa.table([none, none, pa.array(sid[rows]), none, none, none, pa.array(np.repeat(h[first], size)[rows].view(np.int64)),
+                     pa.array(np.repeat(sid[first], size)[rows]), pa.array(each[rows])], names=docs.column_names)
     return pa.concat_tables([docs, runs])
 
 
@@ -261,38 +270,41 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     p = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = store(docs.mapInArrow(scan_sets(k, percent, p), SCAN).groupBy("p").applyInArrow(find_runs, RUNS), "runs")
-    rows = found.where("run IS NULL").select("doc_id", "n", "f1", "f2")
-    runs = found.where("run IS NOT NULL").select("run", F.col("f1").alias("sid"), "pivot")
-    classes = store(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-
-    labels = runs.groupBy("sid").agg(F.min("pivot").alias("label"))
-    sets = (labels.join(classes, labels["sid"] == classes["f1"])
-            .select("sid", "rep", "n", "label", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")))
+    rows = found.where("run IS NULL").select("doc_id", "n", "f1", "f2", "need0", "need1")
+    odd = F.col("run").bitwiseAND(1) == 1
+    runs = found.where("run IS NOT NULL").select("run", F.col("f1").alias("sid"), "pivot", "times", odd.alias("odd"))
+    classes = (rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
+               .where("rep IS NOT NULL"))
+    classes = store(classes, "classes")
+
+    shares = runs.groupBy("sid").agg(F.min("pivot").alias("label"), F.sum(F.when(F.col("odd"), 0).otherwise(F.col("times"))).alias("n0"), F.sum(F.when(F.col("odd"), F.col("times")).otherwise(0)).alias("n1"))
+    sets = (shares.join(classes, shares["sid"] == classes["f1"])
+            .withColumn("ok0", F.expr("need0 > 0 AND n0 >= need0")).withColumn("ok1", F.expr("need1 > 0 AND n1 >= need1")).where("ok0 OR ok1")
+            .select("sid", "rep", "n", "label", "ok0", "ok1", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")))
     sets = store(sets, "candidates")
     sizes = store(sets.groupBy("label", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks")), "group-chunks")
     sets = sets.join(sizes, ["label", "band"]).withColumn("g", F.xxhash64("label", "band", F.pmod(F.xxhash64("rep"), F.col("chunks")))).drop("label", "chunks")
     sets = store(sets, "groups")
 
-    asked = runs.select("run", "sid").join(sets, "sid").select("run", "rep", "n", "band", "g")
+    asked = runs.join(sets, "sid").where("IF(odd, ok1, ok0)").select("run", "rep", "sid", "n", "band", "g")
     there = asked.select("run", F.col("g").alias("to"), F.col("band").alias("to_band")).distinct()
     near = (F.col("band") == F.col("to_band") - 1) | ((F.col("band") == F.col("to_band")) & (F.col("g") < F.col("to")))
-    queries = store(asked.join(there, "run").where(near).select(F.col("to").alias("g"), "rep", "n").distinct(), "queries")
+    queries = store(asked.join(there, "run").where(near).select(F.col("to").alias("g"), "rep", "sid", "n").distinct(), "queries")
 
     count = (sets.groupBy("g").agg(F.count("*").alias("own"))
              .join(queries.groupBy("g").agg(F.sum("n").alias("asking")), "g", "left")
              .where("own > 1 OR asking > 0")
              .select("g", F.greatest(F.lit(1), F.ceil(F.coalesce("asking", F.lit(0)) / query_tokens)).cast("int").alias("parts")))
     count = store(count, "group-sizes")
-    members = sets.join(count, "g").select("g", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
-    askers = queries.join(count, "g").select("g", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
+    members = sets.join(count, "g").select("g", "rep", "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    askers = queries.join(count, "g").select("g", "rep", "sid", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
     work = store(members.unionByName(askers), "group-work")
 
     # the texts stay where they are: marks of the ids that have work go to them
     wanted = spark.sparkContext.broadcast(marked(sets.select("rep"), sets.count()))
     tokens = docs.mapInArrow(tokens_of(k, wanted), "t_rep long, t_f1 long, tokens binary")
-    known = sets.select("rep", "sid")
-    tokens = tokens.join(known, (F.col("t_rep") == F.col("rep")) & (F.col("t_f1") == F.col("sid"))).select("rep", "tokens")
-    links = work.join(tokens, "rep").groupBy("g", "part").applyInPandas(open_group(percent), "a long, b long")
+    links = (work.join(tokens, (F.col("t_rep") == F.col("rep")) & (F.col("t_f1") == F.col("sid"))).select("g", "part", "rep", "member", "tokens")
+             .groupBy("g", "part").applyInPandas(open_group(percent), "a long, b long"))
     roots = star_components(links).select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
     named = classes.join(roots, "rep", "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.col("n").alias("cn"), F.coalesce("root", "rep").alias("component_id"))
