@@ -58,9 +58,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("no id"), F.col("text")))
     found = jaccard_join.jaccard_components(docs.select(known.alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    stay = found.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(_row(docs).alias("row"), known.alias("stays"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
-    return _flat(rows.join(stay, "stays", "left_semi").dropDuplicates(["stays", "h1", "h2"]), docs)
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(_row(docs).alias("row"), known.alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    rows = rows.join(gone, "id", "left_anti")
+    # rows that repeat id and text: one of each stays; the others do not move for it
+    key = ["id", "h1", "h2"]
+    twice = store(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated")
+    again = rows.join(twice, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row"))
+    return _flat(rows.join(twice, key, "left_anti").select("row").unionByName(again.select("row")), docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
