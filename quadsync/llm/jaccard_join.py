@@ -102,7 +102,18 @@ def set_sums(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-SCAN = "p int, doc_id long, n long, f1 long, f2 long, need0 long, need1 long, sids binary, parts binary"
+SCAN = "p int, doc_id long, n long, f1 long, f2 long, need0 long, need1 long, sids binary, counts binary, parts binary"
+
+
+def packed(h: np.ndarray) -> bytes:
+    """47 high bits and the last one of each hash, in six bytes."""
+    return ((h >> np.uint64(17) << np.uint64(1)) | (h & np.uint64(1))).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 def scan_sets(k: int, percent: int, p: int) -> Callable:
@@ -127,7 +138,7 @@ def scan_sets(k: int, percent: int, p: int) -> Callable:
                 f[i] = (*key, *seen[key])
             empty = pa.nulls(b.num_rows, pa.binary())
             yield pa.record_batch([pa.array((np.arange(b.num_rows) % p).astype(np.int32)), b.column(0).cast(pa.int64()), pa.array(n),
-                                   *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(4)), empty, empty], names=names)
+                                   *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(4)), empty, empty, empty], names=names)
             if hashes:
                 h, sid = np.concatenate(hashes), np.concatenate(sids)
                 to = ((h >> np.uint64(1)) % np.uint64(p)).astype(np.int64)
@@ -136,15 +147,23 @@ def scan_sets(k: int, percent: int, p: int) -> Callable:
                 at = np.searchsorted(to[o], np.arange(p + 1))
                 full = np.flatnonzero(at[1:] > at[:-1])
                 none = pa.nulls(len(full), pa.int64())
-                yield pa.record_batch([pa.array(full.astype(np.int32)), *[none] * 6,
-                                       pa.array([sid[at[j]:at[j + 1]].tobytes() for j in full], pa.binary()),
-                                       pa.array([h[at[j]:at[j + 1]].tobytes() for j in full], pa.binary())], names=names)
+                blobs = []
+                for j in full:  # the parts of a set lie together: its id comes once, with their number
+                    own = sid[at[j]:at[j + 1]]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    blobs.append((own[first].tobytes(), np.diff(np.append(first, len(own))).astype(np.uint32).tobytes(), packed(h[at[j]:at[j + 1]])))
+                yield pa.record_batch([pa.array(full.astype(np.int32)), *[none] * 6, *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(3))], names=names)
     return run
 
 
 RUNS = "doc_id long, n long, f1 long, f2 long, need0 long, need1 long, run long, pivot long, times long"
 
 
+def run_names(h: np.ndarray, p: int) -> np.ndarray:
+    """Names that differ between the groups ``p``; the last bit stays."""
+    return (mix(h + (np.uint64(p) << np.uint64(48))) & ~np.uint64(1) | (h & np.uint64(1))).view(np.int64)
+
+
 def find_runs(t: pa.Table) -> pa.Table:
     """The documents' classes as they came, and the runs: (run, f1, pivot, times) for
     classes with an equal part; runs of the same classes are given once, with their number."""
@@ -156,8 +175,8 @@ def find_runs(t: pa.Table) -> pa.Table:
     parts = t.filter(pc.invert(is_doc))
     if not parts.num_rows:
         return docs
-    h = np.frombuffer(b"".join(parts["parts"].to_pylist()), np.uint64)
-    sid = np.frombuffer(b"".join(parts["sids"].to_pylist()), np.int64)
+    h = unpacked(b"".join(parts["parts"].to_pylist()))
+    sid = np.repeat(np.frombuffer(b"".join(parts["sids"].to_pylist()), np.int64), np.frombuffer(b"".join(parts["counts"].to_pylist()), np.uint32))
     o = np.lexsort((sid, h))
     h, sid = h[o], sid[o]
     new = np.append(True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1]))
@@ -173,7 +192,7 @@ def find_runs(t: pa.Table) -> pa.Table:
     each = np.repeat(times, size)
     rows = each > 0
     none = pa.nulls(int(rows.sum()), pa.int64())
-    runs = pa.table([none, none, pa.array(sid[rows]), none, none, none, pa.array(np.repeat(h[first], size)[rows].view(np.int64)),
+    runs = pa.table([none, none, pa.array(sid[rows]), none, none, none, pa.array(run_names(np.repeat(h[first], size)[rows], t["p"][0].as_py())),
                      pa.array(np.repeat(sid[first], size)[rows]), pa.array(each[rows])], names=docs.column_names)
     return pa.concat_tables([docs, runs])
 
