@@ -24,11 +24,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadsync.llm.shared import table
+from quadsync.llm.text_arrays import buffers, folded, pieces, span_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -237,14 +239,67 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
+def _marks(words) -> np.ndarray:
+    return np.sort(np.concatenate([span_hashes(b := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(b)])) for w in words]))
+
+
+WORD_MARKS = {name: _marks(words) for name, words in (("spelled", SPELLED), ("at", AT), ("dot", DOT), ("plus", PLUS))}
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _bytes(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+IS_DIGIT, OPENS, AROUND = _bytes("0123456789"), _bytes("[({<"), _bytes("[](){}<>_*-")
+
+
+def worth_reading(col: pa.Array) -> np.ndarray:
+    """Rows in which anything can be found (a few others too): they hold a digit, "@",
+    a character that may be a look-alike, spelled digits side by side, or a sign's word."""
+    raw, offsets = buffers(col)
+    out = np.zeros(len(col), bool)
+    for a, b in pieces(offsets):
+        off = offsets[a:b + 1] - offsets[a]
+        buf = folded(raw[offsets[a]:offsets[b]])
+        if not len(buf):
+            continue
+        opens = np.flatnonzero(OPENS[buf[:-2]]) if len(buf) > 2 else np.zeros(0, np.int64)
+        second, third = buf[opens + 1], buf[opens + 2]
+        signs = opens[(second == 46) | (second == 64) | (second == 32) | (third == 46) | (third == 64)]
+        hit = [np.flatnonzero(IS_DIGIT[buf] | (buf == 64) | (buf == 0xC2) | (buf >= 0xC4)), signs]
+        start, end, row = word_spans(buf, off, LETTERS)
+        short = np.flatnonzero(end - start <= 12)
+        h = span_hashes(buf, start[short], end[short])
+        is_a = {}
+        for name, marks in WORD_MARKS.items():
+            at = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
+            is_a[name] = np.zeros(len(start), bool)
+            is_a[name][short[marks[at] == h]] = True
+        number = is_a["spelled"] | is_a["dot"] | is_a["plus"]
+        pair = np.flatnonzero(is_a["spelled"][:-1] & number[1:] & (row[1:] == row[:-1]))
+        hit += [start[pair], start[is_a["dot"]]]
+        at = np.flatnonzero(is_a["at"])
+        framed = AROUND[buf[np.maximum(start[at] - 1, 0)]] | AROUND[buf[np.minimum(end[at], len(buf) - 1)]] | AROUND[buf[np.maximum(start[at] - 2, 0)]]
+        hit.append(start[at[framed]])
+        out[a + np.searchsorted(off, np.concatenate(hit), "right") - 1] = True
+    return out
+
+
+NOTHING = hashlib.sha256(b"").hexdigest()
+
+
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts, digests, spans, more = [[], [], [], []], [], [], []
-        for text in b.column(1):
-            base, added = spans_of(text.as_py() or "")
+        for text, worth in zip(b.column(1), worth_reading(b.column(1)).tolist(), strict=True):
+            base, added = spans_of(text.as_py()) if worth else ([], [])
             for k in range(4):
                 counts[k].append(sum(x[1] == k for x in base))
-            digests.append(hashlib.sha256(written(base).encode()).hexdigest())
+            digests.append(hashlib.sha256(written(base).encode()).hexdigest() if base else NOTHING)
             spans.append(written(sorted(base + added)))
             more.append(len(added))
         yield pa.record_batch([b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()),

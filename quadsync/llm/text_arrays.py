@@ -29,6 +29,15 @@ LOWER_AZ = np.arange(256, dtype=np.uint8)
 LOWER_AZ[65:91] += 32
 
 
+def folded(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals of Latin-1 (their second byte) lower-cased."""
+    buf = LOWER_AZ[raw]
+    if len(buf) > 1:
+        capital = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        buf[1:][capital] += 32
+    return buf
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quadsync.llm.mixing import hash_unit
 from quadsync.llm.shared import store, table
-from quadsync.llm.text_arrays import buffers, pieces, shingle_sets, span_hashes, word_spans
+from quadsync.llm.text_arrays import buffers, folded, pieces, shingle_sets, span_hashes, word_spans
 
 TRAIN_ROWS = 10_000
 BUCKETS = 1 << 32
@@ -50,10 +50,6 @@ SYMBOLS = 28
 LETTER = np.zeros(256, np.uint8)
 LETTER[65:91] = LETTER[97:123] = np.arange(1, 27)
 LETTER[128:] = 27
-#: byte -> itself, A-Z lower-cased, and Latin-1 capitals in their second byte by ``folded``
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
 #: fixed values: signs and the letters that they are written for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": ""}
 SIGN_COST, SAME_COST, DROP_COST = 0.5, 0.0, 1.5
@@ -63,14 +59,6 @@ TOKEN = (LETTER > 0) | IS_SIGN
 GAPS = frozenset(b" .-_*,/\\")
 
 
-def folded(raw: np.ndarray) -> np.ndarray:
-    buf = LOWER[raw]
-    if len(buf) > 1:
-        capital = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
-        buf[1:][capital] += 32
-    return buf
-
-
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text -> (gram, n) sums of one task."""
     total = np.zeros(SYMBOLS ** 3, np.int64)

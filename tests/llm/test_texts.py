@@ -96,6 +96,16 @@ def test_disguised_data_is_found_at_its_source_characters(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in added] == [(kind, span)]
 
 
+def test_rows_with_any_span_are_read():
+    r = random.Random(7)
+    bits = ["jane", "at", "(at)", "[ at ]", "dot", "(dot)", "[.]", "@", " @ ", ".", "example", "com", "five", "FIVE", "null", "Fünf", "FÜNF", "plus", "+", "1", "192", "555-1234", "а", "４", " ", "\n", ", ", "_at_", "one one"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", "-"]) for _ in range(r.randint(0, 16))) for _ in range(6000)]
+    texts += ["plus one five five five one two three four five six seven", "jane at example dot com", "jane (at) example.com", "user_at_example_dot_com", "five-five-five-one-two-three-four-five-six-seven", None, ""]
+    worth = pii.worth_reading(pa.array(texts))
+    assert not [t for t, w in zip(texts, worth, strict=True) if not w and any(pii.spans_of(t or ""))]
+    assert not pii.worth_reading(pa.array(["Plain words without anything, nothing at all.", "un mot et un autre", None, ""])).any()
+
+
 @pytest.mark.parametrize("text", ["look at home . The end", "look at the dot on it", "one two three", "un deux trois", "sits at home.the end", "meet me at noon dot", "", "café at 5.30"])
 def test_plain_texts_have_no_disguised_data(text):
     assert pii.spans_of(text) == ([], [])
