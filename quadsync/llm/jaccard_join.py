@@ -14,7 +14,7 @@ every document, exact for every link:
    that many documents share makes runs only where it fills whole parts.
 3. Sets are partitioned into *groups*: by the smallest set of their runs, the
    size band, and a hash, about ``GROUP_TOKENS`` shingles each.
-4. Each set asks the groups in its runs.  A group's task holds its token union
+4. Each set asks the groups that share as many parts with it as a link must.  A group's task holds its token union
    as a matrix (token -> members).  The query's overlap with the union bounds
    its overlap with every member; only a group whose bound reaches the
    threshold is opened and its members are counted exactly.  Members explore
@@ -299,16 +299,19 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     shares = runs.groupBy("sid").agg(F.min("pivot").alias("label"), F.sum(F.when(F.col("odd"), 0).otherwise(F.col("times"))).alias("n0"), F.sum(F.when(F.col("odd"), F.col("times")).otherwise(0)).alias("n1"))
     sets = (shares.join(classes, shares["sid"] == classes["f1"])
             .withColumn("ok0", F.expr("need0 > 0 AND n0 >= need0")).withColumn("ok1", F.expr("need1 > 0 AND n1 >= need1")).where("ok0 OR ok1")
-            .select("sid", "rep", "n", "label", "ok0", "ok1", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")))
+            .select("sid", "rep", "n", "label", "ok0", "ok1", "need0", "need1", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")))
     sets = store(sets, "candidates")
     sizes = store(sets.groupBy("label", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks")), "group-chunks")
     sets = sets.join(sizes, ["label", "band"]).withColumn("g", F.xxhash64("label", "band", F.pmod(F.xxhash64("rep"), F.col("chunks")))).drop("label", "chunks")
     sets = store(sets, "groups")
 
-    asked = runs.join(sets, "sid").where("IF(odd, ok1, ok0)").select("run", "rep", "sid", "n", "band", "g")
+    asked = runs.join(sets, "sid").where("IF(odd, ok1, ok0)").select("run", "odd", "times", "rep", "sid", "n", "need0", "need1", "band", "g")
     there = asked.select("run", F.col("g").alias("to"), F.col("band").alias("to_band")).distinct()
     near = (F.col("band") == F.col("to_band") - 1) | ((F.col("band") == F.col("to_band")) & (F.col("g") < F.col("to")))
-    queries = store(asked.join(there, "run").where(near).select(F.col("to").alias("g"), "rep", "sid", "n").distinct(), "queries")
+    # a linked member shares so many parts alone, so a group that shares fewer is not asked
+    shared = (asked.join(there, "run").where(near).groupBy(F.col("to").alias("g"), "rep", "sid", "n", "need0", "need1")
+              .agg(F.sum(F.when(F.col("odd"), 0).otherwise(F.col("times"))).alias("n0"), F.sum(F.when(F.col("odd"), F.col("times")).otherwise(0)).alias("n1")))
+    queries = store(shared.where("(need0 > 0 AND n0 >= need0) OR (need1 > 0 AND n1 >= need1)").select("g", "rep", "sid", "n"), "queries")
 
     count = (sets.groupBy("g").agg(F.count("*").alias("own"))
              .join(queries.groupBy("g").agg(F.sum("n").alias("asking")), "g", "left")
