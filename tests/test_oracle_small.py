@@ -7,7 +7,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["expected_publication", "heal_diff", "fold_cancel", "delta_file_chunks", "cascade_deletes", "gate_messages", "error_debounce",
-         "stream_multi_message", "stream_replay", "stream_bad_message", "logical_delete_applied", "heal_delta_files"]
+         "stream_bad_message", "logical_delete_applied", "heal_delta_files"]  # the streams: test_stream.py
 
 
 @pytest.mark.parametrize("name", NAMES)
