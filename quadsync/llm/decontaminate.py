@@ -5,10 +5,17 @@ bytes; case, punctuation and spacing do not matter.  Every span of a benchmark
 item gives one hash per mask; a mask looks at some word positions of the span
 and ignores the others, so a substituted word there is no loss.  Documents give
 the same hashes; equal hashes give the diagonals (item, document, offset) to
-verify.  On each diagonal the best run of words is sought (a match counts 1, a
-mismatch -4, so at least 4 of 5 words are equal); a document is contaminated by
-an item when its best run has at least ``min_words`` words, or the whole item
-where that is shorter (an item of fewer words than a span is sought whole).
+verify.  On each diagonal the longest run is sought that begins and ends on equal
+words, or is the whole item, and of which at least 4 of 5 words are equal; a
+document is contaminated by an item when that run has at least ``min_words``
+words, or is the whole item where that is shorter.
+
+The masks lose no such run of ``MIN_WORDS`` words or more: a mask is two groups of
+three words with one of ``GAPS`` words between them, and wherever a fifth of 12 to
+23 words is substituted, two groups stay whole at one of these gaps (longer runs
+hold such a part).  A shorter item is sought whole: with m words that may differ it
+is cut into m + 2 blocks, and each two blocks are a mask.  Items below ``SHORTEST``
+words are sought without a substitution.
 
 The documents' hashes are not shuffled: a Bloom filter of the benchmark's
 hashes, ``BLOOM_BITS`` bits whatever the tables, is broadcast, and only documents
@@ -23,6 +30,8 @@ found in one document and one item several times (the best run is returned).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +42,12 @@ from pyspark.sql import functions as F
 from quadsync.llm.shared import store, table
 from quadsync.llm.text_arrays import LOWER_AZ, buffers, mix, pieces, span_hashes, word_spans
 
-#: 1: the word counts, 0: it is ignored
-MASKS = ("110110111", "101111011", "111010111")
-SPAN = 9
+#: words between the two groups of ``GROUP`` words that a mask looks at
+GAPS = (0, 3, 6, 9, 12)
+GROUP = 3
 MIN_WORDS = 12
+#: words from which on an item below MIN_WORDS may have substituted words
+SHORTEST = 9
 MISMATCH = -4
 BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 3
@@ -58,34 +69,41 @@ def word_hashes(col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarr
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of all masks at all positions; shorter texts give their whole sequence."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if n < SPAN:
-        whole = (words * (2 * np.arange(n, dtype=np.uint64) + np.uint64(3))).sum(dtype=np.uint64)
-        return mix(np.array([whole + np.uint64(n)])), np.zeros(1, np.int64)
-    out = []
-    for j, mask in enumerate(MASKS):
-        h = np.full(n - SPAN + 1, 0x9E3779B97F4A7C15 * (j + 1) % (1 << 64), np.uint64)
-        for k, used in enumerate(mask):
-            if used == "1":
-                h = h * np.uint64(0xD6E8FEB86659FD93) + words[k: n - SPAN + 1 + k]
-        out.append(mix(h))
-    return np.concatenate(out), np.tile(np.arange(n - SPAN + 1), len(MASKS))
+    """(hash, position) of all masks at all positions."""
+    out_h, out_p = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if len(words) >= 2 * GROUP:
+        group = np.full(len(words) - GROUP + 1, 0x9E3779B97F4A7C15, np.uint64)
+        for k in range(GROUP):
+            group = group * np.uint64(0xD6E8FEB86659FD93) + words[k: len(group) + k]
+        group = mix(group)
+        for j, gap in enumerate(GAPS):
+            n = len(group) - GROUP - gap
+            if n > 0:
+                out_h.append(mix(group[:n] * np.uint64(2 * j + 3) + group[GROUP + gap:]))
+                out_p.append(np.arange(n))
+    return np.concatenate(out_h), np.concatenate(out_p)
+
+
+@lru_cache(maxsize=MIN_WORDS)
+def short_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks (word positions) of a whole item of n words, below MIN_WORDS: two clean blocks are left wherever a fifth of its words is substituted."""
+    may_differ = n // 5 if n >= SHORTEST else 0
+    blocks = np.array_split(np.arange(n), may_differ + 2)
+    return tuple(tuple(int(k) for x in two for k in x) for two in combinations(blocks, 2))
 
 
 def short_seeds(words: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of whole sequences of the given lengths (below SPAN) at every position."""
-    out_h, out_p = [], []
+    """Hashes of whole sequences of the given lengths (below MIN_WORDS) under their masks at every position."""
+    out_h, out_p = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for n in lengths:
         if len(words) >= n:
-            h = np.zeros(len(words) - n + 1, np.uint64)
-            for k in range(n):
-                h += words[k: len(words) - n + 1 + k] * np.uint64(2 * k + 3)
-            out_h.append(mix(h + np.uint64(n)))
-            out_p.append(np.arange(len(h)))
-    return (np.concatenate(out_h), np.concatenate(out_p)) if out_h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for j, mask in enumerate(short_masks(n)):
+                h = np.zeros(len(words) - n + 1, np.uint64)
+                for k in mask:
+                    h += words[k: len(h) + k] * np.uint64(2 * k + 3)
+                out_h.append(mix(h + np.uint64(n + MIN_WORDS * j)))
+                out_p.append(np.arange(len(h)))
+    return np.concatenate(out_h), np.concatenate(out_p)
 
 
 def bloom_slots(h: np.ndarray) -> list[np.ndarray]:
@@ -102,7 +120,8 @@ def benchmark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def benchmark_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, uid, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            h, p = seeds(np.frombuffer(blob, np.uint64))
+            words = np.frombuffer(blob, np.uint64)
+            h, p = seeds(words) if n >= MIN_WORDS else short_seeds(words, (n,))
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(p), pa.array([item] * len(h), pa.int64()), pa.array([uid] * len(h), pa.int64()),
                                    pa.array([n] * len(h), pa.int64())], names=["hash", "item_pos", "item_id", "item_uid", "n_words"])
 
@@ -120,7 +139,7 @@ def scan_documents(bloom, lengths: tuple[int, ...]) -> Callable:
         for b in batches:
             ids, rows = b.column(0), {k: [] for k in ("uid", "doc_id", "words", "hashes", "at")}
             for i, words in word_hashes(b.column(1)):
-                h, p = seeds(words) if len(words) >= SPAN else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                h, p = seeds(words)
                 if lengths:
                     h2, p2 = short_seeds(words, lengths)
                     h, p = np.concatenate([h, h2]), np.concatenate([p, p2])
@@ -151,13 +170,36 @@ def best_run(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int,
     return end - start, int(same[start:end].sum()), a + offset + start
 
 
+def longest_run(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
+    """(words, equal words, start in the document) of the longest run with 4 of 5 words equal where item[i] lies
+    on doc[i + offset]; it begins and ends on equal words or is the whole item.  Of equally long ones the one
+    with more equal words, then the first."""
+    a = max(0, -offset)
+    b = min(len(item), len(doc) - offset)
+    if a >= b:
+        return 0, 0, 0
+    same = item[a:b] == doc[a + offset: b + offset]
+    total = np.append(0, np.cumsum(np.where(same, 1, MISMATCH)))
+    if b - a == len(item) and total[-1] >= 0:
+        return b - a, int(same.sum()), a + offset
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    # for each last word the first start whose sum before it is not larger
+    low = np.minimum.accumulate(total[at])
+    first = np.searchsorted(-low, -total[at + 1])
+    words, equal = at + 1 - at[first], np.arange(len(at)) + 1 - first
+    best = int(np.argmax(words * (len(same) + 1) + equal))
+    return int(words[best]), int(equal[best]), int(a + offset + at[first[best]])
+
+
 def verify(min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["uid", "doc_id", "item_id", "item_words", "run_words", "equal_words", "doc_start"]
         for b in batches:
             out = []
             for uid, doc_id, item_id, n, base, diagonal, item, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, equal, start = best_run(np.frombuffer(item, np.uint64), np.frombuffer(part, np.uint64), diagonal - base)
+                words, equal, start = longest_run(np.frombuffer(item, np.uint64), np.frombuffer(part, np.uint64), diagonal - base)
                 if words >= min(min_words, n):
                     out.append((uid, doc_id, item_id, n, words, equal, base + start))
             yield pa.record_batch([pa.array([r[j] for r in out], pa.int64()) for j in range(len(names))], names=names)
@@ -173,7 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
                   .mapInArrow(benchmark_words, "item_id long, n_words long, words binary").where("n_words > 0")
                   .withColumn("item_uid", F.monotonically_increasing_id()).select("item_id", "item_uid", "n_words", "words"), "bench-items")
     marks = store(items.mapInArrow(benchmark_seeds, "hash long, item_pos long, item_id long, item_uid long, n_words long"), "bench-seeds")
-    lengths = tuple(r[0] for r in items.where(F.col("n_words") < SPAN).select("n_words").distinct().collect())  # SPAN - 1 values at most
+    lengths = tuple(r[0] for r in items.where(F.col("n_words") < MIN_WORDS).select("n_words").distinct().collect())  # MIN_WORDS - 1 values at most
     filled = marks.select("hash").mapInArrow(bloom_words, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
     got = filled.toPandas()  # BLOOM_BITS / 64 rows at most

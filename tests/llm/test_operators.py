@@ -189,6 +189,18 @@ def test_decontamination(spark, corpus):
     assert got == Counter({(900, 1): 2, (901, 1): 1, (902, 1): 1, (905, 2): 1})
 
 
+def test_decontamination_with_a_word_substituted_anywhere(spark):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(9, 17)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    cases = [(n, (i,)) for n in items for i in range(n)] + [(12, (5, 6)), (15, (3, 7, 11)), (15, (0, 1, 14)), (11, (0, 10))]
+    few = [(9, (0, 8)), (14, (5, 6, 7)), (15, (2, 6, 8, 12))]
+    rows = []
+    for k, (n, bad) in enumerate(cases + few):
+        rows.append((k, "so " + " ".join("other" if i in bad else w for i, w in enumerate(items[n])) + " it goes", "en", "a"))
+    got = Counter((x.doc_id, x.item_id) for x in decontaminate.contamination(docs_of(spark, rows), bench).collect())
+    assert got == Counter({(k, n): 1 for k, (n, _) in enumerate(cases)})
+
+
 def test_language(spark, corpus):
     r = random.Random(9)
     say = {"en": "the of and to in is that for it was on are with as", "de": "der die und das ist nicht ein zu von mit auf für dem", "fr": "le la les des est une dans que pour qui pas sur au é è"}

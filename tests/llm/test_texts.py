@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from quadsync.llm import pii, toxicity, warc
-from quadsync.llm.decontaminate import best_run, word_hashes
+from quadsync.llm.decontaminate import best_run, longest_run, seeds, short_seeds, word_hashes
 from quadsync.llm.html_labelled import labelled_pages
 from quadsync.llm.html_main import TRAIN_PAGES, main_text, node_labels, train
 from quadsync.llm.html_tree import parse
@@ -179,6 +180,41 @@ def test_words_and_runs_of_benchmarks():
     assert best_run(item, doc[12:], -7) == (10, 9, 3)
 
 
+def longest_brute(item, doc, offset):
+    n, best = len(item), (0, 0, 0)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            if 0 <= i + offset and j + offset <= len(doc):
+                same = [item[k] == doc[k + offset] for k in range(i, j)]
+                if 5 * sum(same) >= 4 * len(same) and (j - i == n or same[0] and same[-1]):
+                    best = max(best, (j - i, sum(same), -(i + offset)))
+    return best[0], best[1], -best[2]
+
+
+def test_longest_runs_match_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 30))
+        item = np.arange(n, dtype=np.uint64)
+        doc = np.concatenate([np.full(4, 99, np.uint64), item, np.full(int(r.integers(0, 4)), 98, np.uint64)])
+        doc[r.random(len(doc)) < r.choice([0.1, 0.25, 0.5])] = 77
+        cut = int(r.integers(0, 8))
+        assert longest_run(item, doc[cut:], 4 - cut) == longest_brute(item.tolist(), doc[cut:].tolist(), 4 - cut)
+
+
+@pytest.mark.parametrize("n", range(9, 24))
+def test_no_run_is_lost_by_the_seeds(n):
+    words = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64)
+    find = seeds if n >= 12 else lambda w: short_seeds(w, (n,))
+    there = set(zip(*(x.tolist() for x in find(words)), strict=True))
+    every = list(combinations(range(n), n // 5))
+    for bad in every if len(every) < 1000 else random.Random(n).sample(every, 1000):
+        doc = words.copy()
+        doc[list(bad)] = 77
+        assert there & set(zip(*(x.tolist() for x in find(doc)), strict=True)), bad
+        assert longest_run(words, doc, 0) == (n, n - len(bad), 0)
+
+
 def test_code_points_survive_broken_utf8():
     raw = np.frombuffer("aé日".encode() + b"\xff\xc3" + "ß".encode(), np.uint8)
     cp, off = code_points(raw, np.array([0, 6, 8, 10]))
