@@ -6,7 +6,8 @@
    letters, single letters spaced out, letters repeated three times or more)
    become lattices: per place the letters that the channel may have written so,
    with their costs.  Viterbi decoding finds the likeliest letters under the
-   trigram model; the restored words join the document's words.
+   trigram model; the restored words join the document's words.  Tokens of any
+   length are decoded: a place costs the same wherever it stands.
 3. Words and their first letters are hashed features.  On a bounded sample of
    the labelled rows of the learning folds (``TRAIN_ROWS``, one of near copies) those
    that speak for label 1 beyond chance are weighted, and a logistic regression on a document's
@@ -23,6 +24,7 @@ score is the share of label 1 (0 without any label).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import log
@@ -43,7 +45,8 @@ PREFIXES = (4, 5)
 MIN_Z = 3.0
 MIN_DOCS = 5
 THRESHOLD = 0.3
-LONGEST = 32
+#: longer tokens are decoded each time instead of being kept
+KEPT = 64
 SYMBOLS = 28
 
 #: byte -> a-z: 1 to 26 (either case), bytes of other letters: 27, anything else: 0
@@ -57,6 +60,7 @@ IS_SIGN = np.zeros(256, bool)
 IS_SIGN[[ord(c) for c in LEET]] = True
 TOKEN = (LETTER > 0) | IS_SIGN
 GAPS = frozenset(b" .-_*,/\\")
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +135,12 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
 class Decoder:
     def __init__(self, cost: np.ndarray):
         self.cost = cost
-        self.restore = lru_cache(maxsize=100_000)(self._restore)
+        self.known = lru_cache(maxsize=100_000)(self._restore)
+
+    def restore(self, token: str) -> tuple[str, ...]:
+        """Restored words of a suspicious token; of a letter repeated three times or more two are left."""
+        token = STRETCHED.sub(r"\1\1", token)
+        return self.known(token) if len(token) <= KEPT else self._restore(token)
 
     def _restore(self, token: str) -> tuple[str, ...]:
         """Restored words of a suspicious token: the decoding, and for repeated
@@ -154,7 +163,7 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
         last = np.maximum.reduceat(np.where(strong, np.arange(len(buf)), -1), s) + 1
         n_sign, n_letter = np.append(0, np.cumsum(sign)), np.append(0, np.cumsum(is_letter))
         last = np.minimum(np.maximum(last, s), e)
-        mixed = (n_sign[last] > n_sign[s]) & (n_letter[last] > n_letter[s] + 1) & (last - s >= 3) & (last - s <= LONGEST)
+        mixed = (n_sign[last] > n_sign[s]) & (n_letter[last] > n_letter[s] + 1) & (last - s >= 3)
         for j in np.flatnonzero(mixed):
             out.append((int(r[j]), text[s[j]:last[j]].decode("utf-8", "replace")))
     # one letter repeated three times or more
@@ -162,7 +171,7 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
         same = is_letter[2:] & (buf[2:] == buf[1:-1]) & (buf[2:] == buf[:-2])
         if same.any():
             for j in np.unique(np.searchsorted(start, np.flatnonzero(same), "right") - 1):
-                if 0 <= j and 3 <= end[j] - start[j] <= LONGEST:
+                if 0 <= j and end[j] - start[j] >= 3:
                     out.append((int(row[j]), text[start[j]:end[j]].decode("utf-8", "replace")))
     # single letters or signs, one gap each
     one = np.flatnonzero(e - s == 1)
@@ -171,7 +180,7 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
         linked = (j[1:] == j[:-1] + 1) & (s[j[1:]] == s[j[:-1]] + 2) & (r[j[1:]] == r[j[:-1]])
         first = np.flatnonzero(np.append(True, ~linked))
         for a, b in zip(first, np.append(first[1:], len(j)), strict=True):
-            if 4 <= b - a <= LONGEST and len({text[p + 1] for p in s[j[a:b - 1]]} - GAPS) == 0:
+            if b - a >= 4 and len({text[p + 1] for p in s[j[a:b - 1]]} - GAPS) == 0:
                 token = "".join(chr(text[p]) for p in s[j[a:b]] if text[p] < 128)
                 if sum(ch.isalpha() for ch in token) >= 2:
                     out.append((int(r[j[a]]), token))

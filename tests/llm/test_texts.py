@@ -223,7 +223,7 @@ def test_code_points_survive_broken_utf8():
         assert n == 4 and letters.tolist() == [0, 0, 0, 2] and len(bucket) == len(row)
 
 
-def test_decoder_restores_disguised_words():
+def word_model():
     text = " ".join(["the idiot was a clown and the moron is a loser", "scum and trash", "stupid idiot there"] * 50)
     grams = {}
     for batch in toxicity.count_trigrams([pa.record_batch([pa.array([text])], names=["text"])]):
@@ -231,7 +231,11 @@ def test_decoder_restores_disguised_words():
     n = np.ones(toxicity.SYMBOLS ** 3) * 0.01
     n[list(grams)] += list(grams.values())
     n = n.reshape((toxicity.SYMBOLS,) * 3)
-    d = toxicity.Decoder(-np.log(n / n.sum(2, keepdims=True)))
+    return toxicity.Decoder(-np.log(n / n.sum(2, keepdims=True)))
+
+
+def test_decoder_restores_disguised_words():
+    d = word_model()
     for token, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("cl0wn", "clown"), ("$tup!d", "stupid"), ("idiooot", "idiot"), ("looooser", "loser"), ("tr@sh", "trash")):
         assert word in d.restore(token), (token, d.restore(token))
 
@@ -249,6 +253,19 @@ def test_suspicious_tokens_reach_the_features(written):
     assert want <= got
 
 
+@pytest.mark.parametrize("n", [30, 33, 5000])
+def test_tokens_of_any_length_are_restored(n):
+    d = word_model()
+    def restored(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(buf)])
+        return {w for _, token in toxicity.suspicious(buf, off, *toxicity.word_spans(buf, off, toxicity.LETTER > 0)) for w in d.restore(token)}
+    assert "stupid" in restored("a st" + "u" * n + "pid man")
+    assert "stupid" in restored("a $t" + "u" * n + "p1d man")
+    assert "idiot" in restored("an 1d" + "*" * n + "10t here")
+    assert "idiot" in "".join(restored("an " + " ".join("idiot" * n) + " here"))
+
+
 def test_chi_square_and_leaves():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 0.01
     p = np.vstack([np.random.default_rng(0).normal(size=(500, 4)), np.ones((300, 4))])
