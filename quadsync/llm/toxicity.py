@@ -6,8 +6,12 @@
    letters, single letters spaced out, letters repeated three times or more)
    become lattices: per place the letters that the channel may have written so,
    with their costs.  Viterbi decoding finds the likeliest letters under the
-   trigram model; the restored words join the document's words.  Tokens of any
-   length are decoded: a place costs the same wherever it stands.
+   trigram model; the restored words join the document's words.  A gap between
+   spaced letters (three or more with gaps of one width) writes nothing or a word
+   boundary, so the decoding also says where words end; as three letters say
+   little of that, words up to ``NEAR_WORD`` letters join too whose boundaries cost
+   at most ``MARGIN`` more.  Tokens of any length are decoded: a place costs the
+   same wherever it stands.
 3. Words and their first letters are hashed features.  On a bounded sample of
    the labelled rows of the learning folds (``TRAIN_ROWS``, one of near copies) those
    that speak for label 1 beyond chance are weighted, and a logistic regression on a document's
@@ -56,10 +60,14 @@ LETTER[128:] = 27
 #: fixed values: signs and the letters that they are written for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": ""}
 SIGN_COST, SAME_COST, DROP_COST = 0.5, 0.0, 1.5
+MARGIN, NEAR_WORD = 6.0, 24
 IS_SIGN = np.zeros(256, bool)
 IS_SIGN[[ord(c) for c in LEET]] = True
 TOKEN = (LETTER > 0) | IS_SIGN
-GAPS = frozenset(b" .-_*,/\\")
+IS_GAP = np.zeros(256, bool)
+IS_GAP[list(b" .-_*,/\\")] = True
+#: stands in a token for a gap between spaced letters
+GAP = " "
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 
@@ -116,10 +124,14 @@ def decode(places: list[list[tuple[int, float]]], cost: np.ndarray) -> list[int]
 
 def lattice(token: str) -> list[list[tuple[int, float]]]:
     """Places of a token: a letter writes itself, a sign one of its letters; in a
-    run of equal letters those behind the first may write nothing."""
+    run of equal letters those behind the first may write nothing; a gap writes
+    nothing or a word boundary."""
     places: list[list[tuple[int, float]]] = []
     before = ""
     for ch in token:
+        if ch == GAP:
+            places.append([(-1, SAME_COST), (0, SAME_COST)])
+            continue
         s = int(LETTER[ord(ch)]) if ord(ch) < 128 else 27
         if s:
             options = [(s, SAME_COST)]
@@ -132,6 +144,38 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
     return places
 
 
+def near_words(letters: list[int], cost: np.ndarray) -> list[str]:
+    """Words of 3 to NEAR_WORD of the letters with whose boundaries the cheapest
+    reading costs at most MARGIN more than the cheapest of all."""
+    n = len(letters)
+    if n < 3:
+        return []
+    a = np.array(letters)
+    first = cost[0, a[:-1], a[1:]]  # second letter of a word
+    inner = np.concatenate([[0.0, 0.0], cost[a[:-2], a[1:-1], a[2:]]])  # its third and later ones
+    end = np.concatenate([[0.0], cost[a[:-1], a[1:], 0]])  # boundary after a longer word
+    end_one = cost[0, a, 0]  # after a word of one letter
+    begin = np.concatenate([[cost[0, 0, a[0]]], cost[a[:-1], 0, a[1:]]])  # first letter after a boundary
+    # cheapest cost up to a letter that begins a word (new) or goes on in one (on)
+    new, on = np.full(n, np.inf), np.full(n, np.inf)
+    new[0] = begin[0]
+    for i in range(1, n):
+        on[i] = min(on[i - 1] + inner[i], new[i - 1] + first[i - 1])
+        new[i] = min(on[i - 1] + end[i - 1], new[i - 1] + end_one[i - 1]) + begin[i]
+    best = min(on[-1] + end[-1], new[-1] + end_one[-1])
+    # cheapest cost behind a boundary before letter i, and behind letter i that goes on in a word
+    rest, going = np.zeros(n + 1), end[n - 1]
+    rest[n - 1] = begin[n - 1] + end_one[n - 1]
+    for i in range(n - 2, -1, -1):
+        rest[i] = begin[i] + min(first[i] + going, end_one[i] + rest[i + 1])
+        going = min(inner[i + 1] + going, end[i] + rest[i + 1])
+    total = np.cumsum(inner)
+    left, right = new[:-1] + first - total[1:], total + end + rest[1:]
+    text = "".join(chr(96 + s) for s in letters)
+    return [text[i:i + size] for size in range(3, min(n, NEAR_WORD) + 1)
+            for i in np.flatnonzero(left[:n - size + 1] + right[size - 1:] <= best + MARGIN).tolist()]
+
+
 class Decoder:
     def __init__(self, cost: np.ndarray):
         self.cost = cost
@@ -145,9 +189,15 @@ class Decoder:
     def _restore(self, token: str) -> tuple[str, ...]:
         """Restored words of a suspicious token: the decoding, and for repeated
         letters the one in which every run is a single letter."""
-        letters = "".join(chr(96 + s) for s in decode(lattice(token), self.cost) if 1 <= s <= 26)
-        single = "".join(ch for i, ch in enumerate(letters) if i == 0 or ch != letters[i - 1])
-        return tuple(dict.fromkeys(w for w in (letters, single) if len(w) > 2))
+        out: list[str] = []
+        symbols = [s for s in decode(lattice(token), self.cost) if s <= 26]
+        words = "".join(chr(96 + s) if s else GAP for s in symbols).split(GAP)
+        if GAP in token:
+            words += near_words([s for s in symbols if s], self.cost)
+        for letters in words:
+            single = "".join(ch for i, ch in enumerate(letters) if i == 0 or ch != letters[i - 1])
+            out += [w for w in (letters, single) if len(w) > 2]
+        return tuple(dict.fromkeys(out))
 
 
 def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, str]]:
@@ -173,17 +223,18 @@ def suspicious(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndar
             for j in np.unique(np.searchsorted(start, np.flatnonzero(same), "right") - 1):
                 if 0 <= j and end[j] - start[j] >= 3:
                     out.append((int(row[j]), text[start[j]:end[j]].decode("utf-8", "replace")))
-    # single letters or signs, one gap each
+    # single letters or signs, gaps of one width
     one = np.flatnonzero(e - s == 1)
-    if len(one) > 3:
-        j = one
-        linked = (j[1:] == j[:-1] + 1) & (s[j[1:]] == s[j[:-1]] + 2) & (r[j[1:]] == r[j[:-1]])
-        first = np.flatnonzero(np.append(True, ~linked))
-        for a, b in zip(first, np.append(first[1:], len(j)), strict=True):
-            if b - a >= 4 and len({text[p + 1] for p in s[j[a:b - 1]]} - GAPS) == 0:
-                token = "".join(chr(text[p]) for p in s[j[a:b]] if text[p] < 128)
-                if sum(ch.isalpha() for ch in token) >= 2:
-                    out.append((int(r[j[a]]), token))
+    if len(one) > 2:
+        width = s[one[1:]] - s[one[:-1]]
+        n_other = np.append(0, np.cumsum(~IS_GAP[buf] & ~TOKEN[buf]))
+        width[(one[1:] != one[:-1] + 1) | (r[one[1:]] != r[one[:-1]]) | (n_other[s[one[1:]]] > n_other[s[one[:-1]]])] = 0
+        first = np.flatnonzero(np.append(True, width[1:] != width[:-1]))
+        size = np.diff(np.append(first, len(width)))
+        for a, n in zip(first[(size > 1) & (width[first] > 0)], size[(size > 1) & (width[first] > 0)], strict=True):
+            token = "".join(chr(text[p]) for p in s[one[a:a + n + 1]] if text[p] < 128)
+            if sum(ch.isalpha() for ch in token) >= 2:
+                out.append((int(r[one[a]]), GAP.join(STRETCHED.sub(r"\1\1", token))))
     return out
 
 

@@ -266,6 +266,29 @@ def test_tokens_of_any_length_are_restored(n):
     assert "idiot" in "".join(restored("an " + " ".join("idiot" * n) + " here"))
 
 
+@pytest.mark.parametrize(("written", "words"), [
+    ("you are a s t u p i d man", ["stupid"]), ("so s t u p i d i d i o t you", ["stupid", "idiot"]), ("the t r a s h a n d s c u m here", ["trash", "and", "scum"]),
+    ("an i  d  i  o  t here", ["idiot"]), ("an i, d, i, o, t here", ["idiot"]), ("an i d i o t  a clown", ["idiot"]), ("trash a n d scum", ["and"]),
+    ("y o u a r e a s t u p i d i d i o t a n d a l o s e r a n d a m o r o n", ["stupid", "idiot", "loser", "moron"]), ("a $ t u u u u p 1 d man", ["stupid"])])
+def test_spaced_letters_are_split_into_words(written, words):
+    want = [set(toxicity.feature_buckets([w]).tolist()) for w in words]
+    got = {int(f) for _, fs, _ in toxicity.features(pa.array([written]), word_model()) for f in fs}
+    assert all(w <= got for w in want)
+
+
+def test_near_words_match_all_readings():
+    cost = word_model().cost
+    for s in ("astupid", "idiotand", "amoron", "abc"):
+        found = []
+        for cut in range(1 << (len(s) - 1)):
+            words = "".join(ch + (" " if cut >> i & 1 else "") for i, ch in enumerate(s)).split()
+            symbols = [0, 0, *(0 if ch == " " else ord(ch) - 96 for ch in " ".join(words)), 0]
+            found.append((sum(cost[tuple(symbols[i - 2:i + 1])] for i in range(2, len(symbols))), words))
+        least = min(found)[0]
+        want = {w for c, words in found if c <= least + toxicity.MARGIN for w in words if len(w) > 2}
+        assert set(toxicity.near_words([ord(ch) - 96 for ch in s], cost)) == want
+
+
 def test_chi_square_and_leaves():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 0.01
     p = np.vstack([np.random.default_rng(0).normal(size=(500, 4)), np.ones((300, 4))])
