@@ -2,9 +2,8 @@
 
 Features are hashed character n-grams (1 to 3) of the lower-cased text, where
 every run of characters that are no letters is one space.  The model is fitted
-on a bounded sample of the labelled rows (``TRAIN_ROWS`` expected, chosen by a
-hash of the id; all rows where there are fewer): n-gram counts per language are
-summed on Spark, the log-probability matrix (languages x ``BUCKETS``, at most
+on all labelled rows, so no language is lost however rare: n-gram counts per
+language are summed on Spark, the log-probability matrix (languages x ``BUCKETS``, at most
 ``MAX_LANGS`` languages) is broadcast, and batches are scored in numpy: the rows
 of the matrix that a text's n-grams name are summed.  The score is the posterior
 probability of the best language.
@@ -12,7 +11,7 @@ probability of the best language.
 Cases: a text that is null, empty or has no letter gets ``und`` with score 0; equal
 scores go to the language that is smaller by code points; without any labelled row
 every text gets ``und``; labels that are null are not learned from.  Only the id
-(for the fold and the sample), the text and the label are read.
+(for the fold), the text and the label are read.
 """
 
 from __future__ import annotations
@@ -26,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadsync.llm.mixing import hash_unit
 from quadsync.llm.shared import table
 from quadsync.llm.text_arrays import buffers, pieces
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 ALPHA = 0.1
-TRAIN_ROWS = 40_000
 MAX_LANGS = 2_000
 UND = "und"
 
@@ -110,13 +107,9 @@ def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == BUCKETS, -1, at)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """labelled (doc_id, text, lang) -> (languages, matrix BUCKETS + 1 x languages; the last row holds the log priors)."""
-    labelled = labelled.where("lang IS NOT NULL")
-    there = labelled.select("lang").count()
-    if there > train_rows:
-        labelled = labelled.where(hash_unit("language-sample", F.col("doc_id")) < train_rows / there)
-    sums = (labelled.select("lang", "text").mapInArrow(count_ngrams, "lang string, bucket long, n long")
+    sums = (labelled.where("lang IS NOT NULL").select("lang", "text").mapInArrow(count_ngrams, "lang string, bucket long, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     got = sums.toPandas()  # MAX_LANGS * (BUCKETS + 1) rows at most, and far fewer n-grams occur
     langs = sorted(set(got["lang"]))

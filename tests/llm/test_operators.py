@@ -216,6 +216,15 @@ def test_language(spark, corpus):
     assert sum(got[i][0] == x for i, x in held) >= 0.99 * len(held)
 
 
+def test_rare_languages_are_learned_from_many_rows(spark):
+    ids = spark.range(50_000)
+    unit = mixing.hash_unit("language-sample", ids.id)
+    rare = ids.orderBy(unit.desc()).first().id
+    labelled = ids.selectExpr("id AS doc_id", f"if(id = {rare}, 'ŋa ŋwa', 'the of and') AS text", f"if(id = {rare}, 'ww', 'en') AS lang")
+    langs, logs = language.fit(labelled)
+    assert langs == ["en", "ww"] and np.allclose(np.exp(logs[-1]), [50_000 / 50_002, 2 / 50_002])
+
+
 def test_toxicity_learns_words_and_sees_through_disguise(spark):
     r = random.Random(4)
     bad = ["idiot", "moron", "clown", "stupid", "trash"]
