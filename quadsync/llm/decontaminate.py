@@ -14,8 +14,9 @@ The masks lose no such run of ``MIN_WORDS`` words or more: a mask is two groups
 three words with one of ``GAPS`` words between them, and wherever a fifth of 12 to
 23 words is substituted, two groups stay whole at one of these gaps (longer runs
 hold such a part).  A shorter item is sought whole: with m words that may differ it
-is cut into m + 2 blocks, and each two blocks are a mask.  Items below ``SHORTEST``
-words are sought without a substitution.
+is cut into m + 2 blocks, and each two blocks are a mask.  A fifth of fewer than
+five words is none, so such items are sought word for word.  Items of any length
+count: one of a single word contaminates every document that holds the word.
 
 The documents' hashes are not shuffled: a Bloom filter of the benchmark's
 hashes, ``BLOOM_BITS`` bits whatever the tables, is broadcast, and only documents
@@ -46,8 +47,6 @@ from quadsync.llm.text_arrays import LOWER_AZ, buffers, mix, pieces, span_hashes
 GAPS = (0, 3, 6, 9, 12)
 GROUP = 3
 MIN_WORDS = 12
-#: words from which on an item below MIN_WORDS may have substituted words
-SHORTEST = 9
 MISMATCH = -4
 BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 3
@@ -87,8 +86,7 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=MIN_WORDS)
 def short_masks(n: int) -> tuple[tuple[int, ...], ...]:
     """Masks (word positions) of a whole item of n words, below MIN_WORDS: two clean blocks are left wherever a fifth of its words is substituted."""
-    may_differ = n // 5 if n >= SHORTEST else 0
-    blocks = np.array_split(np.arange(n), may_differ + 2)
+    blocks = np.array_split(np.arange(n), n // 5 + 2)
     return tuple(tuple(int(k) for x in two for k in x) for two in combinations(blocks, 2))
 
 

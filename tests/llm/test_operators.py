@@ -201,6 +201,16 @@ def test_decontamination_with_a_word_substituted_anywhere(spark):
     assert got == Counter({(k, n): 1 for k, (n, _) in enumerate(cases)})
 
 
+def test_decontamination_by_short_items(spark):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(1, 9)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    cases = [(n, ()) for n in items] + [(n, (i,)) for n in range(5, 9) for i in range(n)]
+    few = [(n, (i,)) for n in range(1, 5) for i in range(n)] + [(n, (0, n - 1)) for n in range(5, 9)]
+    rows = [(k, "so " + " ".join("other" if i in bad else w for i, w in enumerate(items[n])) + " it goes", "en", "a") for k, (n, bad) in enumerate(cases + few)]
+    got = Counter((x.doc_id, x.item_id) for x in decontaminate.contamination(docs_of(spark, rows), bench).collect())
+    assert got == Counter({(k, n): 1 for k, (n, _) in enumerate(cases)})
+
+
 def test_language(spark, corpus):
     r = random.Random(9)
     say = {"en": "the of and to in is that for it was on are with as", "de": "der die und das ist nicht ein zu von mit auf für dem", "fr": "le la les des est une dans que pour qui pas sur au é è"}

@@ -202,7 +202,7 @@ def test_longest_runs_match_brute_force():
         assert longest_run(item, doc[cut:], 4 - cut) == longest_brute(item.tolist(), doc[cut:].tolist(), 4 - cut)
 
 
-@pytest.mark.parametrize("n", range(9, 24))
+@pytest.mark.parametrize("n", range(1, 24))
 def test_no_run_is_lost_by_the_seeds(n):
     words = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64)
     find = seeds if n >= 12 else lambda w: short_seeds(w, (n,))
