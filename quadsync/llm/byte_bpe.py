@@ -59,7 +59,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pack(blob: bytes) -> bytes:
-    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(blob, asbytes=True)
 
 
 def unpack(blob: bytes) -> bytes:
@@ -76,6 +76,31 @@ def unpack_ints(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+#: first bytes from these on are followed by 1, 2 and 4 more
+TWO, THREE, FIVE = 192, 248, 255
+FROM_THREE = TWO + (THREE - TWO) * 256
+FROM_FIVE = FROM_THREE + (FIVE - THREE) * 65536
+
+
+def pack_numbers(x: np.ndarray) -> list[bytes]:
+    """Numbers that are mostly small, in 1, 2, 3 or 5 bytes; first bytes and further bytes lie apart."""
+    two, three, five = (x >= TWO) & (x < FROM_THREE), (x >= FROM_THREE) & (x < FROM_FIVE), x >= FROM_FIVE
+    a, b, c = x[two] - TWO, x[three] - FROM_THREE, x[five]
+    first = x.astype(np.uint8)
+    first[two], first[three], first[five] = TWO + (a >> 8), THREE + (b >> 16), FIVE
+    return [pack(p.tobytes()) for p in (first, a.astype(np.uint8), (b >> 8).astype(np.uint8), b.astype(np.uint8))] + [pack_ints(c)]
+
+
+def unpack_numbers(blobs: list[bytes]) -> np.ndarray:
+    first, low2, mid3, low3 = (np.frombuffer(unpack(p), np.uint8).astype(np.int64) for p in blobs[:4])
+    out = first.copy()
+    two, three, five = (first >= TWO) & (first < THREE), (first >= THREE) & (first < FIVE), first == FIVE
+    out[two] = TWO + ((first[two] - TWO) << 8) + low2
+    out[three] = FROM_THREE + ((first[three] - THREE) << 16) + (mid3 << 8) + low3
+    out[five] = unpack_ints(blobs[4])
+    return out
+
+
 def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
     return pack_ints(np.fromiter(map(len, words), np.int64, len(words))), pack(b"".join(words))
 
@@ -123,14 +148,14 @@ class Block:
         self.counts.append(len(self.codes) - before)
         self.size += size + 1
 
-    def packed(self) -> tuple[list, bytes]:
+    def packed(self) -> tuple[list, list[bytes]]:
         """(distinct words by falling frequency, the documents' numbers)."""
         codes = np.frombuffer(self.codes, np.uint32).astype(np.int64) if self.codes else np.zeros(0, np.int64)
         order = np.argsort(-np.bincount(codes, minlength=len(self.numbers)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         words = list(self.numbers)
-        return [words[i] for i in order.tolist()], pack_ints(place[codes])
+        return [words[i] for i in order.tolist()], pack_numbers(place[codes])
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], block_size: int, runs_of: Callable) -> Iterator[Block]:
@@ -156,7 +181,7 @@ def split_texts(pattern: str, row_type: pa.DataType, block_chars: int) -> Callab
             words, codes = b.packed()
             lens, data = pack_words([w.encode() for w in words])
             yield pa.record_batch([pa.array([b.number]), pa.array([b.rows], pa.list_(row_type)), pa.array([b.counts], pa.list_(pa.int64())),
-                                   pa.array([codes], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([lens], pa.binary()), pa.array([data], pa.binary())],
+                                   pa.array([codes], pa.list_(pa.binary())), pa.array([len(words)], pa.int64()), pa.array([lens], pa.binary()), pa.array([data], pa.binary())],
                                   names=["block", "rows", "counts", "codes", "n_words", "lens", "words"])
     return run
 
@@ -230,7 +255,7 @@ def row_types(docs: DataFrame) -> tuple[T.DataType, pa.DataType]:
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """docs (row, text) -> (block, rows, counts, codes) and (block, numbers, lens, ids, tokens)."""
     row, row_arrow = row_types(docs)
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()),
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.ArrayType(T.BinaryType())),
                            T.StructField("n_words", T.LongType()), T.StructField("lens", T.BinaryType()), T.StructField("words", T.BinaryType())])
     blocks = store(docs.select("row", "text").mapInArrow(split_texts(pattern, row_arrow, block_chars), schema), "bpe-blocks")
     n_blocks, n_words = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
@@ -253,7 +278,7 @@ def documents_of(blocks: pa.Table, answers: pa.Table) -> Iterator[tuple[object,
     sizes = np.empty(len(numbers), np.int64)
     starts[numbers], sizes[numbers] = np.cumsum(lens) - lens, lens
     for b in blocks.to_pylist():
-        codes, at = unpack_ints(b["codes"]), 0
+        codes, at = unpack_numbers(b["codes"]), 0
         for row, n in zip(b["rows"], b["counts"], strict=True):
             yield row, ids[ragged(starts, sizes, codes[at:at + n])]
             at += n
@@ -296,7 +321,7 @@ def split_ids(row_type: pa.DataType, block_size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_blocks(batches, block_size, lambda ids: iter([list(ids or ())])):
             tokens, codes = b.packed()
-            yield pa.record_batch([pa.array([b.number]), pa.array([b.rows], pa.list_(row_type)), pa.array([b.counts], pa.list_(pa.int64())), pa.array([codes], pa.binary()), pa.array([tokens], pa.list_(pa.int32()))],
+            yield pa.record_batch([pa.array([b.number]), pa.array([b.rows], pa.list_(row_type)), pa.array([b.counts], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([tokens], pa.list_(pa.int32()))],
                                   names=["block", "rows", "counts", "codes", "tokens"])
     return run
 
@@ -313,7 +338,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     some = encoded.select(F.col(f"`{id_col}`").alias("row"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
     row, row_arrow = row_types(some)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.ArrayType(T.LongType())),
-                           T.StructField("codes", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+                           T.StructField("codes", T.ArrayType(T.BinaryType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     blocks = store(some.mapInArrow(split_ids(row_arrow, block_size), schema), "bpe-ids")
     numbered = blocks.select(F.col("block").alias("of"), F.posexplode("tokens").alias("number", "token"))
     got = numbered.join(F.broadcast(token_table(encoded.sparkSession, ranks)), "token", "left").select("of", "number", "token", "token_bytes")
@@ -326,7 +351,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
 
         def rows() -> Iterator[tuple]:
             for b in left.to_pylist():
-                codes, at = unpack_ints(b["codes"]).tolist(), 0
+                codes, at = unpack_numbers(b["codes"]).tolist(), 0
                 for r, n in zip(b["rows"], b["counts"], strict=True):
                     yield r, b"".join(map(words.__getitem__, codes[at:at + n]))
                     at += n

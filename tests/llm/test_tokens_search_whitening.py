@@ -60,6 +60,12 @@ def test_encode_equals_the_library_and_decode_gives_the_text_back(spark, ranks,
     assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
 
 
+def test_packed_numbers_come_back():
+    x = np.array([0, 191, 192, 193, 14_527, 14_528, 14_529, 473_279, 473_280, 473_281, 1 << 31, (1 << 32) - 1, 5, 250] * 3)
+    assert byte_bpe.unpack_numbers(byte_bpe.pack_numbers(x)).tolist() == x.tolist()
+    assert byte_bpe.unpack_numbers(byte_bpe.pack_numbers(x[:0])).tolist() == []
+
+
 def test_words_are_merged_by_rank(spark, ranks):
     words = ["lower", " lowest", " unbelievable", "zzqx", "ñandú", " 漢字"]
     got = byte_bpe.encode(spark.createDataFrame([(w, w) for w in words], "doc_id string, text string"), ranks, public_tokenizers.PATTERN)
