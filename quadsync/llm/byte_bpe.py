@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadsync.llm.shared import store, table
+from quadsync.session import ship_package
 
 BLOCK_CHARS = 1 << 25
 PIECE_CHARS = 1 << 20
@@ -254,6 +255,7 @@ def row_types(docs: DataFrame) -> tuple[T.DataType, pa.DataType]:
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """docs (row, text) -> (block, rows, counts, codes) and (block, numbers, lens, ids, tokens)."""
+    ship_package(docs.sparkSession)
     row, row_arrow = row_types(docs)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.ArrayType(T.BinaryType())),
                            T.StructField("n_words", T.LongType()), T.StructField("lens", T.BinaryType()), T.StructField("words", T.BinaryType())])
@@ -335,6 +337,7 @@ def bytes_of(tokens: pa.Table) -> dict[int, bytes]:
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids", block_size: int = BLOCK_CHARS // 4) -> DataFrame:
     """One row per row: id, ``decoded binary``; the distinct ids of a block of rows are joined with the token-byte table."""
+    ship_package(encoded.sparkSession)
     some = encoded.select(F.col(f"`{id_col}`").alias("row"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
     row, row_arrow = row_types(some)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.ArrayType(T.LongType())),

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from quadsync.llm.shared import store, table
 from quadsync.llm.text_arrays import LOWER_AZ, buffers, mix, pieces, span_hashes, word_spans
+from quadsync.session import ship_package
 
 #: words between the two groups of ``GROUP`` words that a mask looks at
 GAPS = (0, 3, 6, 9, 12)
@@ -208,6 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id,
     item_words, run_words, equal_words, doc_start), a row for each contaminated
     document row and item."""
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     items = store(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
                   .mapInArrow(benchmark_words, "item_id long, n_words long, words binary").where("n_words > 0")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from quadsync.llm.html_labelled import labelled_pages
 from quadsync.llm.html_tree import Node, parse
 from quadsync.llm.shared import table
+from quadsync.session import ship_package
 
 TRAIN_PAGES = 600
 MAX_FEATURES = 400
@@ -156,6 +157,7 @@ def extract(model: Model) -> Callable:
 
 def extract_main(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, text, n_chars)."""
+    ship_package(pages.sparkSession)
     model = model or train(labelled_pages(TRAIN_PAGES))
     return pages.select("page_id", "url", "html").mapInArrow(extract(model), "page_id long, url string, text string, n_chars long")
 

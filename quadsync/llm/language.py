@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from quadsync.llm.shared import table
 from quadsync.llm.text_arrays import buffers, pieces
+from quadsync.session import ship_package
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -109,12 +110,14 @@ def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """labelled (doc_id, text, lang) -> (languages, matrix BUCKETS + 1 x languages; the last row holds the log priors)."""
-    sums = (labelled.where("lang IS NOT NULL").select("lang", "text").mapInArrow(count_ngrams, "lang string, bucket long, n long")
-            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    got = sums.toPandas()  # MAX_LANGS * (BUCKETS + 1) rows at most, and far fewer n-grams occur
-    langs = sorted(set(got["lang"]))
+    ship_package(labelled.sparkSession)
+    named = labelled.where("lang IS NOT NULL").select("lang", "text")
+    langs = sorted(r[0] for r in named.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model is broadcast for {MAX_LANGS} at most")
+        raise ValueError(f"more than {MAX_LANGS} languages; the model is broadcast for that many at most")
+    sums = named.mapInArrow(count_ngrams, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = sums.toPandas()  # MAX_LANGS * (BUCKETS + 1) rows at most, and far fewer n-grams occur
+    langs = sorted(set(got["lang"]))  # without those that only have texts without a letter
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[got["bucket"].to_numpy(), got["lang"].map({x: j for j, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = got["n"]
     rows = counts[BUCKETS]
@@ -147,6 +150,7 @@ def score_batches(langs: list[str], model) -> Callable:
 
 def identify(docs: DataFrame, labelled: DataFrame, carry: Column, carry_type: T.DataType) -> DataFrame:
     """docs with ``text`` -> (row, lang_pred, score); ``carry`` is what goes along as ``row``."""
+    ship_package(docs.sparkSession)
     langs, logs = fit(labelled)
     model = docs.sparkSession.sparkContext.broadcast(logs)
     schema = T.StructType([T.StructField("row", carry_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -49,6 +49,7 @@ from pyspark.sql.window import Window
 from quadsync.llm.bloom import marked, passes
 from quadsync.llm.shared import store, table
 from quadsync.llm.text_arrays import mix
+from quadsync.session import ship_package
 
 K = 10
 BLOCK_ROWS = 4096
@@ -312,6 +313,7 @@ def parts_of(q: pd.DataFrame, least: dict[int, int]) -> list[tuple[int, dict[byt
 
 def rank(docs: DataFrame, items: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, part_terms: int = PART_TERMS) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (item_id, rank, doc_id, score)."""
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     asked = store(item_terms(items), "search-items")
     kind = items.schema["item_id"].dataType.simpleString()

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadsync.llm.shared import table
+from quadsync.session import ship_package
 
 K = 20
 DIMS = 8
@@ -145,6 +146,7 @@ def usable(v: Column) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, dims: int = DIMS, stop: float = STOP,
             block_rows: int = BLOCK_ROWS, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """vectors (vec_id, embedding) -> (query_id, rank, vec_id, score)."""
+    ship_package(vectors.sparkSession)
     v = (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
          .where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
          .withColumn("vec_key", F.xxhash64("vector")).withColumn("dim", F.size("vector")))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quadsync.llm.shared import table
 from quadsync.llm.text_arrays import buffers, folded, pieces, span_hashes, word_spans
+from quadsync.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -308,6 +309,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> counts of base spans by kind, their digest, all spans, and how many of them were disguised."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, OUT)
 
 

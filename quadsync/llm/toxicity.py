@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from quadsync.llm.mixing import hash_unit
 from quadsync.llm.shared import store, table
 from quadsync.llm.text_arrays import buffers, folded, pieces, shingle_sets, span_hashes, word_spans
+from quadsync.session import ship_package
 
 TRAIN_ROWS = 10_000
 BUCKETS = 1 << 32
@@ -365,6 +366,7 @@ def score_batches(cost, model) -> Callable:
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) to learn from -> (doc_id, score)."""
+    ship_package(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cost = sc.broadcast(language_model(docs))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadsync.llm.shared import fresh_dir, store, table
+from quadsync.session import ship_package
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -181,6 +182,7 @@ def read_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def write_warc(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """pages (page_id, url, html) -> the stored list (path, bytes) of the archives written."""
+    ship_package(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("html"))
     p = p.withColumn("sum", F.sha1("html"))
     again = (p.where(F.octet_length("html") >= min_payload).groupBy("sum").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
@@ -194,6 +196,7 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD) ->
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, bytes) -> (page_id, url, payload_bytes, payload_digest, record_type, refers_to)."""
+    ship_package(archives.sparkSession)
     ranges = (archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
               .select("path", "start", F.least(F.col("bytes"), F.col("start") + split_bytes).alias("end")))
     n = int(archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1)

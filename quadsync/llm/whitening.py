@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadsync.llm.shared import store, table
+from quadsync.session import ship_package
 
 SCALE = 256
 COMPONENTS = 4
@@ -325,6 +326,7 @@ def whitened_rows(w: Whitener, dim: int, error: float) -> Callable:
 
 def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error), one row per vector and component."""
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(usable(F.col("v")))
     rows = rows.select("vec_id", whole_vector(F.col("v")).alias("x"))
     kind = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"

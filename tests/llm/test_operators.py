@@ -79,6 +79,35 @@ def test_jaccard_components(spark, corpus, k, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((d, len(s), c) for (d, _), s, c in zip(rows, sets, want, strict=True))
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_components_of_similar_families(spark, k, percent):
+    """Families of texts around the threshold, most pairs just below it, all with one passage in common."""
+    r = random.Random(k)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(6))
+    passage = [word() for _ in range(55)]
+    rows = []
+    for f in range(12):
+        base = [word() for _ in range(r.choice([6, 12, 60, 250]))]
+        for i in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // (12 + f)))):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w + passage if i % 3 == 0 else w)))
+    want, sets = components(rows, k, percent)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for sizes in ({}, {"group_tokens": 900, "query_tokens": 2000, "asked_parts": 300}):
+        got = jaccard_join.jaccard_components(docs, k, percent, **sizes).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((d, len(s), c) for (d, _), s, c in zip(rows, sets, want, strict=True))
+    assert 20 < len(set(want)) < 300
+
+
+def test_repeated_ids_are_linked_by_their_own_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a + " x"), (2, b), (7, b + " y")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (2, 2), (7, 2)]
+
+
 def test_star_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)]

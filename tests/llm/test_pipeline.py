@@ -88,10 +88,25 @@ def test_stages_on_empty_documents(spark, corpus):
         assert stage(spark, docs, folder).count() == 0, name
 
 
+def test_near_duplicates_drop_by_id_and_text(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, unique, other = words(60), words(50), words(40)
+    rows = [(1, a, {"k": 1}), (2, a + " more", {"k": 2}), (2, unique, {"k": 3}), (3, other, {"k": 4}), (3, other + " x", {"k": 5}),
+            (4, unique + " y", {"k": 6}), (5, words(30), {"k": 7}), (5, None, {"k": 8}), (5, None, {"k": 9}), (None, words(20), None), (6, "", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.schema == docs.schema
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    one = [t for d, t in got if d == 3]
+    assert len(one) == 1 and one[0] in (other, other + " x")
+    assert [x for x in got if x[0] != 3] == sorted([(1, a), (2, unique), (5, rows[6][1]), (5, None), (None, rows[9][1]), (6, "")], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     df = catalog.QUERIES[name](spark, SMALL)
     want = con.execute(catalog.SQL[name])
