@@ -11,6 +11,7 @@ doc_id, text, lang and source are among them.
    stay in the largest doc_id only; n_chars follows the text.
 3. ``near_duplicates``: documents that share at least 80 % of their five-word
    shingles, directly or through others, are a group; its smallest doc_id stays.
+   Rows that repeat an id with another text are documents of their own.
 4. ``decontaminate``: documents that hold a passage of a benchmark item go.
 5. ``mix``: sources are mixed to target weights; rows come as often as taken.
 
@@ -56,15 +57,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("no id"), F.col("text")))
-    found = jaccard_join.jaccard_components(docs.select(known.alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(_row(docs).alias("row"), known.alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
-    rows = rows.join(gone, "id", "left_anti")
-    # rows that repeat id and text: one of each stays; the others do not move for it
+    known, tag = F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("no id"), F.col("text"))), F.xxhash64("text")
+    found = jaccard_join.jaccard_classes(docs.select(known.alias("doc_id"), "text", tag.alias("tag")), NEAR_WORDS, NEAR_PERCENT)
+    found = found.where("root IS NOT NULL").select("root", F.struct("doc_id", "tag").alias("one"))
+    best = found.groupBy("root").agg(F.min("one").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = (found.join(best.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).where("one <> best")
+            .select(F.col("one.doc_id").alias("id"), F.col("one.tag").alias("h1")).distinct())
+    rows = docs.select(_row(docs).alias("row"), known.alias("id"), tag.alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    rows = rows.join(gone, ["id", "h1"], "left_anti")
+    # rows that repeat id and text: one of each stays, the least by its JSON; the others do not move for it
     key = ["id", "h1", "h2"]
     twice = store(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated")
-    again = rows.join(twice, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row"))
+    again = rows.join(twice, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return _flat(rows.join(twice, key, "left_anti").select("row").unionByName(again.select("row")), docs)
 
 
