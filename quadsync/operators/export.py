@@ -31,6 +31,15 @@ def _props(spark, spec: ExportSpec, inverse: bool) -> DataFrame:
     return F.broadcast(rp.where(F.col("inverse") == inverse).select("p", "rule_no"))
 
 
+def _near(quads, uris: DataFrame, predicates: list[str], inverse: bool = False) -> DataFrame:
+    """Candidates for a join with ``uris (uri)``: a source is asked for them, a DataFrame is filtered by predicate."""
+    if isinstance(quads, DataFrame):
+        found = quads.where(F.col("p").isin(predicates))
+        return found.where(F.col("o_kind") == "uri") if inverse else found
+    uris = uris.select(F.col("uri")).distinct()
+    return quads.pointing(uris, predicates) if inverse else quads.about(uris, predicates)
+
+
 def expected(quads: DataFrame, spec: ExportSpec, heal_inverse: bool | None = None,
              bag: bool = False) -> DataFrame:
     """S1 + U2: distinct triples of all rules, lexical identity.
@@ -81,7 +90,7 @@ def current(publication: DataFrame, spec: ExportSpec, heal_inverse: bool | None
     return out.distinct()
 
 
-def export_resources(resources: DataFrame, quads: DataFrame, spec: ExportSpec,
+def export_resources(resources: DataFrame, quads, spec: ExportSpec,
                      keys: list[str] = (), uri_col: str = "uri") -> DataFrame:
     """S3: all configured properties (+ rdf:type) of each ``(uri, rule_no)``.
 
@@ -93,7 +102,8 @@ def export_resources(resources: DataFrame, quads: DataFrame, spec: ExportSpec,
     spark = quads.sparkSession
     keys = list(keys)
     res = resources.select(*keys, uri_col, "rule_no").distinct()
-    fwd = (quads.where(F.col("p").isin(spec.forward_properties()))
+    uris = res.select(F.col(uri_col).alias("uri"))
+    fwd = (_near(quads, uris, spec.forward_properties())
            .join(_props(spark, spec, False), "p")
            .join(res.withColumnRenamed(uri_col, "s"), ["s", "rule_no"])
            .where(allowed_graph(spec) & strict_condition(spec) & filter_expr_condition(spec))
@@ -101,7 +111,7 @@ def export_resources(resources: DataFrame, quads: DataFrame, spec: ExportSpec,
     parts = [fwd]
     inv_props = spec.inverse_properties()
     if inv_props:
-        inv = (quads.where(F.col("p").isin(inv_props) & (F.col("o_kind") == "uri"))
+        inv = (_near(quads, uris, inv_props, inverse=True)
                .join(_props(spark, spec, True), "p")
                .join(res.withColumnRenamed(uri_col, "o"), ["o", "rule_no"])
                .where(allowed_graph(spec) & filter_expr_condition(spec))
@@ -110,23 +120,24 @@ def export_resources(resources: DataFrame, quads: DataFrame, spec: ExportSpec,
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def export_published(resources: DataFrame, publication: DataFrame, spec: ExportSpec,
+def export_published(resources: DataFrame, publication, spec: ExportSpec,
                      keys: list[str] = (), uri_col: str = "uri") -> DataFrame:
     """The same export read from the publication; the rule's type must be
     published for the resource; no strict type, no filter."""
     spark = publication.sparkSession
     keys = list(keys)
     res = resources.select(*keys, uri_col, "rule_no").distinct()
-    typed = published_typed(publication, spec).withColumnRenamed("s", uri_col)
+    uris = res.select(F.col(uri_col).alias("uri"))
+    typed = published_typed(_near(publication, uris, [RDF_TYPE]), spec).withColumnRenamed("s", uri_col)
     res = res.join(typed, [uri_col, "rule_no"], "left_semi")
-    fwd = (publication.where(F.col("p").isin(spec.forward_properties()))
+    fwd = (_near(publication, uris, spec.forward_properties())
            .join(_props(spark, spec, False), "p")
            .join(res.withColumnRenamed(uri_col, "s"), ["s", "rule_no"])
            .select(*keys, F.col("s").alias(uri_col), "rule_no", *OUT_COLS))
     parts = [fwd]
     inv_props = spec.inverse_properties()
     if inv_props:
-        inv = (publication.where(F.col("p").isin(inv_props) & (F.col("o_kind") == "uri"))
+        inv = (_near(publication, uris, inv_props, inverse=True)
                .join(_props(spark, spec, True), "p")
                .join(res.withColumnRenamed(uri_col, "o"), ["o", "rule_no"])
                .select(*keys, F.col("o").alias(uri_col), "rule_no", *OUT_COLS))

@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
+from quadsync.session import cut_lineage
+from quadsync.sources.indexed import FrameSource, as_source
 from quadsync.sources.rules import ExportRule, ExportSpec
 from quadsync.vocab import RDF_TYPE
 
@@ -122,8 +122,6 @@ class ScopeIndex:
     flow tests scope in every closure round)."""
 
     def __init__(self, quads: DataFrame, spec: ExportSpec):
-        from quadsync.session import cut_lineage
-
         self.paths = sorted({r.path for r in spec.rules if r.path})
         self.pid = {p: i for i, p in enumerate(self.paths)}
         self.table = cut_lineage(reach_table(quads, spec, self.pid)) if self.paths else None
@@ -166,7 +164,7 @@ def per_rule_value(spec: ExportSpec, rule_col: Column, fn) -> Column:
 
 # ------------------------------------------------------------------ filters
 
-def pattern_scoped(cands: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "s") -> DataFrame:
+def pattern_scoped(cands: DataFrame, quads, spec: ExportSpec, uri_col: str = "s") -> DataFrame:
     """P9 (pattern form): for every ``(p, cond)`` of the rule some triple
     ``?subject <p> ?o`` with ``cond`` exists (any graph)."""
     rules = [r for r in spec.rules if r.filter_patterns]
@@ -177,7 +175,8 @@ def pattern_scoped(cands: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col
     for r in rules:
         sub = cands.where(F.col("rule_no") == r.rule_no)
         for p, cond in r.filter_patterns:
-            hits = quads.where((F.col("p") == p) & F.expr(cond)).select(F.col("s").alias(uri_col))
+            mine = quads if isinstance(quads, DataFrame) else quads.about(sub.select(F.col(uri_col).alias("uri")), [p])
+            hits = mine.where((F.col("p") == p) & F.expr(cond)).select(F.col("s").alias(uri_col))
             sub = sub.join(hits, uri_col, "left_semi")
         parts.append(sub)
     return reduce(DataFrame.unionByName, parts)
@@ -189,58 +188,27 @@ def scoped_subjects(quads: DataFrame, spec: ExportSpec, rule_types: DataFrame) -
     return pattern_scoped(path_scoped(typed, quads, spec), quads, spec)
 
 
-def path_scoped_forward(cands: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "s") -> DataFrame:
-    """J2 for a small batch: walk each rule's path forward from the candidate
-    URIs (one equi join on (node, predicate) per step, all rules at once), so
-    the cost follows the batch, not the whole reach set (SURVEY §4.3).
-
-    Pays off with a store clustered by subject (each step then reads few row
-    groups); on a plain scan every step rescans the path predicates, and the
-    backward ``ScopeIndex`` is cheaper. Off by default."""
-    with_path = [r for r in spec.rules if r.path]
-    if not with_path:
-        return cands
-    rc = F.col("rule_no")
-    rel = (quads.where(F.col("p").isin(spec.path_predicates()) & (F.col("o_kind") == "uri"))
-           .select("s", "p", "o"))
-    frontier = (cands.select(F.col(uri_col).alias("uri"), "rule_no").distinct()
-                .where(rc.isin([r.rule_no for r in with_path])).withColumn("node", F.col("uri"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    arrived = []
-    for i in range(max(len(r.path) for r in with_path)):
-        step = per_rule_value(spec, rc, lambda r: r.path[i].lstrip("^") if len(r.path) > i else None)
-        inv = per_rule_value(spec, rc, lambda r: len(r.path) > i and r.path[i].startswith("^"))
-        f = frontier.withColumn("step", step).withColumn("inv", inv)
-        arrived.append(f.where(F.col("step").isNull()).select("uri", "rule_no", "node"))
-        act = f.where(F.col("step").isNotNull())
-        fwd = (act.where(~F.col("inv")).join(rel, (F.col("node") == F.col("s")) & (F.col("step") == F.col("p")))
-               .select("uri", "rule_no", F.col("o").alias("node")))
-        back = (act.where(F.col("inv")).join(rel, (F.col("node") == F.col("o")) & (F.col("step") == F.col("p")))
-                .select("uri", "rule_no", F.col("s").alias("node")))
-        # each level is cached (batch-sized): later plans read the cached
-        # relation, so the plan does not double with every step; a lost
-        # block is recomputed from the level before
-        frontier = fwd.unionByName(back).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    arrived.append(frontier)
-    ok = (reduce(DataFrame.unionByName, arrived).where(F.col("node") == spec.concept_scheme)
-          .select(F.col("uri").alias(uri_col), "rule_no").distinct())
-    has_path = rc.isin([r.rule_no for r in with_path])
-    return (cands.where(has_path).join(ok, [uri_col, "rule_no"], "left_semi")
-            .unionByName(cands.where(~has_path)))
-
-
-def in_scope(uris: DataFrame, quads: DataFrame, spec: ExportSpec, uri_col: str = "uri",
-             forward: bool = False, index: ScopeIndex | None = None) -> DataFrame:
+def in_scope(uris: DataFrame, quads, spec: ExportSpec, uri_col: str = "uri", index=None) -> DataFrame:
     """J3 for a batch of ``(uri, rule_no, ...)``: path AND a triple of the URI in
     an allowed graph (passing the expression filter) AND the pattern filter.
-    No type test (the reference leaves it to the caller)."""
+    No type test (the reference leaves it to the caller).
+
+    ``quads`` is a DataFrame or a source; ``index`` tests paths: a ``ScopeIndex`` of the
+    whole graph, or a ``PathWalk`` or ``ReachTable`` whose cost follows the batch
+    (by default a walk, if ``quads`` is a source)."""
+    from quadsync.operators.paths import PathWalk
+
+    source = as_source(quads)
+    # a source is asked several times for the same small batch: it is computed once
+    once = (lambda x: x) if isinstance(source, FrameSource) else cut_lineage
+    uris = once(uris)
     keys = uris.select(uri_col, "rule_no").distinct()
-    ok = (quads.select("g", F.col("s").alias(uri_col), "p", "o").join(keys, uri_col)
+    ok = (source.about(keys.select(F.col(uri_col).alias("uri"))).select("g", F.col("s").alias(uri_col), "p", "o").join(keys, uri_col)
           .where(allowed_graph(spec) & filter_expr_condition(spec))
           .select(uri_col, "rule_no").distinct())
-    x = uris.join(ok, [uri_col, "rule_no"], "left_semi")
-    if forward:
-        x = path_scoped_forward(x, quads, spec, uri_col)
-    else:
-        x = path_scoped(x, quads, spec, uri_col, index)
-    return pattern_scoped(x, quads, spec, uri_col)
+    x = once(uris.join(ok, [uri_col, "rule_no"], "left_semi"))
+    if index is None and not isinstance(source, FrameSource):
+        index = PathWalk(source, spec)
+    if any(r.path for r in spec.rules):
+        x = path_scoped(x, source.frame(), spec, uri_col, index) if index is None or isinstance(index, ScopeIndex) else once(index.keep(x, uri_col))
+    return once(pattern_scoped(x, quads, spec, uri_col))

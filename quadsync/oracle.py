@@ -360,6 +360,36 @@ R1 = [
     "AND o.cs_no = r.cs_no AND o.uri = r.o AND o.type = ch.child_type))",
 ]
 
+
+def support_ctes(src: str, x: str, live: bool) -> str:
+    """CTE ``{x}sup(path, node, n)``: supports of every rest of the rules' paths, over ``reach_ctes(src, x, live)``."""
+    step = "SELECT '{path}' AS path, {near} AS node, COUNT(*) AS n FROM (SELECT DISTINCT s, o FROM {src} WHERE p = 'urn:p:{p}' AND o_kind = 'uri') e WHERE {far} GROUP BY 2"
+    parts = [("n_regionkey", "n_regionkey", "s", "o = 'urn:r:region/3'"), ("c_nationkey / n_regionkey", "c_nationkey", "s", f"o IN (SELECT node FROM {x}r_n)"),
+             ("o_custkey / c_nationkey / n_regionkey", "o_custkey", "s", f"o IN (SELECT node FROM {x}r_c)"),
+             ("l_orderkey / o_custkey / c_nationkey / n_regionkey", "l_orderkey", "s", f"o IN (SELECT node FROM {x}r_o)"),
+             ("^l_partkey / l_orderkey / o_custkey / c_nationkey / n_regionkey", "l_partkey", "o", f"s IN (SELECT node FROM {x}r_l)")]
+    if live:
+        parts.append(("by / c_nationkey / n_regionkey", "by", "s", f"o IN (SELECT node FROM {x}r_c)"))
+    return f"{x}sup AS (" + " UNION ALL ".join(step.format(path=path, near=near, src=src, p=p, far=far) for path, p, near, far in parts) + ")"
+
+
+def without(predicate: str) -> str:
+    """CTE ``less``: the quads without the links of subjects with key % 17 = 2."""
+    return f"less AS (SELECT * FROM quads WHERE NOT (p = 'urn:p:{predicate}' AND coalesce({key()} % 17 = 2, false)))"
+
+
+def changed_publication(predicate: str, full_first: bool) -> str:
+    old, new = ("x_a", "y_a") if full_first else ("y_a", "x_a")
+    return w(QUADS, without(predicate), *expected_ctes("quads", "x_"), *expected_ctes("less", "y_")) + (
+        f"SELECT 'insert' AS op, * FROM (SELECT * FROM {new} EXCEPT SELECT * FROM {old}) "
+        f"UNION ALL SELECT 'delete' AS op, * FROM (SELECT * FROM {old} EXCEPT SELECT * FROM {new})")
+
+
+SQL["reach_maintained"] = w(*LIVE_BASE, support_ctes("src_after", "sa_", True)) + "SELECT path, node, n FROM sa_sup"
+SQL["reach_retracted"] = w(QUADS, without("c_nationkey"), *reach_ctes("quads", "x_"), *reach_ctes("less", "y_"), support_ctes("quads", "x_", False), support_ctes("less", "y_", False)) + (
+    "SELECT path, node, coalesce(x.n, 0) AS was, coalesce(y.n, 0) AS now FROM x_sup x FULL JOIN y_sup y USING (path, node) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)")
+SQL["strict_delete"] = changed_publication("c_nationkey", True)
+SQL["strict_enrich"] = changed_publication("o_custkey", False)
 SQL["explode_changes"] = w(EV, CHANGES) + "SELECT * FROM changes"
 SQL["type_cache"] = w(*LIVE_BASE, *R1[:2]) + "SELECT DISTINCT msg_id, cs_no, uri, rule_no FROM tc"
 SQL["dispatch_streams"] = w(*LIVE_BASE) + (

@@ -19,7 +19,7 @@ from quadsync.operators.feed import read_delta_files
 from quadsync.plans.heal import heal, heal_diff, heal_diff_bag, publication_orphans, report_counts, run_healing
 from quadsync.sources.fixtures import base_spec, drifted_publication
 from quadsync.sources.rules import ExportSpec, rule_types_frame
-from quadsync.sources.tables import quad_store, quads_from_tables
+from quadsync.sources.tables import quad_index, quad_store, quads_from_tables
 from quadsync.vocab import PUBLICATION_GRAPH, TRIPLE_COLS, pred
 
 P = pred
@@ -220,9 +220,11 @@ from quadsync.operators.diff import effective_changes, fold_cancel, fold_last  #
 from quadsync.operators.live import (  # noqa: E402
     KEYS, TypeLookup, dispatch, enrich, impacted_resources, rewrite_deletes, rewrite_inserts,
 )
+from quadsync.operators.paths import ReachTable, rests_of  # noqa: E402
 from quadsync.plans.live import live_flow, net_changes  # noqa: E402
+from quadsync.plans.strict import strict_delta  # noqa: E402
 from quadsync.sources.fixtures import (  # noqa: E402
-    LiveFixture, event_changes, link_fixture, live_spec, split_delete_fixture,
+    LiveFixture, RelationFixture, event_changes, link_fixture, live_spec, split_delete_fixture,
 )
 
 CHANGE_COLS = ["msg_id", "cs_no", "op", "pos", "event_id", "s", "p", "o", "o_kind"]
@@ -230,7 +232,7 @@ CHANGE_COLS = ["msg_id", "cs_no", "op", "pos", "event_id", "s", "p", "o", "o_kin
 
 def _live(spark, sf_dir):
     fx = LiveFixture(spark, sf_dir)
-    tl = TypeLookup(fx.source_after, fx.pub_before, fx.batch, fx.spec, KEYS)
+    tl = TypeLookup(fx.source, fx.pub, fx.batch, fx.spec, KEYS)
     return fx, tl
 
 
@@ -247,18 +249,18 @@ def type_cache(spark, sf_dir):
 
 def dispatch_streams(spark, sf_dir):
     fx = LiveFixture(spark, sf_dir)
-    return dispatch(fx.changes, fx.source_after, {"base": base_spec(), "live": live_spec()})
+    return dispatch(fx.changes, fx.source, {"base": base_spec(), "live": live_spec()})
 
 
 def rewrite_inserts_q(spark, sf_dir):
     fx, tl = _live(spark, sf_dir)
-    ins, _ = rewrite_inserts(fx.batch, fx.source_after, tl, fx.spec)
+    ins, _ = rewrite_inserts(fx.batch, fx.source, tl, fx.spec)
     return ins.select(*KEYS, *TRIPLE_COLS)
 
 
 def impacted_resources_q(spark, sf_dir):
     fx, tl = _live(spark, sf_dir)
-    ins, _ = rewrite_inserts(fx.batch, fx.source_after, tl, fx.spec)
+    ins, _ = rewrite_inserts(fx.batch, fx.source, tl, fx.spec)
     return impacted_resources(ins, tl, fx.spec)
 
 
@@ -272,7 +274,7 @@ def enrich_closure(spark, sf_dir):
 
 def rewrite_deletes_q(spark, sf_dir):
     fx, tl = _live(spark, sf_dir)
-    return rewrite_deletes(fx.batch, fx.source_after, fx.pub_before, tl, fx.spec, cascade=False).select(
+    return rewrite_deletes(fx.batch, fx.source, fx.pub, tl, fx.spec, cascade=False).select(
         *KEYS, *TRIPLE_COLS)
 
 
@@ -298,11 +300,57 @@ def effective_changes_q(spark, sf_dir):
 
 def live_flow_net(spark, sf_dir):
     fx = LiveFixture(spark, sf_dir)
-    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec)
+    net, _ = live_flow(fx.batch, fx.source, fx.pub, fx.spec)
     return net.select("op", *TRIPLE_COLS)
 
 
+def _path_names(spark, spec):
+    _, numbers = rests_of(spec)
+    return F.broadcast(spark.createDataFrame([(no, " / ".join(x.rsplit(":", 1)[-1] if not x.startswith("^") else "^" + x.rsplit(":", 1)[-1] for x in path)) for path, no in numbers.items()], "rest int, path string"))
+
+
+def _reach_rows(spark, table):
+    return table.all().join(_path_names(spark, table.spec), "rest").select("path", "node", "n")
+
+
+def reach_maintained(spark, sf_dir):
+    """The supports of all path rests after the event batch, kept up from those before it."""
+    fx = LiveFixture(spark, sf_dir)
+    table = ReachTable.build(fx.source_before, fx.spec, _scratch(spark, "reach"))
+    after, _ = table.update(fx.batch, fx.source_old, fx.source)
+    return _reach_rows(spark, after)
+
+
+def reach_retracted(spark, sf_dir):
+    """The changed rows when customers lose their nation: rests of all lengths behind them."""
+    fx = RelationFixture(spark, sf_dir, P("c_nationkey"), "delete")
+    table = ReachTable.build(fx.frame_before, fx.spec, _scratch(spark, "reach"))
+    _, moved = table.update(fx.message, fx.before, fx.after)
+    return moved.join(_path_names(spark, fx.spec), "rest").select("path", "node", "was", "now")
+
+
+def _strict(spark, sf_dir, predicate, op):
+    fx = RelationFixture(spark, sf_dir, predicate, op)
+    table = ReachTable.build(fx.frame_before, fx.spec, _scratch(spark, "reach"))
+    net, _ = strict_delta(fx.message, fx.before, fx.after, fx.pub, fx.spec, table)
+    return net.select("op", *TRIPLE_COLS)
+
+
+def strict_delete(spark, sf_dir):
+    """Q3 strict: customers lose their nation; their orders, lines and last parts leave as well."""
+    return _strict(spark, sf_dir, P("c_nationkey"), "delete")
+
+
+def strict_enrich(spark, sf_dir):
+    """Q21 strict: orders get their customer and bring their lines and parts."""
+    return _strict(spark, sf_dir, P("o_custkey"), "insert")
+
+
 QUERIES.update({
+    "reach_maintained": reach_maintained,
+    "reach_retracted": reach_retracted,
+    "strict_delete": strict_delete,
+    "strict_enrich": strict_enrich,
     "explode_changes": explode_changes,
     "type_cache": type_cache,
     "dispatch_streams": dispatch_streams,
@@ -358,7 +406,7 @@ def delta_file_feed(spark, sf_dir):
 def replay_feed(spark, sf_dir):
     """Consumer replay of the delta files of the live batch, written and read back."""
     fx = LiveFixture(spark, sf_dir)
-    net, _ = live_flow(fx.batch, fx.source_after, fx.pub_before, fx.spec)
+    net, _ = live_flow(fx.batch, fx.source, fx.pub, fx.spec)
     out = _scratch(spark, "feed")
     write_delta_files(chunk_changes(net.withColumn("cs_no", F.lit(0))), out, "b0", "2024-01-01 00:00:00", fx.spec.publication_graph)
     files = read_delta_files(spark, out).withColumn("file_no", F.regexp_extract("name", r"-(\d+)\.json$", 1).cast("bigint"))
@@ -452,7 +500,7 @@ def in_scope_batch(spark, sf_dir):
     spec = only(base_spec(), 1)
     ev = read_table(spark, sf_dir, "events")
     uris = ev.select(F.concat(F.lit("urn:r:customer/"), F.col("user_id").cast("string")).alias("uri")).distinct()
-    return in_scope(uris.withColumn("rule_no", F.lit(1)), quad_store(spark, sf_dir), spec)
+    return in_scope(uris.withColumn("rule_no", F.lit(1)), quad_index(spark, sf_dir), spec)
 
 
 QUERIES.update({
@@ -490,7 +538,7 @@ def _stream_parts(spark, sf_dir, files: int):
         part.unionByName(bad).coalesce(1).write.mode("append").text(f"{root}/in")
     store = PublicationStore(spark, f"{root}/pub", compact_every=2)
     store.start(fx.pub_before)
-    return fx, root, store, batch_handler(fx.spec, lambda _b: fx.source_after, store, f"{root}/out", f"{root}/files", f"{root}/errors")
+    return fx, root, store, batch_handler(fx.spec, lambda _b: fx.source, store, f"{root}/out", f"{root}/files", f"{root}/errors")
 
 
 def stream_live_flow(spark, sf_dir):

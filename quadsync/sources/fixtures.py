@@ -7,13 +7,16 @@ the given tables, so the work grows with them.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadsync.functions.terms import canonical_object
 from quadsync.operators.export import expected
+from quadsync.sources.indexed import FilteredSource, FrameSource, LayeredSource
 from quadsync.sources.rules import ExportRule, ExportSpec
-from quadsync.sources.tables import quad_store, read_table
+from quadsync.sources.tables import TABLES_USED, quad_index, quad_store, read_table, store_path, stored_index
 from quadsync.vocab import EVENTS_GRAPH, QUAD_COLS, RDF_TYPE, RES_NS, TRIPLE_COLS, pred, typ
 
 P = pred
@@ -131,34 +134,51 @@ def state_of(changes: DataFrame) -> DataFrame:
 
 
 class LiveFixture:
-    """Before/after states of the live batch (FIXTURES §5.1)."""
+    """Before/after states of the live batch (FIXTURES §5.1).
+
+    ``source``, ``source_old`` and ``pub`` answer by URI; the publication before is a stored
+    snapshot, as it is in production, built once per input."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, spec: ExportSpec | None = None):
         from quadsync.session import cut_lineage
 
         self.spec = spec or live_spec()
         self.base = quad_store(spark, sf_dir)
+        self.index = quad_index(spark, sf_dir)
         self.changes = cut_lineage(event_changes(spark, sf_dir))
         self.m0 = split_message(self.changes)
-        early = self.changes.where(F.col("msg_id") < self.m0)
+        early = cut_lineage(state_of(self.changes.where(F.col("msg_id") < self.m0)))
+        late = cut_lineage(state_of(self.changes))
         self.batch = self.changes.where(F.col("msg_id") >= self.m0)
-        self.source_before = self.base.unionByName(cut_lineage(state_of(early)))
-        self.source_after = self.base.unionByName(cut_lineage(state_of(self.changes)))
-        # the publication is a stored snapshot: materialise it
-        self.pub_before = cut_lineage(expected(self.source_before, self.spec))
+        self.source_before, self.source_after = self.base.unionByName(early), self.base.unionByName(late)
+        self.source_old, self.source = LayeredSource(self.index, added=early), LayeredSource(self.index, added=late)
+        self.pub = publication_index(spark, sf_dir, "livepub", self.spec, lambda: self.source_before, ("events",))
+
+    @property
+    def pub_before(self) -> DataFrame:
+        return self.pub.frame()
+
+
+def publication_index(spark: SparkSession, sf_dir: str, name: str, spec: ExportSpec, quads, more: tuple[str, ...] = ()):
+    """The expected publication of ``quads()`` as a stored snapshot by subject and object."""
+    tag = hashlib.sha1(repr(spec).encode()).hexdigest()[:8]
+    path = store_path(spark, sf_dir, f"{name}-{tag}", (*TABLES_USED, *more))
+    return stored_index(spark, path, [*TRIPLE_COLS, "o_key"], lambda: expected(quads(), spec))
+
+
+def _message(quads: DataFrame, op: str) -> DataFrame:
+    return (quads.select(*TRIPLE_COLS, "o_key").distinct()
+            .select(F.lit(0).cast("bigint").alias("msg_id"), F.lit(0).alias("cs_no"), F.lit(op).alias("op"), *TRIPLE_COLS, "o_key"))
 
 
 def link_fixture(spark: SparkSession, sf_dir: str):
     """FIXTURES §5.2: links ``line l_orderkey order`` of orders with key % 17 = 2
     are missing before and inserted by one message. Returns
     (source_after, publication_before (empty), message changes)."""
-    base = quad_store(spark, sf_dir)
     is_link = (F.col("p") == P("l_orderkey")) & (resource_key(F.col("o")) % 17 == 2)
-    msg = (base.where(is_link).select(*TRIPLE_COLS, "o_key").distinct()
-           .select(F.lit(0).cast("bigint").alias("msg_id"), F.lit(0).alias("cs_no"), F.lit("insert").alias("op"),
-                   *TRIPLE_COLS, "o_key"))
-    empty_pub = base.where(F.lit(False)).select(*TRIPLE_COLS, "o_key")
-    return base, empty_pub, msg
+    base = quad_store(spark, sf_dir)
+    empty_pub = FrameSource(spark.createDataFrame([], base.select(*TRIPLE_COLS, "o_key").schema))
+    return quad_index(spark, sf_dir), empty_pub, _message(base.where(is_link), "insert")
 
 
 def split_delete_fixture(spark: SparkSession, sf_dir: str, spec: ExportSpec | None = None):
@@ -166,14 +186,25 @@ def split_delete_fixture(spark: SparkSession, sf_dir: str, spec: ExportSpec | No
     key % 17 = 2; the source after also lacks those orders. Returns
     (source_after, publication_before = A of the base, message changes)."""
     spec = spec or base_spec()
-    base = quad_store(spark, sf_dir)
     k = resource_key(F.col("s"))
     line_of = F.col("s").startswith(RES_NS + "line/") & (k % 17 == 2)
     order_of = F.col("s").startswith(RES_NS + "order/") & (k % 17 == 2)
-    after = base.where(~(line_of | order_of))
-    msg = (base.where(line_of).select(*TRIPLE_COLS, "o_key").distinct()
-           .select(F.lit(0).cast("bigint").alias("msg_id"), F.lit(0).alias("cs_no"), F.lit("delete").alias("op"),
-                   *TRIPLE_COLS, "o_key"))
-    from quadsync.session import cut_lineage
-
-    return after, cut_lineage(expected(base, spec)), msg
+    base = quad_store(spark, sf_dir)
+    pub = publication_index(spark, sf_dir, "basepub", spec, lambda: base)
+    return FilteredSource(quad_index(spark, sf_dir), ~(line_of | order_of)), pub, _message(base.where(line_of), "delete")
+
+
+class RelationFixture:
+    """FIXTURES §5.4: the links ``predicate`` of subjects with key % 17 = 2 are in the source on one side
+    of the message only (``op``): before a delete, after an insert."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, predicate: str, op: str):
+        self.spec, full, base = base_spec(), quad_index(spark, sf_dir), quad_store(spark, sf_dir)
+        link = (F.col("p") == predicate) & (resource_key(F.col("s")) % 17 == 2)
+        rest = FilteredSource(full, ~link)
+        frames = (base, base.where(~link)) if op == "delete" else (base.where(~link), base)
+        self.before, self.after = (full, rest) if op == "delete" else (rest, full)
+        self.frame_before = frames[0]
+        self.message = _message(base.where(link), op)
+        name = "basepub" if op == "delete" else f"pub-without-{predicate.rsplit(':', 1)[-1]}"
+        self.pub = publication_index(spark, sf_dir, name, self.spec, lambda: frames[0])

@@ -10,12 +10,14 @@ operators therefore always filter on predicate lists derived from the rules.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadsync.functions.terms import canonical_object
+from quadsync.sources.indexed import IndexedQuads
 from quadsync.vocab import (
     GRAPH_NS, QUAD_COLS, RDF_TYPE, RES_NS, TYPE_NS, XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER, pred,
 )
@@ -100,9 +102,19 @@ def literal_text(column: str, kind: str) -> Column:
     return c.cast("string")
 
 
-def _term(p: str, o: Column, kind: str, dt: str, lang: Column) -> Column:
+def literal_key(text: Column, kind: str) -> Column:
+    """``o_key`` of a literal whose text ``literal_text`` made: the column's kind is known, so
+    nothing is parsed (the same as ``canonical_object`` of that text)."""
+    if kind == DEC:  # always two decimals
+        return F.regexp_replace(text, r"\.?0+$", "")
+    if kind == TS:  # text without zone is UTC
+        return F.concat(text, F.lit(".000000"))
+    return text
+
+
+def _term(p: str, o: Column, kind: str, dt: str, lang: Column, o_key: Column) -> Column:
     return F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"),
-                    F.lit(dt).alias("o_dt"), lang.alias("o_lang"))
+                    F.lit(dt).alias("o_dt"), lang.alias("o_lang"), o_key.alias("o_key"))
 
 
 def table_quads(df: DataFrame, m: TableMap, predicates: frozenset[str] | None = None) -> DataFrame | None:
@@ -114,13 +126,14 @@ def table_quads(df: DataFrame, m: TableMap, predicates: frozenset[str] | None =
     terms = []
     for tname, cond in m.types if wanted(RDF_TYPE) else ():
         o = F.lit(TYPE_NS + tname)
-        terms.append(_term(RDF_TYPE, F.when(F.expr(cond), o) if cond else o, "uri", "", F.lit("")))
+        terms.append(_term(RDF_TYPE, F.when(F.expr(cond), o) if cond else o, "uri", "", F.lit(""), o))
     for column, target in [x for x in m.links if wanted(pred(x[0]))]:
         o = F.concat(F.lit(f"{RES_NS}{target}/"), F.col(column).cast("string"))
-        terms.append(_term(pred(column), o, "uri", "", F.lit("")))
+        terms.append(_term(pred(column), o, "uri", "", F.lit(""), o))
     for column, kind in [x for x in m.literals if wanted(pred(x[0]))]:
         lang = F.col(m.lang_column).cast("string") if kind == LANG else F.lit("")
-        terms.append(_term(pred(column), literal_text(column, kind), "literal", DATATYPE[kind], lang))
+        text = literal_text(column, kind)
+        terms.append(_term(pred(column), text, "literal", DATATYPE[kind], lang, literal_key(text, kind)))
     if not terms:
         return None
     return (df.select(graph_col(m).alias("g"), subject_col(m).alias("s"), F.inline(F.array(*terms)))
@@ -146,10 +159,10 @@ def quads_from_tables(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]
     out = parts[0]
     for b in parts[1:]:
         out = out.unionByName(b)
-    return with_key(out).select(*QUAD_COLS)
+    return out.select(*QUAD_COLS)
 
 
-STORE_FORMAT = "2"
+STORE_FORMAT = "3"
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables) -> str:
@@ -167,25 +180,43 @@ def _fingerprint(spark: SparkSession, sf_dir: str, tables) -> str:
     return h.hexdigest()[:16]
 
 
-def quad_store(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES_USED) -> DataFrame:
-    """The quads of ``sf_dir`` as a parquet store partitioned by predicate.
-
-    Built once by Spark from the tables, below ``spark.quadsync.store.dir`` or, if
-    that is unset, the shared ``spark.checkpoint.dir``, and reused by later jobs
-    and applications on the same files; a ``_SUCCESS`` marker makes a half-written
-    store invisible, so a lost job is simply rebuilt.
-    """
+def store_path(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...] = TABLES_USED) -> str:
+    """Folder of a store of what is derived from the tables, below ``spark.quadsync.store.dir`` or, if
+    that is unset, the shared ``spark.checkpoint.dir``; another name when a file changes."""
     from quadsync.session import ensure_checkpoint_dir
 
     own = ensure_checkpoint_dir(spark)
     conf = spark.sparkContext.getConf()
     root = (conf.get("spark.quadsync.store.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
-    path = f"{root}/quadstore-{_fingerprint(spark, sf_dir, tables)}"
+    return f"{root}/{name}-{_fingerprint(spark, sf_dir, tables)}"
+
+
+def quad_store(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES_USED) -> DataFrame:
+    """The quads of ``sf_dir`` as a parquet store partitioned by predicate.
+
+    Built once by Spark from the tables and reused by later jobs and applications on
+    the same files; a ``_SUCCESS`` marker makes a half-written store invisible, so a
+    lost job is simply rebuilt.
+    """
+    path = store_path(spark, sf_dir, "quadstore", tables)
     if not _exists(spark, path + "/_SUCCESS"):
         write_quad_store(quads_from_tables(spark, sf_dir, tables), path)
     return read_quad_store(spark, path)
 
 
+def stored_index(spark: SparkSession, path: str, columns: list[str], build: Callable[[], DataFrame]) -> IndexedQuads:
+    """``build()`` by subject and by object below ``path``, written once."""
+    if not _exists(spark, f"{path}/_READY"):
+        IndexedQuads.write(build().select(*columns), path)
+        spark.createDataFrame([(1,)], "ready int").write.mode("overwrite").parquet(f"{path}/_READY")
+    return IndexedQuads(spark, path, columns)
+
+
+def quad_index(spark: SparkSession, sf_dir: str) -> IndexedQuads:
+    """The quads of ``sf_dir`` by subject and by object (see ``sources.indexed``)."""
+    return stored_index(spark, store_path(spark, sf_dir, "quadindex"), QUAD_COLS, lambda: quad_store(spark, sf_dir))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
