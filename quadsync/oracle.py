@@ -556,7 +556,8 @@ RESPELLED = [
     f"cv AS (SELECT *, {VALUE} AS v FROM ch)",
 ]
 SQL["logical_literal_equality"] = w(*RESPELLED) + (
-    "SELECT op, s, p, o FROM cv c WHERE (op = 'delete') = EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v)")
+    "SELECT op, s, p, o FROM cv c WHERE op = 'delete' AND EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v) "
+    "UNION ALL SELECT op, s, p, o FROM cv c WHERE op <> 'delete' AND NOT EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v)")
 SQL["logical_delete_applied"] = w(*RESPELLED) + (
     f"SELECT {T} FROM pv b WHERE NOT EXISTS (SELECT 1 FROM cv c WHERE c.op = 'delete' AND b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v) "
     f"UNION SELECT {T} FROM cv c WHERE c.op = 'insert' AND NOT EXISTS (SELECT 1 FROM pv b WHERE b.s = c.s AND b.p = c.p AND b.o_dt = c.o_dt AND b.v = c.v)")
@@ -595,6 +596,22 @@ SQL["in_scope_batch"] = w(QUADS, *reach_ctes("quads", "")) + (
 
 SQL["stream_live_flow"] = SQL["live_flow_net"]
 SQL["stream_replay"] = SQL["live_flow_net"]
+SQL["stream_bare_messages"] = SQL["live_flow_net"]
+SQL["stream_debounce"] = SQL["error_debounce"]
+SQL["stream_dispatch"] = SQL["dispatch_streams"].replace("SELECT DISTINCT t.msg_id, s.stream FROM", "SELECT stream, msg_id, row_number() OVER (PARTITION BY stream ORDER BY msg_id) - 1 AS place FROM (SELECT DISTINCT t.msg_id, s.stream FROM") + ")"
+# status changes k of jobs; trigger i holds the messages from i * step on
+STREAM_GATE = [
+    EV, CHANGES, "hi AS (SELECT MAX(msg_id) AS m FROM changes)",
+    "st AS (SELECT event_id // 350 AS k, event_id // 100 AS msg_id, (event_id // 350) % 6 AS r FROM events WHERE event_id % 350 = 0)",
+    "js AS (SELECT k, msg_id, CASE WHEN r <= 1 THEN 'initialSync' WHEN r <= 4 THEN 'healing' ELSE 'export' END AS operation, "
+    "CASE r WHEN 0 THEN 'scheduled' WHEN 1 THEN 'success' WHEN 2 THEN 'scheduled' WHEN 3 THEN 'busy' WHEN 4 THEN 'success' ELSE 'busy' END AS status FROM st)",
+    "ms AS (SELECT DISTINCT msg_id, msg_id // ((SELECT m FROM hi) // 4 + 1) AS trigger_no FROM (SELECT msg_id FROM changes UNION SELECT msg_id FROM st))",
+    "d AS (SELECT m.msg_id, m.trigger_no, CASE WHEN EXISTS (SELECT 1 FROM js j WHERE j.msg_id = m.msg_id AND j.status = 'scheduled' AND j.operation <> 'export') THEN 'heal' "
+    "WHEN (SELECT arg_max(status, k) FROM js j WHERE j.msg_id <= m.msg_id AND j.operation = 'healing') IN ('scheduled', 'busy') "
+    "OR (SELECT arg_max(status, k) FROM js j WHERE j.msg_id <= m.msg_id AND j.operation = 'initialSync') IN ('scheduled', 'busy') THEN 'blocked' "
+    "WHEN NOT EXISTS (SELECT 1 FROM js j WHERE j.msg_id <= m.msg_id AND j.operation = 'initialSync' AND j.status = 'success') THEN 'no_sync' ELSE 'process' END AS decision FROM ms m)"]
+SQL["stream_gate"] = SQL["stream_gate_restart"] = w(*STREAM_GATE) + (
+    "SELECT msg_id, CASE WHEN decision = 'process' AND EXISTS (SELECT 1 FROM d h WHERE h.trigger_no = d.trigger_no AND h.decision = 'heal' AND h.msg_id > d.msg_id) THEN 'flushed' ELSE decision END AS decision FROM d")
 SQL["stream_multi_message"] = SQL["replay_feed"]
 SQL["stream_bad_message"] = w(EV, CHANGES) + (
     "SELECT msg_id, NULL AS error, 1 AS n_messages, COUNT(*) AS n_changes FROM changes WHERE msg_id % 10 <> 3 GROUP BY msg_id "

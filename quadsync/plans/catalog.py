@@ -374,7 +374,7 @@ from quadsync.functions.terms import decode_literal, ntriple  # noqa: E402
 from quadsync.operators.feed import (  # noqa: E402
     chunk_changes, feed, manifest_rows, page, replay, write_delta_files,
 )
-from quadsync.operators.gate import SCHEDULED, debounce_errors, gate, healing_signals  # noqa: E402
+from quadsync.operators.gate import BUSY, SCHEDULED, SUCCESS, debounce_errors, gate, healing_signals  # noqa: E402
 from quadsync.operators.scope import in_scope  # noqa: E402
 from quadsync.sources.tables import read_table  # noqa: E402
 from quadsync.vocab import ADMS_STATUS, XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER  # noqa: E402
@@ -521,24 +521,34 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- streaming
 
-def _stream_parts(spark, sf_dir, files: int):
-    """The live batch as ``files`` message files in order, one bad line in each."""
+def _message_lines(changes):
     from quadsync.sources.messages import to_messages
+
+    return to_messages(changes).select("msg_id", F.to_json(F.struct("msg_id", "changesets")).alias("value"), F.to_json("changesets").alias("bare"))
+
+
+def _put_files(lines, path: str, triggers: int, hi: int, lo: int = 0, files: int = 3):
+    """``lines (msg_id, value)`` as ``triggers`` runs of ``files`` files each; yields after each run."""
+    step = (hi - lo) // triggers + 1
+    for i in range(triggers):
+        part = lines.where((F.col("msg_id") >= lo + i * step) & (F.col("msg_id") < lo + (i + 1) * step))
+        part.repartitionByRange(files, "msg_id").sortWithinPartitions("msg_id").select("value").write.mode("append").text(path)
+        yield i
+
+
+def _stream_parts(spark, sf_dir, triggers: int):
+    """The live batch as message files, ``triggers`` times three, with bad lines."""
     from quadsync.streaming.live_stream import PublicationStore, batch_handler
 
     fx = LiveFixture(spark, sf_dir)
     root = _scratch(spark, "stream")
-    lines = to_messages(fx.batch).select("msg_id", F.to_json(F.struct("msg_id", "changesets")).alias("value"))
     hi = fx.batch.agg(F.max("msg_id")).first()[0]
-    step = -(-(hi + 1 - fx.m0) // files)
-    for i in range(files):
-        lo = fx.m0 + i * step
-        part = lines.where((F.col("msg_id") >= lo) & (F.col("msg_id") < lo + step)).select("value")
-        bad = spark.createDataFrame([('{"msg_id": 1, "changesets": [{"inserts": [',)], "value string")
-        part.unionByName(bad).coalesce(1).write.mode("append").text(f"{root}/in")
+    bad = spark.createDataFrame([(fx.m0 + i, '{"msg_id": 1, "changesets": [{"inserts": [') for i in range(3)], "msg_id long, value string")
+    for _ in _put_files(_message_lines(fx.batch).drop("bare").unionByName(bad), f"{root}/in", triggers, hi, fx.m0):
+        pass
     store = PublicationStore(spark, f"{root}/pub", compact_every=2)
     store.start(fx.pub_before)
-    return fx, root, store, batch_handler(fx.spec, lambda _b: fx.source, store, f"{root}/out", f"{root}/files", f"{root}/errors")
+    return fx, root, store, batch_handler(fx.spec, lambda _b: fx.source, store, f"{root}/out", f"{root}/files", f"{root}/errors", by_own_id=True)
 
 
 def stream_live_flow(spark, sf_dir):
@@ -555,7 +565,7 @@ def stream_multi_message(spark, sf_dir):
     from quadsync.streaming.live_stream import start_live_stream
 
     _, root, store, handler = _stream_parts(spark, sf_dir, 2)
-    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler, max_files_per_trigger=1).awaitTermination()
+    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler, max_files_per_trigger=3).awaitTermination()
     return _triples(store.current())
 
 
@@ -578,11 +588,125 @@ def stream_bad_message(spark, sf_dir):
     cut = F.when(F.col("msg_id") % 10 == 3, F.expr("left(value, length(value) - 5)")).otherwise(F.col("value"))
     parsed = parse_messages(lines.select(cut.alias("value"), F.lit("f").alias("file"), F.lit(0).cast("timestamp").alias("at")))
     sizes = F.aggregate("changesets", F.lit(0), lambda n, c: n + F.size(F.coalesce(c["inserts"], F.array())) + F.size(F.coalesce(c["deletes"], F.array())))
-    return (parsed.select("msg_id", F.when(F.col("error").isNull(), sizes).alias("n"), "error")
+    return (parsed.select(F.col("own_id").alias("msg_id"), F.when(F.col("error").isNull(), sizes).alias("n"), "error")
             .groupBy("msg_id", "error").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("n").alias("n_changes")))
 
 
+def stream_bare_messages(spark, sf_dir):
+    """Every other message a bare array; the file's order is the messages' order."""
+    from quadsync.streaming.live_stream import PublicationStore, batch_handler, start_live_stream
+
+    fx = LiveFixture(spark, sf_dir)
+    root = _scratch(spark, "stream")
+    hi = fx.batch.agg(F.max("msg_id")).first()[0]
+    lines = _message_lines(fx.batch).select("msg_id", F.when(F.col("msg_id") % 2 == 0, F.col("bare")).otherwise(F.col("value")).alias("value"))
+    for _ in _put_files(lines, f"{root}/in", 1, hi, fx.m0, files=1):
+        pass
+    store = PublicationStore(spark, f"{root}/pub")
+    store.start(fx.pub_before)
+    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", batch_handler(fx.spec, lambda _b: fx.source, store, f"{root}/out")).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("op", *TRIPLE_COLS)
+
+
+def _gate_lines(spark, sf_dir):
+    """All event messages; every 350th event also changes a job's status."""
+    ev = read_table(spark, sf_dir, "events").where("event_id % 350 = 0")
+    r = (F.col("event_id") / 350).cast("bigint") % 6
+    job = F.when(r <= 1, F.lit("urn:r:job/initial")).when(r <= 4, F.lit("urn:r:job/heal")).otherwise(F.lit("urn:r:job/export"))
+    status = F.when(r.isin(0, 2), F.lit(SCHEDULED)).when(r.isin(3, 5), F.lit(BUSY)).otherwise(F.lit(SUCCESS))
+    changes = ev.select((F.col("event_id") / 100).cast("bigint").alias("msg_id"), ((F.col("event_id") % 100) / 10).cast("int").alias("cs_no"), F.lit("insert").alias("op"),
+                        ((F.col("event_id") % 10) * 2 + 100).cast("int").alias("pos"), F.lit("urn:g:jobs").alias("g"), job.alias("s"), F.lit(ADMS_STATUS).alias("p"), status.alias("o"),
+                        F.lit("uri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+    cols = changes.columns
+    jobs = spark.createDataFrame([("urn:r:job/initial", "initialSync"), ("urn:r:job/heal", "healing"), ("urn:r:job/export", "export")], "job string, operation string")
+    return _message_lines(event_changes(spark, sf_dir).select(*cols).unionByName(changes)).drop("bare"), jobs
+
+
+def _stream_gate(spark, sf_dir, restart: bool):
+    from quadsync.sources.messages import explode_messages, parse_messages
+    from quadsync.streaming.live_stream import MessageGate, start_live_stream
+
+    lines, jobs = _gate_lines(spark, sf_dir)
+    root = _scratch(spark, "gate")
+    hi = read_table(spark, sf_dir, "events").agg(F.max((F.col("event_id") / 100).cast("bigint"))).first()[0]
+
+    def run():
+        gate = MessageGate(spark, f"{root}/gate", jobs)
+
+        def handler(some, batch_id):
+            messages = parse_messages(some, by_own_id=True).where("error IS NULL")
+            gate.admit(messages, explode_messages(messages), batch_id)
+        start_live_stream(spark, f"{root}/in", f"{root}/ckpt", handler, max_files_per_trigger=1).awaitTermination()
+
+    for _ in _put_files(lines, f"{root}/in", 4, hi, files=1):
+        if restart:
+            run()
+    if not restart:
+        run()
+    return spark.read.parquet(f"{root}/gate/decisions").select("msg_id", "decision")
+
+
+def stream_gate(spark, sf_dir):
+    """Four triggers of one run."""
+    return _stream_gate(spark, sf_dir, False)
+
+
+def stream_gate_restart(spark, sf_dir):
+    """The same, each trigger by a query that was started anew."""
+    return _stream_gate(spark, sf_dir, True)
+
+
+def stream_dispatch(spark, sf_dir):
+    """T5: one source, a log per stream, and a query per log; each stream's messages in its own order."""
+    from quadsync.sources.messages import parse_messages
+    from quadsync.streaming.live_stream import dispatch_handler, start_live_stream
+
+    fx = LiveFixture(spark, sf_dir)
+    specs = {"base": base_spec(), "live": live_spec()}
+    root = _scratch(spark, "dispatch")
+    hi = fx.changes.agg(F.max("msg_id")).first()[0]
+    for _ in _put_files(_message_lines(fx.changes).drop("bare"), f"{root}/in", 2, hi):
+        pass
+    start_live_stream(spark, f"{root}/in", f"{root}/ckpt", dispatch_handler(specs, lambda _b: fx.source, f"{root}/log", by_own_id=True), max_files_per_trigger=3).awaitTermination()
+
+    def take(name):
+        def handler(lines, batch_id):
+            (parse_messages(lines, by_own_id=True).where("error IS NULL").select(F.lit(name).alias("stream"), "msg_id")
+             .write.mode("overwrite").parquet(f"{root}/taken/{name}-{batch_id}"))
+        return handler
+    running = [start_live_stream(spark, f"{root}/log/{name}/*", f"{root}/ckpt-{name}", take(name)) for name in specs]
+    for q in running:
+        q.awaitTermination()
+    from quadsync.operators.prefix import running_total
+
+    taken = spark.read.parquet(f"{root}/taken/*").withColumn("one", F.lit(1))
+    return running_total(taken, ["stream"], ["msg_id"], "one", "place").select("stream", "msg_id", F.col("place").cast("long").alias("place"))
+
+
+def stream_debounce(spark, sf_dir):
+    """K7: the error bursts in a stream of three triggers, each by a query that was started anew."""
+    from quadsync.streaming.live_stream import start_debounce_stream
+
+    root = _scratch(spark, "bursts")
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    errors = ev.select(F.lit("default").alias("stream"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created"))
+    lo, hi = errors.agg(F.min("id"), F.max("id")).first()
+    step = (hi - lo) // 3 + 1
+    parts = [errors.where((F.col("id") >= lo + i * step) & (F.col("id") < lo + (i + 1) * step)) for i in range(3)]
+    end = errors.agg(F.max("created").alias("m")).select(F.lit("heartbeat").alias("stream"), F.lit(None).cast("long").alias("id"), (F.col("m") + F.expr("INTERVAL 1 DAY")).alias("created"))
+    for part in [*parts, end]:
+        part.write.mode("append").parquet(f"{root}/in")
+        start_debounce_stream(spark, f"{root}/in", f"{root}/ckpt", f"{root}/out", gap="5 minutes").awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("stream", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "last_id", "n_errors")
+
+
 QUERIES.update({
+    "stream_bare_messages": stream_bare_messages,
+    "stream_gate": stream_gate,
+    "stream_gate_restart": stream_gate_restart,
+    "stream_dispatch": stream_dispatch,
+    "stream_debounce": stream_debounce,
     "stream_live_flow": stream_live_flow,
     "stream_multi_message": stream_multi_message,
     "stream_replay": stream_replay,
