@@ -209,6 +209,9 @@ SQL["inverse_property_export"] = w(QUADS, *reach_ctes("quads", ""),
 SQL["additional_filter_expr"] = w(QUADS, *expected_ctes("quads", "", rules=(2,))) + (
     "SELECT * FROM a WHERE s IN (SELECT s FROM quads WHERE p = 'urn:p:o_totalprice' "
     "AND TRY_CAST(o AS DOUBLE) > 200000)")
+SQL["filter_from_config"] = SQL["additional_filter_expr"]
+SQL["additional_filter_on_triple"] = w(QUADS, *expected_ctes("quads", "", rules=(2,))) + (
+    "SELECT * FROM a WHERE p <> 'urn:p:o_totalprice' OR TRY_CAST(o AS DOUBLE) > 200000")
 SQL["additional_filter_pattern"] = w(QUADS, *expected_ctes("quads", "", rules=(5,))) + "SELECT * FROM a"
 SQL["expected_publication"] = w(QUADS, *expected_ctes("quads", "")) + "SELECT * FROM a"
 SQL["current_publication"] = w(*HEAL) + "SELECT * FROM b"

@@ -7,6 +7,7 @@ data Spark derives from them) in full.
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,9 @@ from quadsync.operators.scope import reach, scoped_subjects, type_quads
 from quadsync.operators.feed import read_delta_files
 from quadsync.plans.heal import heal, heal_diff, heal_diff_bag, publication_orphans, report_counts, run_healing
 from quadsync.sources.fixtures import base_spec, drifted_publication
-from quadsync.sources.rules import ExportSpec, rule_types_frame
+from quadsync.sources.rules import ExportSpec, read_config, rule_types_frame, spec_from_frame
 from quadsync.sources.tables import quad_index, quad_store, quads_from_tables
-from quadsync.vocab import PUBLICATION_GRAPH, TRIPLE_COLS, pred
+from quadsync.vocab import PUBLICATION_GRAPH, TRIPLE_COLS, XSD_DECIMAL, pred
 
 P = pred
 
@@ -110,6 +111,23 @@ def additional_filter_expr(spark, sf_dir):
     return _triples(expected(quad_store(spark, sf_dir), spec))
 
 
+def additional_filter_on_triple(spark, sf_dir):
+    """P9, expression form: the condition is on the copied triple itself."""
+    spec = only(base_spec(), 2, filter_expr=f"p <> '{P('o_totalprice')}' OR try_cast(o as double) > 200000")
+    return _triples(expected(quad_store(spark, sf_dir), spec))
+
+
+def filter_from_config(spark, sf_dir):
+    """A rule and its conditions read from a JSON configuration, checked and run."""
+    rule = base_spec().rule(2)
+    config = {"conceptScheme": base_spec().concept_scheme, "export": [{
+        "type": rule.type, "properties": list(rule.properties), "pathToConceptScheme": list(rule.path), "graphsFilter": list(rule.graphs),
+        "filters": [{"predicate": P("o_totalprice"), "compare": ">", "value": "200000", "datatype": XSD_DECIMAL}, {"predicate": P("o_orderstatus"), "compare": "exists"}]}]}
+    path = _scratch(spark, "config")
+    spark.createDataFrame([(json.dumps(config),)], "value string").write.text(path)
+    return _triples(expected(quad_store(spark, sf_dir), spec_from_frame(read_config(spark, path))))
+
+
 def additional_filter_pattern(spark, sf_dir):
     return _triples(expected(quad_store(spark, sf_dir), only(base_spec(), 5)))
 
@@ -201,6 +219,8 @@ QUERIES = {
     "inverse_property_export": inverse_property_export,
     "additional_filter_expr": additional_filter_expr,
     "additional_filter_pattern": additional_filter_pattern,
+    "additional_filter_on_triple": additional_filter_on_triple,
+    "filter_from_config": filter_from_config,
     "expected_publication": expected_publication,
     "current_publication": current_publication,
     "heal_diff": heal_diff_q,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadsync.vocab import CONCEPT_SCHEME, PUBLICATION_GRAPH, RDF_TYPE
+from quadsync.vocab import CONCEPT_SCHEME, PUBLICATION_GRAPH, RDF_TYPE, XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER
 
 MAX_RULES = 10_000  # bound for broadcasting the rule tables
 
@@ -105,6 +105,10 @@ RULE_SCHEMA = T.StructType([
     T.StructField("concept_scheme", T.StringType()),
 ])
 
+#: A condition on some triple ``?subject <predicate> ?o``, as data.
+CONDITION = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("predicate", "compare", "value", "datatype")]))
+COMPARES = ("exists", "=", "!=", "<", "<=", ">", ">=", "contains", "startsWith")
+
 
 def rules_frame(spark: SparkSession, spec: ExportSpec) -> DataFrame:
     rows = [(r.stream, r.rule_no, r.type, list(r.properties), list(r.path), list(r.graphs),
@@ -149,6 +153,7 @@ CONFIG_SCHEMA = T.StructType([
         T.StructField("graphsFilter", T.ArrayType(T.StringType())),
         T.StructField("hasRegexGraphsFilter", T.BooleanType()),
         T.StructField("additionalFilter", T.StringType()),
+        T.StructField("filters", CONDITION),
         T.StructField("strictTypeExport", T.BooleanType()),
     ]))),
 ])
@@ -166,7 +171,7 @@ def explode_config(config: DataFrame) -> DataFrame:
         F.coalesce("r.pathToConceptScheme", empty).alias("path"),
         F.coalesce("r.graphsFilter", empty).alias("graphs"),
         F.coalesce("r.hasRegexGraphsFilter", F.lit(False)).alias("graphs_regex"),
-        F.col("r.additionalFilter").alias("filter"),
+        F.col("r.additionalFilter").alias("filter"), F.coalesce("r.filters", F.array().cast(CONDITION)).alias("filters"),
         F.coalesce("r.strictTypeExport", F.lit(False)).alias("strict"),
         "concept_scheme",
     )
@@ -186,11 +191,18 @@ def rule_violations(rules: DataFrame) -> DataFrame:
     checks = (
         F.when(F.col("rule_no").isNull(), F.lit("no rules"))
     )
+    filters = F.col("filters") if "filters" in r.columns else F.array().cast(CONDITION)
+
+    def unknown(c):
+        numeric = c["compare"].isin("<", "<=", ">", ">=") & c["datatype"].isin(XSD_INTEGER, XSD_DECIMAL) & c["value"].try_cast("decimal(38,9)").isNull()
+        return c["predicate"].isNull() | c["compare"].isNull() | ~c["compare"].isin(*COMPARES) | ((c["compare"] != "exists") & c["value"].isNull()) | numeric
     base = r.select("stream", "rule_no", F.array_compact(F.array(
         checks,
         F.when(F.col("rule_no").isNotNull() & (F.col("type").isNull() | (F.col("type") == "")), F.lit("no type")),
         F.when((F.size("path") > 0) & F.col("concept_scheme").isNull(), F.lit("path without concept scheme")),
         F.when(F.col("rule_no").isNotNull() & (F.coalesce(F.size("properties"), F.lit(0)) <= 0), F.lit("no properties")),
+        F.when(F.col("filter").isNotNull(), F.lit("filter is text: give its conditions as filters")),
+        F.when(F.exists(filters, lambda c: F.coalesce(unknown(c), F.lit(True))), F.lit("unknown condition in filters")),
     )).alias("v")).select("stream", "rule_no", F.explode("v").alias("violation"))
     a, b = r.alias("a"), r.alias("b")
     paths = (a.join(b, (F.col("a.stream") == F.col("b.stream")) & (F.col("a.type") == F.col("b.type"))
@@ -200,6 +212,22 @@ def rule_violations(rules: DataFrame) -> DataFrame:
     return base.unionByName(paths)
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def condition_sql(compare: str, value: str | None, datatype: str | None) -> str:
+    """The condition on a triple's object as a Spark SQL expression over ``o``; numbers and times by value."""
+    if compare == "exists":
+        return "true"
+    if compare in ("contains", "startsWith"):
+        return f"{compare.lower()}(o, {sql_text(value)})"
+    kind = {XSD_INTEGER: "decimal(38,9)", XSD_DECIMAL: "decimal(38,9)", XSD_DATETIME: "timestamp"}.get(datatype or "")
+    if kind is None:
+        return f"o {compare} {sql_text(value)}"
+    return f"try_cast(o AS {kind}) {compare} try_cast({sql_text(value)} AS {kind})"
+
+
 def spec_from_frame(rules: DataFrame, stream: str = "default", **kw) -> ExportSpec:
     """Bring one stream's validated rules to the driver (bounded, checked)."""
     bad = rule_violations(rules.where(F.col("stream") == stream)).where(~F.col("violation").startswith("warning"))
@@ -210,7 +238,8 @@ def spec_from_frame(rules: DataFrame, stream: str = "default", **kw) -> ExportSp
     if len(rows) > MAX_RULES:
         raise ValueError("too many rules to hold on the driver")
     scheme = rows[0]["concept_scheme"] if rows else None
+    conditions = [tuple((c["predicate"], condition_sql(c["compare"], c["value"], c["datatype"])) for c in (x["filters"] if "filters" in rules.columns else ())) for x in rows]
     out = tuple(ExportRule(rule_no=x["rule_no"], type=x["type"], properties=tuple(x["properties"]),
                            path=tuple(x["path"]), graphs=tuple(x["graphs"]), graphs_regex=x["graphs_regex"],
-                           filter_expr=x["filter"], strict=x["strict"], stream=stream) for x in rows)
+                           filter_patterns=c, strict=x["strict"], stream=stream) for x, c in zip(rows, conditions, strict=True))
     return ExportSpec(rules=out, concept_scheme=scheme, stream=stream, **kw)

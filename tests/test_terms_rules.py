@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quadsync.functions.terms import (
     canonical_object, date_of_instant, decode_literal, escape_predicate, is_inverse, normalize_predicate, ntriple, share_uri, utc_wall,
 )
-from quadsync.sources.rules import read_config, rule_violations
+from quadsync.sources.rules import condition_sql, read_config, rule_violations, spec_from_frame
 from quadsync.vocab import XSD_DATETIME, XSD_DECIMAL, XSD_INTEGER
 
 
@@ -76,3 +76,21 @@ def test_rule_violations(spark, tmp_path):
     rules = read_config(spark, str(cfg))
     got = sorted((r.rule_no, r.violation) for r in rule_violations(rules).collect())
     assert got == [(0, "path without concept scheme"), (1, "no properties"), (2, "no type")]
+
+
+def test_conditions_of_a_configuration(spark, tmp_path):
+    cfg = tmp_path / "cfg.json"
+    cfg.write_text('{"conceptScheme": null, "export": ['
+                   '{"type": "urn:t:A", "properties": ["urn:p:x"], "filters": [{"predicate": "urn:p:n", "compare": "contains", "value": "it\'s \\\\ x"}]},'
+                   '{"type": "urn:t:B", "properties": ["urn:p:x"], "additionalFilter": "?subject <urn:p:x> ?o"},'
+                   '{"type": "urn:t:C", "properties": ["urn:p:x"], "filters": [{"predicate": "urn:p:n", "compare": "like", "value": "x"}]},'
+                   f'{{"type": "urn:t:D", "properties": ["urn:p:x"], "filters": [{{"predicate": "urn:p:n", "compare": "<", "value": "x", "datatype": "{XSD_DECIMAL}"}}]}}]}}')
+    rules = read_config(spark, str(cfg))
+    got = sorted((r.rule_no, r.violation) for r in rule_violations(rules).collect())
+    assert got == [(1, "filter is text: give its conditions as filters"), (2, "unknown condition in filters"), (3, "unknown condition in filters")]
+    (pattern,) = spec_from_frame(rules.where("rule_no = 0")).rules[0].filter_patterns
+    assert pattern[0] == "urn:p:n"
+    hits = spark.createDataFrame([("it's \\ x!",), ("its x",)], "o string").where(pattern[1]).collect()
+    assert [r.o for r in hits] == ["it's \\ x!"]
+    numbers = spark.createDataFrame([("10",), ("9.5",), ("x",)], "o string")
+    assert [r.o for r in numbers.where(condition_sql(">=", "9.75", XSD_DECIMAL)).collect()] == ["10"]
