@@ -3,7 +3,9 @@
 Enough of HTML's rules for broken pages: implied ends of p, li, dt, dd, tr, td,
 th and option, end tags without start are ignored, raw text elements end at
 their end tag or with the page, comments and declarations are skipped.  Elements
-that are no blocks leave no node; their text belongs to the block around them.
+that are no blocks leave no node; their text belongs to the block around them.  A tag ends at
+the first > outside of quotes or, if its quotes don't close, at the first >; a < that begins no
+tag is text.  The work is in proportion to the page, whatever is broken in it.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from __future__ import annotations
 import re
 from html import unescape
 
-TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
-ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?:^|\s)(hidden)(?=\s|$)", re.S)
+START = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
+ATTR = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))|(?:^|\s)(hidden)(?=\s|$)", re.S)
 NAME = re.compile(r"[a-z]+")
 
 #: fixed values: HTML's elements by kind
@@ -58,10 +61,57 @@ def attributes(raw: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(words)), label
 
 
+class Tags:
+    """The tags of a page one after the other, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.open_ended: set[int] = set()  # quotes after which some tag was found to have no end
+
+    def end_of(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``at``."""
+        seen, pos = [], at
+        while (m := STOP.search(self.html, pos)) and m[0] != ">":
+            close = -1 if m.start() in self.open_ended else self.html.find(m[0], m.end())
+            seen.append(m.start())
+            if close < 0:
+                m = None
+                break
+            pos = close + 1
+        if m:
+            return m.start()
+        self.open_ended.update(seen)
+        return self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, is an end tag, attributes) of the next tag, comment or declaration (no name) from ``at`` on."""
+        html, look = self.html, at
+        while (i := html.find("<", look)) >= 0:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(html), "", False, ""
+            if i > self.last:  # nothing but comments can follow
+                i = html.find("<!--", i)
+                return (i, len(html) if html.find("-->", i + 4) < 0 else html.find("-->", i + 4) + 3, "", False, "") if i >= 0 else None
+            if html.startswith(("<!", "<?"), i):
+                return i, html.find(">", i) + 1, "", False, ""
+            m = START.match(html, i)
+            if m:
+                end = self.end_of(m.end())
+                return i, end + 1, m[2].lower(), bool(m[1]), html[m.end():end]
+            look = i + 1
+        return None
+
+    def end_of_raw(self, tag: str, at: int) -> int:
+        end = END_RAW[tag].search(self.html, at, self.last + 1)
+        return end.end() if end else len(self.html)
+
+
 def parse(html: str) -> list[Node]:
     """Nodes in page order; a node's parent comes before it, text leaves have tag "#" and their text."""
     nodes = [Node("#page", (), -1)]
-    stack, parts, in_link, link_chars, at = [0], [], False, 0, 0
+    stack, parts, in_link, link_chars, at, tags = [0], [], False, 0, 0, Tags(html)
+    places: dict[str, list[int]] = {}  # of each open tag, its places in the stack
 
     def flush() -> None:
         nonlocal link_chars
@@ -82,38 +132,37 @@ def parse(html: str) -> list[Node]:
             if in_link:
                 link_chars += len(text.strip())
 
-    def close(tags: frozenset | tuple, limit: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in tags:
-                del stack[i:]
-                return
-            if tag in limit:
-                return
+    def innermost(some: frozenset | tuple) -> int:
+        return max((places[t][-1] for t in some if places.get(t)), default=0)
+
+    def close(some: frozenset | tuple, limit: frozenset) -> None:
+        """Ends the innermost open element of ``some``, unless one of ``limit`` lies within it."""
+        i = innermost(some)
+        if i > innermost(limit):
+            while len(stack) > i:
+                places[nodes[stack.pop()].tag].pop()
 
     while True:
-        m = TAG.search(html, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             take(html[at:])
             break
-        take(html[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        begin, end, tag, is_end, raw = found
+        take(html[at:begin])
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:
+        if is_end:
             if tag == "a":
                 in_link = False
             elif tag in BLOCK:
                 flush()
-                if any(nodes[i].tag == tag for i in stack):
-                    close((tag,), frozenset())
+                close((tag,), frozenset())
             continue
         if tag == "br":
             parts.append("\n")
         elif tag in RAW:
-            end = END_RAW[tag].search(html, at)
-            at = end.end() if end else len(html)
+            at = tags.end_of_raw(tag, at)
         elif tag == "a":
             in_link = True
         elif tag in BLOCK or tag == "hr":
@@ -125,10 +174,11 @@ def parse(html: str) -> list[Node]:
             if tag == "body":
                 close(("head",), frozenset())
             if tag not in VOID:
-                words, label = attributes(m[3] or m[6] or "")
+                words, label = attributes(raw)
                 node = Node(tag, words, stack[-1])
                 node.label = label
                 nodes.append(node)
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     flush()
     for i in range(len(nodes) - 1, 0, -1):

@@ -300,3 +300,60 @@ def test_chi_square_and_leaves():
 def test_digest_of_spans():
     base, _ = pii.spans_of("a@b.co +1 (555) 123-4567")
     assert hashlib.sha256(pii.written(base).encode()).hexdigest() == hashlib.sha256(b"email:0:6,phone:7:24").hexdigest()
+
+
+def test_marginals_equal_enumeration(page_model):
+    """Sum-product on small trees against the sum over all labellings."""
+    from itertools import product
+    from math import exp, log
+
+    from quadsync.llm import html_main as hm
+
+    for html in ("<div class=content><p>Some words here.</p><ul><li><a href=x>Home</a></ul></div>", "<p>a<p>b c d", "<article><h1>T</h1><p>One two three four.</p></article><footer>x</footer>", "text"):
+        nodes = hm.parse(html)
+        assert len(nodes) <= 12
+        f = [hm.features(nodes, i) if i else [] for i in range(len(nodes))]
+        q = [1 / (1 + exp(-page_model.child[""] - sum(page_model.child.get(k, 0.0) for k in x))) for x in f]
+        says = [hm.EVIDENCE * (page_model.parent[""] + sum(page_model.parent.get(k, 0.0) for k in x)) for x in f]
+        total, one = 0.0, [0.0] * len(nodes)
+        for y in product((0, 1), repeat=len(nodes)):
+            weight = hm.ROOT * y[0]
+            for i in range(1, len(nodes)):
+                p = nodes[i].parent
+                on = q[i] if y[p] else hm.LEAK
+                weight += log(on if y[i] else 1 - on) + says[i] * y[p]
+            total += exp(weight)
+            one = [a + exp(weight) * v for a, v in zip(one, y, strict=True)]
+        assert np.allclose(page_model.marginals(nodes), [a / total for a in one], atol=1e-9)
+
+
+def test_broken_pages_cost_in_proportion():
+    from time import perf_counter
+
+    from quadsync.llm.html_tree import parse
+
+    n = 100_000
+    shapes = ["<a " * n, "<h1>x" * n, "<div>" * n + "</p>x" * n, '<a "' * n, "<div " + "a" * 10 * n + ">", "<p>" * n, '<a ">" ' * n + "'", "</script " * n, "<script>" + "</script " * n,
+              "<td><label><h1>" * (n // 3), "<li>" * n, "<!-- " * n, "<" * n, "<a '" * n + ">", "<div a=" * n]
+    for html in shapes:
+        start = perf_counter()
+        parse(html)
+        assert perf_counter() - start < 10, html[:20]  # a second or two here; hours if a tag were looked at once per tag
+
+
+def test_decoder_equals_all_paths_of_a_lattice():
+    from itertools import product
+
+    r = np.random.default_rng(6)
+    cost = r.random((toxicity.SYMBOLS,) * 3)
+
+    def worth(symbols, channel):
+        full = [0, 0, *symbols, 0]
+        return channel + sum(cost[full[i], full[i + 1], full[i + 2]] for i in range(len(full) - 2))
+
+    for token in ("a", "5h1t", "aab", "l33t", "st$$p", "b" + toxicity.GAP + "a" + toxicity.GAP + "d", "!!"):
+        places = toxicity.lattice(token)
+        paths = [([s for s, _ in p if s >= 0], sum(c for _, c in p)) for p in product(*places)]
+        best = min(worth(s, c) for s, c in paths)
+        got = toxicity.decode(places, cost)
+        assert min(worth(s, c) for s, c in paths if s == got) == pytest.approx(best), token
