@@ -392,7 +392,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
         z = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (all1 - n1 + 0.5) + 1 / (n0 + 0.5) + 1 / (all0 - n0 + 0.5))
         good = (z > MIN_Z) & (odds > 1.0)
         feature, weight = got["feature"].to_numpy(dtype=np.int64)[good], odds[good]
-        x = train.mapInArrow(train_hits(cost, sc.broadcast((feature, weight))), "toxic int, x0 double, x1 double, x2 double").orderBy("toxic", "x0", "x1", "x2").toPandas()  # the sample's rows
+        x = train.mapInArrow(train_hits(cost, sc.broadcast((feature, weight))), "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])  # the sample's rows
         y = x["toxic"].to_numpy(float)
         beta = logistic(x[["x0", "x1", "x2"]].to_numpy(), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
     return docs.mapInArrow(score_batches(cost, sc.broadcast((feature, weight, beta))), "doc_id long, score double")
