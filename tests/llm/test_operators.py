@@ -345,7 +345,7 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
              (None, [1.0] * 16, 1), rows[40], rows[41]]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector int")
     got = defaultdict(list)
-    for q in nearest.nearest(v, v.vec_id % 20 == 0, block_rows=400, at_once=30).orderBy("query_id", "rank").collect():
+    for q in nearest.nearest(v, v.vec_id % 20 == 0, part_rows=400, at_once=30).orderBy("query_id", "rank").collect():
         got[q.query_id].append((q.vec_id, q.score))
     x = x.astype(np.float32).astype(float)
     ids, hit, total = np.arange(1500), 0, 0
@@ -364,6 +364,40 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert set(got) == {*range(0, 1500, 20), 2080}
 
 
+def test_nearest_verifies_few_points_of_clusters(spark):
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(100, 64))
+    x = centre[r.integers(0, 100, 4000)] + 0.3 * r.normal(size=(4000, 64))
+    top, limit = float((x * x).sum(1).max()), nearest.chi_square_quantile(nearest.STOP, nearest.DIMS)
+    space = nearest.Space(nearest.DIMS, 1.0, top)
+    points, ids = space.points(x), np.arange(4000)
+    part = nearest.Part(x, ids, points)
+    for i in range(0, 4000, 40):
+        part.search(x[i], space.points(x[i:i + 1], is_query=True)[0], i, 20, top, limit, -np.inf)
+    assert part.verified < 0.3 * 100 * 4000
+    # the parts of the whole table: a query goes to few of them, and finds its neighbours
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for q in nearest.nearest(v, v.vec_id % 40 == 0, part_rows=250).collect():
+        got[q.query_id].add(q.vec_id)
+    hit = 0
+    for i in range(0, 4000, 40):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(got[i] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 100
+
+
+def test_nearest_scale_does_not_matter(spark):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    for unit in (2.0 ** 500, 2.0 ** -500):
+        v = spark.createDataFrame([(i, (row * unit).tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+        got = nearest.nearest(v, v.vec_id % 20 == 0, k=5).toPandas()
+        assert len(got) == 75
+        hit = sum(r.vec_id in np.argsort(-np.where(np.arange(300) == r.query_id, -np.inf, x @ x[r.query_id]))[:5] for r in got.itertuples())
+        assert hit >= 0.9 * 75
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOC)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
