@@ -5,13 +5,21 @@ ones a text goes through transducers, each writing what it reads together with
 the source position of every character it writes: homoglyphs and full-width
 forms become ASCII and invisible characters go; spelled digits and "plus"
 become characters; "at" and "dot" in brackets or between words become "@" and
-".".  The same detectors run on the result and their spans are mapped back to
+".", in front of an "at" also between the words of the local part, whose letters
+may be spaced ("j a n e @ example.com").  The same detectors run on the result and their spans are mapped back to
 source characters.  A span found there counts if a transducer changed something
 inside it and it overlaps no base span of its kind, or contains it and is wider.
 
 Detectors are linear in the text: emails are sought from each "@", digit
 patterns only at the start of a run of digits.
 
+Bare words are common in prose, so "jane at firma dot dk" counts only if a dot is
+disguised too, by the word of the same language, the name is no plain word
+("at this point in") and the last label is one of ``TLDS`` or has two letters that are
+no word.  Left out: "jane at example.com" (an address of a site in most texts), bare
+words before longer endings that are not listed, signs with more than three spaces
+around them, numbers between spelled digits that are longer than four digits.
+
 Cases: null and empty texts have no spans; equal rows give equal results;
 offsets are code points, ends exclusive; spans are ordered by start, then kind.
 """
@@ -64,6 +72,12 @@ RUN = 3
 #: fixed values: last labels that let bare words stand for "@" and "."
 TLDS = frozenset("com org net edu gov info biz io co de fr es uk eu us ca ch at it nl be pl ru cn jp in br mx au dev app ai test example".split())
 
+#: fixed values: the word for "." that goes with a bare word for "@"
+DOT_OF = {"at": ("dot",), "arroba": ("punto", "dot"), "klammeraffe": ("punkt", "dot"), "arobase": ("point", "dot")}
+#: fixed values: words that are no host after a bare "at", and two-letter words that are no last label
+PLAIN = frozenset("the this that these those a an any some each every one my your his her its our their which what no all least most first last once such".split())
+SHORT_WORDS = frozenset("of on or if an as we he up go by is to so do my am".split())
+
 
 def _any(words) -> str:
     return "|".join(sorted(words, key=len, reverse=True))
@@ -83,6 +97,10 @@ HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_any(AT)}|{_any(DOT)}|@|\.)\s{{0,3}}[\
 AT_SIGN = re.compile(_AT, re.I)
 DISGUISED_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
 DOT_SIGN = re.compile(_DOT, re.I)
+_DOT_WORD = rf"(?:{_S}[\[({{<]{_S}(?:{_any(DOT)}|\.){_S}[\])}}>]{_S}|{_S1}(?:{_any(DOT)}){_S1})"
+DOTTED_LOCAL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{_DOT_WORD}[A-Za-z0-9._%+-]++)+", re.I)
+SPACED_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?: [A-Za-z0-9](?![A-Za-z0-9._%+-])){2,}+")
+LOCAL_SIGN = re.compile(rf"{_DOT_WORD}| ", re.I)
 DOT_NUMBER = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
@@ -189,6 +207,7 @@ def read_spelled(tape: Tape) -> None:
 def read_signs(tape: Tape) -> None:
     """Disguised "@" and "." between a local part and a domain, and "." between numbers."""
     edits, done = [], 0
+    local = {m.end(): m for pattern in (DOTTED_LOCAL, SPACED_LOCAL) for m in pattern.finditer(tape.text)}
     for m in AT_SIGN.finditer(tape.text):
         if m.start() < done or m.start() == 0 or tape.text[m.start() - 1] not in LOCAL:
             continue
@@ -198,10 +217,15 @@ def read_signs(tape: Tape) -> None:
         dots = list(DOT_SIGN.finditer(tape.text, d.start(), d.end()))
         if m[0] == "@" and all(x[0] == "." for x in dots):
             continue
-        if m[0].strip().lower() in AT:  # bare words are common: the rest must look like an address
-            last = tape.text[dots[-1].end():d.end()].lower()
-            if last not in TLDS or not any(x[0].strip() != "." for x in dots):
+        if (word := m[0].strip().lower()) in AT:  # bare words are common: the rest must look like an address
+            host, last = tape.text[d.start():dots[0].start()].lower(), tape.text[dots[-1].end():d.end()].lower()
+            signs = [x[0].strip().lower() for x in dots if x[0].strip() != "."]
+            if not signs or host in PLAIN or any(x.isalpha() and x not in DOT_OF[word] for x in signs):
+                continue
+            if last not in TLDS and not (len(last) == 2 and last.isalpha() and last not in SHORT_WORDS):
                 continue
+        if (before := local.get(m.start())) and before.start() >= done:
+            edits += [(before.start() + x.start(), before.start() + x.end(), "." if x[0] != " " else "") for x in LOCAL_SIGN.finditer(before[0])]
         edits.append((m.start(), m.end(), "@"))
         edits += [(x.start(), x.end(), ".") for x in dots]
         done = d.end()

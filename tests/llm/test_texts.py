@@ -83,6 +83,11 @@ def test_base_detectors_match_the_patterns():
 @pytest.mark.parametrize(("text", "kind", "span"), [
     ("write jane.doe (at) example (dot) com now", "email", "jane.doe (at) example (dot) com"),
     ("jane at example dot com.", "email", "jane at example dot com"),
+    ("write jane at firma dot dk now", "email", "jane at firma dot dk"),
+    ("to jane dot doe at example dot com ok", "email", "jane dot doe at example dot com"),
+    ("jane [dot] doe [at] example [dot] org", "email", "jane [dot] doe [at] example [dot] org"),
+    ("mail j a n e @ example.com please", "email", "j a n e @ example.com"),
+    ("hans klammeraffe firma punkt de", "email", "hans klammeraffe firma punkt de"),
     ("mail jаne@exаmple.com here", "email", "jаne@exаmple.com"),
     ("ja​ne@example.com", "email", "ja​ne@example.com"),
     ("jane @ example . com", "email", "jane @ example . com"),
@@ -107,12 +112,12 @@ def test_rows_with_any_span_are_read():
     assert not pii.worth_reading(pa.array(["Plain words without anything, nothing at all.", "un mot et un autre", None, ""])).any()
 
 
-@pytest.mark.parametrize("text", ["look at home . The end", "look at the dot on it", "one two three", "un deux trois", "sits at home.the end", "meet me at noon dot", "", "café at 5.30"])
+@pytest.mark.parametrize("text", ["look at home . The end", "look at the dot on it", "one two three", "un deux trois", "sits at home.the end", "meet me at noon dot", "", "café at 5.30", "we are at this point in time", "a red dot at noon dot is", "look at example.com"])
 def test_plain_texts_have_no_disguised_data(text):
     assert pii.spans_of(text) == ([], [])
 
 
-@pytest.mark.parametrize("text", [" " * 200_000 + "@ x", "1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "one " * 50_000, "1." * 50_000, "(at) " * 40_000])
+@pytest.mark.parametrize("text", [" " * 200_000 + "@ x", "1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "one " * 50_000, "1." * 50_000, "(at) " * 40_000, "a " * 100_000 + "@ x.com", "a dot " * 40_000, "j at " * 40_000])
 def test_detection_is_linear(text):
     pii.spans_of(text)
 
