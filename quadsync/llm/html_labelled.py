@@ -4,7 +4,9 @@
 Layouts are drawn by a seeded generator from the parts that web pages have, so
 the marks of main text (article, main, content ...) and of the rest (menus,
 adverts, notices, comments ...) occur in many combinations, with and without
-tags that name them.
+tags that name them.  A share ``INVENTED`` of the labelled parts is a plain ``div``
+with a name that means nothing, so that size, links and the name's mere presence
+count too: pages name their parts in any language.
 """
 
 from __future__ import annotations
@@ -25,16 +27,22 @@ ADVERT = [("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertiseme
 FORM = [("form", ""), ("form", "search"), ("div", "login form"), ("form", "comment-form"), ("fieldset", ""), ("button", ""), ("div", "share social"), ("select", "")]
 COMMENT = [("div", "comments"), ("section", "comments"), ("ol", "comment-list"), ("div", "comment"), ("div", "replies discussion"), ("section", "responses"), ("div", "disqus thread"), ("ul", "user-comments reviews")]
 
+INVENTED = 0.1
+
 
 class Pages:
     def __init__(self, seed: int):
-        self.r = random.Random(seed)
+        self.r, self.invent = random.Random(seed), random.Random(seed + 1)
 
     def words(self, low: int, high: int) -> str:
         r = self.r
         return " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(low, high))).capitalize()
 
     def element(self, tag: str, name: str, inner: str, label: str | None = None) -> str:
+        if label and self.invent.random() < INVENTED:
+            if tag in ("aside", "nav", "header", "footer", "article", "main", "section"):
+                tag = "div"
+            name = "".join(self.invent.choice("abcdefghilmnoprstu") for _ in range(7))
         attr = self.r.choice(["class", "class", "id"])
         mark = (f' {attr}="{name}"' if name else "") + (f' data-label="{label}"' if label else "")
         return f"<{tag}{mark}>{inner}</{tag}>"

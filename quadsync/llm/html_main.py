@@ -2,7 +2,7 @@
 
 Each node of a page's tree (blocks, and leaves that hold text) is main text or
 not.  The potential of a parent and a child has two factors, both from the
-child's features (tag, names in its attributes, size, share of links): how likely
+child's features (tag, names in its attributes and whether it has any, size, share of links): how likely
 the child is main text below a parent of either label, and what such a child
 says about its parent.  Messages pass from the leaves up and from the root down
 (sum-product, exact on a tree) and give each leaf's marginal; leaves of at least
@@ -58,6 +58,8 @@ def features(nodes: list[Node], i: int) -> list[str]:
         return out
     out += [f"tag {n.tag}", f"children {size_step(n.children)}"]
     out += [f"name {w}" for w in n.words]
+    if n.words:
+        out.append("named")
     return out
 
 

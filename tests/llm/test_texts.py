@@ -146,6 +146,17 @@ def test_page_text_rules(page_model):
         main_text(broken, page_model)
 
 
+def test_names_of_parts_may_be_unknown(page_model):
+    """A layout written by hand whose names the training pages never hold."""
+    text = "Ein längerer Absatz mit vielen Wörtern, der vom Weg berichtet. Und noch ein Satz dazu, der nicht kurz ist."
+    html = f"""<html><body><div class="menue"><ul><li><a href="/a">Start</a></li><li><a href="/b">Themen</a></li><li><a href="/c">Kontakt</a></li></ul></div>
+    <div class="inhalt"><h1>Der lange Weg nach Hause</h1><p>{text}</p><p>{text}</p><div class="werbung"><p>Jetzt kaufen!</p></div><p>{text}</p></div>
+    <div class="hinweis-box"><p>Diese Seite nutzt Kekse.</p></div>
+    <div class="kommentare"><div class="kommentar"><p>Schöner Text, danke.</p></div><div class="kommentar"><p>Finde ich auch.</p></div></div>
+    <div class="fusszeile"><a href="/i">Impressum</a> | <a href="/d">Datenschutz</a></div></body></html>"""
+    assert main_text(html, page_model) == "\n".join(["Der lange Weg nach Hause", text, text, text])
+
+
 def archive(tmp_path, records):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(b"".join(records))
