@@ -13,36 +13,37 @@ from quadsync.functions.terms import ntriple
 from quadsync.operators.diff import apply_patch, bag_diff, snapshot_diff
 from quadsync.operators.export import current, expected
 from quadsync.operators.feed import chunk_changes, write_delta_files
-from quadsync.session import cut_lineage
+from quadsync.session import keep_rows
+from quadsync.sources.indexed import LayeredSource
 from quadsync.sources.rules import ExportSpec
 from quadsync.vocab import LEXICAL_KEY, TRIPLE_COLS
 
 
-def source_view(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> DataFrame:
+def source_view(quads, publication: DataFrame, spec: ExportSpec):
     """Q1: with ``pub_in_store`` the publication rows are part of the store."""
     if not spec.pub_in_store:
         return quads
     pub = publication.select(F.lit(spec.publication_graph).alias("g"), *TRIPLE_COLS, "o_key")
-    return quads.unionByName(pub)
+    return quads.unionByName(pub) if isinstance(quads, DataFrame) else LayeredSource(quads, added=pub)
 
 
-def heal_diff(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> DataFrame:
+def heal_diff(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
     """R7 diff: ``(op, s, p, o, o_kind, o_dt, o_lang, o_key)``."""
     a = expected(source_view(quads, publication, spec), spec)
     b = current(publication, spec)
     return snapshot_diff(a, b)
 
 
-def heal_diff_bag(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> DataFrame:
+def heal_diff_bag(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
     """Q14 file variant: bag difference on the full rows."""
     a = expected(source_view(quads, publication, spec), spec, bag=True)
     b = current(publication, spec)
     return bag_diff(a, b)
 
 
-def heal(quads: DataFrame, publication: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
+def heal(quads, publication: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
     """(diff, publication after the patch); the diff is written once for all its uses."""
-    diff = cut_lineage(heal_diff(quads, publication, spec))
+    diff = keep_rows(heal_diff(quads, publication, spec))
     return diff, apply_patch(publication, diff)
 
 
@@ -58,7 +59,7 @@ def heal_report(diff: DataFrame, run_id: str) -> DataFrame:
     return diff.select(F.lit(run_id).alias("run_id"), "op", "p", ntriple().alias("nt"))
 
 
-def run_healing(quads: DataFrame, publication: DataFrame, spec: ExportSpec, out_dir: str, run_id: str, created, publish: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def run_healing(quads, publication: DataFrame, spec: ExportSpec, out_dir: str, run_id: str, created, publish: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Heal, write the report (both folders, also when empty) and,
     unless it is an initial sync (``publish=False``), the delta files. Returns
     (publication after, manifest rows of the files)."""
