@@ -55,9 +55,9 @@ PERCENT = 85
 GROUP_TOKENS = 1 << 18
 QUERY_TOKENS = 1 << 21
 #: part names of askers that one task compares with a group
-ASKED_PARTS = 1 << 20
+ASKED_PARTS = 1 << 19
 #: cells of (askers x members) counted at once
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 @lru_cache(maxsize=8)

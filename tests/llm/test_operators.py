@@ -412,3 +412,23 @@ def test_empty_tables(spark):
     assert [r.count() for r in results] == [0] * len(results)
     out = language.identify(some, docs, some.doc_id, docs.schema["doc_id"].dataType).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
+
+
+def test_a_group_of_many_askers_is_compared_in_little_memory():
+    """pipeline, near_duplicates: arrays of cells took hundreds of MB of a task."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quadsync.llm.jaccard_join import part_matrix
+
+    m, parts = 4000, 30
+    names = [{"run": r * 2, "odd": False, "times": 1} for r in range(parts)]
+    t = pa.table({"g": pa.array([1] * m), "part": pa.array([0] * m, pa.int32()), "rep": pa.array(range(m)), "sid": pa.array(range(m)), "n": pa.array([100] * m),
+                  "need0": pa.array([parts] * m), "need1": pa.array([0] * m), "member": pa.array([i % 2 == 0 for i in range(m)]),
+                  "parts": pa.array([names] * m, pa.list_(pa.struct([("run", pa.int64()), ("odd", pa.bool_()), ("times", pa.int64())])))})
+    tracemalloc.start()
+    kept = part_matrix(80)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept.num_rows == m and peak < 96 << 20
