@@ -27,9 +27,9 @@ def source_view(quads, publication: DataFrame, spec: ExportSpec):
     return quads.unionByName(pub) if isinstance(quads, DataFrame) else LayeredSource(quads, added=pub)
 
 
-def heal_diff(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
-    """R7 diff: ``(op, s, p, o, o_kind, o_dt, o_lang, o_key)``."""
-    a = expected(source_view(quads, publication, spec), spec)
+def heal_diff(quads, publication: DataFrame, spec: ExportSpec, wanted: DataFrame | None = None) -> DataFrame:
+    """R7 diff: ``(op, s, p, o, o_kind, o_dt, o_lang, o_key)``; ``wanted`` is the expected set, if it is at hand."""
+    a = expected(source_view(quads, publication, spec), spec) if wanted is None else wanted
     b = current(publication, spec)
     return snapshot_diff(a, b)
 
@@ -41,9 +41,9 @@ def heal_diff_bag(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
     return bag_diff(a, b)
 
 
-def heal(quads, publication: DataFrame, spec: ExportSpec) -> tuple[DataFrame, DataFrame]:
+def heal(quads, publication: DataFrame, spec: ExportSpec, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(diff, publication after the patch); the diff is written once for all its uses."""
-    diff = keep_rows(heal_diff(quads, publication, spec))
+    diff = keep_rows(heal_diff(quads, publication, spec, wanted))
     return diff, apply_patch(publication, diff)
 
 
@@ -59,11 +59,11 @@ def heal_report(diff: DataFrame, run_id: str) -> DataFrame:
     return diff.select(F.lit(run_id).alias("run_id"), "op", "p", ntriple().alias("nt"))
 
 
-def run_healing(quads, publication: DataFrame, spec: ExportSpec, out_dir: str, run_id: str, created, publish: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def run_healing(quads, publication: DataFrame, spec: ExportSpec, out_dir: str, run_id: str, created, publish: bool = True, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Heal, write the report (both folders, also when empty) and,
     unless it is an initial sync (``publish=False``), the delta files. Returns
     (publication after, manifest rows of the files)."""
-    diff, after = heal(quads, publication, spec)
+    diff, after = heal(quads, publication, spec, wanted)
     report = heal_report(diff, run_id)
     for op, name in (("delete", "removed"), ("insert", "inserted")):
         report.where(F.col("op") == op).select("p", "nt").write.mode("overwrite").parquet(f"{out_dir}/report/run={run_id}/{name}")
