@@ -31,6 +31,8 @@ from quadsync.session import ship_package
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: bytes of text whose n-grams and matrix rows (some 200 times as much) are held at a time
+PIECE = 1 << 17
 ALPHA = 0.1
 MAX_LANGS = 2_000
 UND = "und"
@@ -64,7 +66,7 @@ def ngrams(col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarr
     """(first row, rows, bucket of each n-gram, its row, letters per row) for pieces of a column."""
     table_ = folded()
     raw, offsets = buffers(col)
-    for a, b in pieces(offsets, 1 << 19):
+    for a, b in pieces(offsets, PIECE):
         cp, off = code_points(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
         c = table_[cp]
         row = np.repeat(np.arange(b - a), np.diff(off))
@@ -131,7 +133,8 @@ def score_batches(langs: list[str], model) -> Callable:
         logs = model.value
         for b in batches:
             best, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
-            for a, n, bucket, row, letters in ngrams(b.column(1)):
+            text = b.column(1) if b.num_columns > 1 else b.column(0).field("text")
+            for a, n, bucket, row, letters in ngrams(text):
                 total = np.tile(logs[BUCKETS], (n, 1))
                 o = np.argsort(row, kind="stable")
                 bucket, row = bucket[o], row[o]
@@ -154,7 +157,9 @@ def identify(docs: DataFrame, labelled: DataFrame, carry: Column, carry_type: T.
     langs, logs = fit(labelled)
     model = docs.sparkSession.sparkContext.broadcast(logs)
     schema = T.StructType([T.StructField("row", carry_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(carry.alias("row"), "text").mapInArrow(score_batches(langs, model), schema)
+    # a row that holds its text does not bring it twice
+    rows = docs.select(carry.alias("row")) if isinstance(carry_type, T.StructType) and "text" in carry_type.names else docs.select(carry.alias("row"), "text")
+    return rows.mapInArrow(score_batches(langs, model), schema)
 
 
 def fold(doc_id: Column) -> Column:
