@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadsync.functions.terms import ntriple
-from quadsync.operators.diff import apply_patch, bag_diff, snapshot_diff
-from quadsync.operators.export import current, expected
+from quadsync.operators.diff import apply_patch, bag_diff, rows_diff, snapshot_diff
+from quadsync.operators.export import current, current_rows, expected
 from quadsync.operators.feed import chunk_changes, write_delta_files
 from quadsync.session import keep_rows
 from quadsync.sources.indexed import LayeredSource
+from quadsync.sources.packed import SubjectRows
 from quadsync.sources.rules import ExportSpec
 from quadsync.vocab import LEXICAL_KEY, TRIPLE_COLS
 
@@ -23,15 +24,20 @@ def source_view(quads, publication: DataFrame, spec: ExportSpec):
     """Q1: with ``pub_in_store`` the publication rows are part of the store."""
     if not spec.pub_in_store:
         return quads
-    pub = publication.select(F.lit(spec.publication_graph).alias("g"), *TRIPLE_COLS, "o_key")
+    pub = _frame(publication).select(F.lit(spec.publication_graph).alias("g"), *TRIPLE_COLS, "o_key")
     return quads.unionByName(pub) if isinstance(quads, DataFrame) else LayeredSource(quads, added=pub)
 
 
 def heal_diff(quads, publication: DataFrame, spec: ExportSpec, wanted: DataFrame | None = None) -> DataFrame:
     """R7 diff: ``(op, s, p, o, o_kind, o_dt, o_lang, o_key)``; ``wanted`` is the expected set, if it is at hand."""
-    a = expected(source_view(quads, publication, spec), spec) if wanted is None else wanted
-    b = current(publication, spec)
-    return snapshot_diff(a, b)
+    if isinstance(publication, SubjectRows) and isinstance(wanted, SubjectRows) and not (spec.heal_inverse and spec.inverse_properties()):
+        return rows_diff(wanted, current_rows(publication, spec))
+    a = expected(source_view(quads, publication, spec), spec) if wanted is None else _frame(wanted)
+    return snapshot_diff(a, current(publication, spec))
+
+
+def _frame(triples) -> DataFrame:
+    return triples.frame() if isinstance(triples, SubjectRows) else triples
 
 
 def heal_diff_bag(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
@@ -44,7 +50,7 @@ def heal_diff_bag(quads, publication: DataFrame, spec: ExportSpec) -> DataFrame:
 def heal(quads, publication: DataFrame, spec: ExportSpec, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(diff, publication after the patch); the diff is written once for all its uses."""
     diff = keep_rows(heal_diff(quads, publication, spec, wanted))
-    return diff, apply_patch(publication, diff)
+    return diff, apply_patch(_frame(publication), diff)
 
 
 def heal_changesets(diff: DataFrame) -> DataFrame:
@@ -83,4 +89,4 @@ def publication_orphans(publication: DataFrame, spec: ExportSpec) -> DataFrame:
     """Q12: published triples the healing never sees (untyped subjects or
     unconfigured properties); reported, not deleted."""
     seen = current(publication, spec)
-    return publication.select(*TRIPLE_COLS).distinct().join(seen.select(*LEXICAL_KEY), LEXICAL_KEY, "left_anti")
+    return _frame(publication).select(*TRIPLE_COLS).distinct().join(seen.select(*LEXICAL_KEY), LEXICAL_KEY, "left_anti")
